@@ -5,17 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daytrace.llm import quality_rules, url_filters
+from daytrace.llm import embedding_dedup, langid, line_templates, minhash, mixing, packing, quality_lm, quality_rules, substring_dedup, url_filters
 from daytrace.llm.common import table
 
 #: (verdict, host, path)
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return quality_lm.classify(table(spark, sf_dir, "documents"), trusted)
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.dropped_lines(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 6).alias("position"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed_runs(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filters.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), url_filters.rule_table(spark, URL_RULES))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -32,5 +62,70 @@ m AS (SELECT page_id, host, path, v, rh || rp AS rule,
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1
 """
 
-QUERIES = {"op5_quality_rules": op5_quality_rules, "op9_url_filters": op9_url_filters}
-ORACLES = {"op9_url_filters": OP9_SQL}
+
+
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS h, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM s),
+w AS (SELECT *, [5.0, 2.0, 1.0][rank % 3 + 1]::DOUBLE AS w, 2.0::DOUBLE * n AS cap FROM r),
+o AS (SELECT *, row_number() OVER x AS nr, (1.5::DOUBLE * sum(n) OVER () - coalesce(sum(cap) OVER (x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(w) OVER (x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w WINDOW x AS (ORDER BY cap / w, rank)),
+f AS (SELECT min(nr) AS nr FROM o WHERE cap > level * w),
+t AS (SELECT o.source, o.n, o.rank, o.w, CASE WHEN o.nr >= f.nr THEN (SELECT level FROM o, f WHERE o.nr = f.nr) * o.w ELSE o.cap END AS target FROM o, f),
+c AS (SELECT d.*, t.n, t.w, t.rank, t.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - d.size AS before
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, before + size <= target AS one, n + before + size <= target AS two FROM c),
+l AS (SELECT source, any_value(target) - sum(size * (one::INT + two::INT)) AS remains FROM k GROUP BY source),
+b AS (SELECT k.source, arg_min(doc_id, (abs(size - remains), h, doc_id)) AS fill FROM k JOIN l ON k.source IS NOT DISTINCT FROM l.source
+      WHERE one::INT + two::INT < greatest(1, ceil(target / n)) AND abs(size - remains) < remains GROUP BY k.source),
+p AS (SELECT k.*, coalesce(b.fill = doc_id, false) AS extra FROM k LEFT JOIN b ON k.source IS NOT DISTINCT FROM b.source),
+u AS (SELECT *, CASE WHEN one THEN before + size / 2.0::DOUBLE WHEN two THEN n + before + size / 2.0::DOUBLE WHEN extra THEN target - size / 2.0::DOUBLE END / greatest(target, 1) AS place,
+             [1.5, 1.0, 0.5][rank % 3 + 1]::DOUBLE AS a, [0.5, 1.0, 1.5][rank % 3 + 1]::DOUBLE AS z FROM p),
+v AS (SELECT *, least(1, greatest(0, place)) AS wanted, (a + 1) / 4 AS half, 2 * (1 - a) AS s1, 2 * (z - 1) AS s2 FROM u)
+SELECT doc_id, size, n AS source_size, target, CAST(size * (one::INT + two::INT + extra::INT) AS BIGINT) AS taken,
+       round(CASE WHEN place IS NULL THEN NULL WHEN wanted <= half THEN CASE WHEN wanted <= 0 THEN 0 ELSE 2 * wanted / (a + sqrt(greatest(0, a * a + 2 * s1 * wanted))) END
+            ELSE 0.5 + 2 * (wanted - half) / (1 + sqrt(greatest(0, 1 + 2 * s2 * (wanted - half)))) END, 6) AS position
+FROM v
+"""
+
+OP8_SQL = """
+WITH RECURSIVE v AS (SELECT DISTINCT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a), m AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, least(vec_id, coalesce(b, vec_id)) = vec_id AS kept
+FROM v LEFT JOIN n ON v.vec_id = n.a LEFT JOIN m ON v.vec_id = m.a
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[k:k + 4], ' ')) AS s FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(b, d.doc_id)) AS component_id, least(d.doc_id, coalesce(b, d.doc_id)) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.a = d.doc_id
+"""
+
+QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_mixing": op4_mixing,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_language_id": op7_language_id,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_url_filters": op9_url_filters,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
+}
+ORACLES = {"op4_mixing": OP4_SQL, "op8_embedding_near_dedup": OP8_SQL, "op9_url_filters": OP9_SQL, "op10_minhash_near_dedup": OP10_SQL}
