@@ -50,7 +50,7 @@ def records(lines: DataFrame) -> DataFrame:
     part = lambda k: F.regexp_extract("_h", HEADER, k)
     trace = F.rtrim(F.array_join(F.transform("_rest", lambda x: x["line"]), "\n"))
     return one.select(
-        "source_file", "line_start", "line_end", F.to_timestamp(part(1), "yyyy-MM-dd HH:mm:ss").alias("ts"), part(2).alias("level"), part(3).alias("logger"),
+        "source_file", "line_start", "line_end", F.try_to_timestamp(part(1), F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"), part(2).alias("level"), part(3).alias("logger"),
         part(4).alias("raw"), F.nullif(trace, F.lit("")).alias("traceback"),
     )
 

@@ -54,7 +54,7 @@ def export_bundle(frames: dict[str, DataFrame], folder: str, manifest: dict | No
 
 def read_logs(spark: SparkSession, path: str, glob: str = "*.log") -> DataFrame:
     """Whole log files of a folder (source_file, value); a record may span lines, so files are not split."""
-    df = spark.read.option("wholetext", "true").option("pathGlobFilter", glob).text(path)
+    df = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
     return df.select(F.input_file_name().alias("source_file"), "value")
 
 
