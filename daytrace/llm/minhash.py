@@ -20,8 +20,10 @@ from daytrace.llm.common import Scratch, components, join_checked
 SHINGLE = 5
 #: A pair at similarity s meets in a table with probability (1 - (1 - s**WIDTH)**SIDE)**2: 0.99998 at 0.85, 0.9994 at 0.8.
 SIDE, WIDTH = 16, 4
-#: Rounds that compare a bucket's documents with one of them, before the rest is compared pair by pair.
+#: Rounds that compare a bucket's documents with one of them, before those left apart are compared pair by pair.
 STAR_ROUNDS = 2
+#: Shingles and documents of a tile's side in the last round.
+TILE_SHINGLES, TILE_DOCS = 100_000, 1000
 _ROWS = 2048
 
 
@@ -83,19 +85,23 @@ def signatures(docs: DataFrame, kind: str) -> DataFrame:
     return docs.mapInPandas(sign, f"_id {kind}, n long, class string, keys array<long>")
 
 
-def _table_keys(classes: DataFrame) -> DataFrame:
-    """(key, id, n): tensored keys of the documents that share a sub-key of either collection with another one."""
+def _live(classes: DataFrame) -> DataFrame:
+    """(id, n, left, right): documents that share a sub-key of either collection with another one, and those sub-keys."""
     sub = classes.select("id", "n", F.posexplode("keys").alias("slot", "sub")).withColumn("hash", F.xxhash64("slot", "sub"))
     shared = sub.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash")
     live = sub.join(shared, "hash", "left_semi")
     side = lambda left: F.collect_list(F.when(F.col("slot") < SIDE if left else F.col("slot") >= SIDE, F.col("hash")))
-    both = live.groupBy("id").agg(F.first("n").alias("n"), side(True).alias("left"), side(False).alias("right"))
-    return both.select("id", "n", "right", F.explode("left").alias("l")).select("id", "n", "l", F.explode("right").alias("r")).select(F.xxhash64("l", "r").alias("key"), "id", "n")
+    both = live.groupBy("id", "n").agg(side(True).alias("left"), side(False).alias("right"))
+    return both.where((F.size("left") > 0) & (F.size("right") > 0))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, kind: str, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have at least ``percent`` of their union in common."""
-    ids = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
+def _table_keys(live: DataFrame) -> DataFrame:
+    """(key, id, n): the tensored keys, one for each pair of a left and a right sub-key."""
+    return live.select("id", "n", "right", F.explode("left").alias("l")).select("id", "n", "l", F.explode("right").alias("r")).select(F.xxhash64("l", "r").alias("key"), "id", "n")
+
+
+def _shingle_sets(docs: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
+    """(_id, s): full shingle sets of the documents in ``ids``, one per text."""
     texts = join_checked(docs, ids, "_id", "left_semi").groupBy("_id", F.xxhash64("_text")).agg(F.first("_text").alias("_text")).select("_id", "_text")
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,13 +110,102 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, kind: str, percent: int, scrat
                 part = batch.iloc[at : at + 64]
                 yield pd.DataFrame({"_id": part._id, "s": [shingle_set(words_lowered(t)).view(np.int64) for t in part._text]})
 
-    sets = scratch.write(texts.mapInPandas(shingled, f"_id {kind}, s array<long>"))
+    return texts.mapInPandas(shingled, f"_id {kind}, s array<long>")
+
+
+def _linkable(sets: DataFrame, percent: int) -> DataFrame:
+    """Ids of which enough shingles stand in another candidate: what only one has can't be common to two.
+
+    This bound is exact and spares documents that merely share a passage from being compared with each other.
+    """
+    alone = sets.select("_id", F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("_id").alias("_id")).where("c = 1")
+    own = alone.groupBy("_id").agg(F.count("*").alias("own"))
+    n = sets.groupBy("_id").agg(F.max(F.size("s")).alias("n"), F.count("*").alias("texts"))
+    enough = 100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n")
+    return n.join(own, "_id", "left").where(enough | (F.col("texts") > 1)).select("_id")
+
+
+def _rarest(sets: DataFrame, fit: DataFrame, percent: int) -> DataFrame:
+    """(id, n, s): of each candidate as many of its rarest shingles as two linked documents can't both do without.
+
+    Documents that have ``percent`` of their union in common share one of these (prefix filter, with shingles ordered
+    by the number of candidates that have them).
+    """
+    e = join_checked(sets, fit, "_id", "left_semi").select("_id", F.xxhash64("s").alias("text"), F.size("s").alias("n"), F.explode("s").alias("s"))
+    often = e.groupBy("s").agg(F.count("*").alias("c"))
+    ordered = e.join(often, "s").groupBy("_id", "text", "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("o"))
+    keep = F.col("n") - F.floor((percent * F.col("n") + 99) / 100).cast("int") + 1
+    return ordered.select(F.col("_id").alias("id"), "n", F.explode(F.slice("o", 1, keep)).alias("o")).where("o.c > 1").select("id", "n", "o.s")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets have at least ``percent`` of their union in common."""
     of = lambda name: sets.select(F.col("_id").alias(name), F.col("s").alias(f"s{name}"))
     both = pairs.join(of("b"), "b").join(of("a"), "a").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     linked = both.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common")))
-    out = scratch.write(linked.select("a", "b").distinct())
-    scratch.drop(sets)
-    return out
+    return scratch.write(linked.select("a", "b").distinct())
+
+
+def _in_components(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """``rows`` (with id) with comp, their component so far."""
+    if comps is None:
+        return rows.withColumn("comp", F.col("id"))
+    return rows.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+
+
+def _link_tile(tile: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (a, b) that join components, between the documents of a tile's two sides (of one, if they are the same)."""
+    rows = tile[tile.chunk == tile.lo].reset_index(drop=True)
+    cols = rows if (tile.lo == tile.hi).all() else tile[tile.chunk == tile.hi].reset_index(drop=True)
+    n_rows, n_cols = rows.s.str.len().to_numpy(), cols.s.str.len().to_numpy()
+    words, at = np.unique(np.concatenate([*rows.s, *cols.s]), return_inverse=True)
+    split = int(n_rows.sum())
+    row_of, col_of = np.repeat(np.arange(len(rows)), n_rows), np.repeat(np.arange(len(cols)), n_cols)
+    common = np.zeros((len(rows), len(cols)), dtype=np.float32)
+    for low in range(0, len(words), 4096):
+        x, y = np.zeros((len(rows), 4096), dtype=np.float32), np.zeros((len(cols), 4096), dtype=np.float32)
+        here, there = np.flatnonzero((at[:split] >> 12) == low >> 12), np.flatnonzero((at[split:] >> 12) == low >> 12)
+        if len(here) and len(there):
+            x[row_of[here], at[:split][here] - low] = 1
+            y[col_of[there], at[split:][there] - low] = 1
+            common += x @ y.T
+    linked = 100 * common >= percent * (n_rows[:, None] + n_cols[None, :] - common)
+    linked &= rows.comp.to_numpy()[:, None] != cols.comp.to_numpy()[None, :]
+    root: dict = {}
+
+    def find(c):
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    out = []
+    for i in np.flatnonzero(linked.any(axis=1)):
+        for j in np.flatnonzero(linked[i]):
+            p, q = find(rows.comp[i]), find(cols.comp[j])
+            if p != q:
+                root[p] = q
+                out.append((rows.id[i], cols.id[j]))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def _rest(rare: DataFrame, comps: DataFrame | None, sets: DataFrame, kind: str, percent: int, scratch: Scratch) -> DataFrame:
+    """Links between components, from all pairs of candidates that share one of their rarest shingles.
+
+    Documents that share such shingles, directly or through others, form a group, which is cut into tiles of bounded
+    size; a tile compares its documents by a matrix product and returns no more links than it joins components.
+    """
+    placed = _in_components(rare, comps)
+    mixed = placed.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("first")).where("lo <> hi").select("s", "first")
+    left = scratch.write(placed.join(mixed, "s").select("id", "n", "comp", "first"))
+    nodes = left.groupBy("id").agg(F.max("n").alias("n"), F.first("comp").alias("comp"))
+    edges = left.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    grouped = nodes.join(components(edges, scratch).withColumnRenamed("component", "group"), "id")
+    parts = grouped.groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / TILE_SHINGLES), F.ceil(F.count("*") / TILE_DOCS)).alias("parts"))
+    chunked = grouped.join(parts, "group").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts")))
+    tiled = chunked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    tiled = tiled.select("group", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "id", "comp")
+    whole = tiled.join(sets.select(F.col("_id").alias("id"), "s"), "id")
+    return scratch.write(whole.groupBy("group", "lo", "hi").applyInPandas(lambda tile: _link_tile(tile, percent), f"a {kind}, b {kind}"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
@@ -119,8 +214,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Linked are documents with 100 * intersection >= percent * union of their 5-word shingle sets (words as in
     ``words_lowered``; shorter texts are one shingle). component_id is the smallest id reachable by links. kept is
     true for that id's row. Texts without words link with nothing. Equal word sequences are one node from the start,
-    so copies are never paired. A bucket's documents are compared with one of them, twice; only documents that are
-    still in different components are compared pair by pair, all of them, so no link between components is lost.
+    so copies are never paired. Candidates of which too few shingles stand in any other one are put aside. A bucket's
+    documents are compared with one of them, twice; candidates that are still in different components are compared
+    pair by pair, all that share one of their rarest shingles, so no link between components is lost.
     Rows of one id are one node with the links of all its texts (kept is then true for each); rows without an id stand
     alone with null component_id, kept. An empty table gives no rows. Only id and text are read.
     """
@@ -129,7 +225,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(docs[doc_id].alias("_id"), docs[text].alias("_text"))
     signed = scratch.write(signatures(rows, kind))
     classes = scratch.write(signed.where("class is not null and _id is not null").groupBy("class").agg(F.min("_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    keyed = _table_keys(classes)
+    live = scratch.write(_live(classes))
+    sets = scratch.write(_shingle_sets(rows, live.select(F.col("id").alias("_id")).distinct(), kind))
+    fit = scratch.write(_linkable(sets, percent))
+    keyed = _table_keys(join_checked(live, fit.withColumnRenamed("_id", "id"), "id", "left_semi"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = scratch.write(keyed.join(shared, "key", "left_semi"))
     # one id may stand for several classes and a class for several ids: tie them
@@ -139,28 +238,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tested = None
 
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  sizes further apart can't link
-    for turn in range(STAR_ROUNDS + 1):
-        placed = members if comps is None else members.join(comps, "id", "left")
-        placed = placed.withColumn("comp", F.col("id") if comps is None else F.coalesce("component", "id")).select("key", "id", "n", "comp")
+    for turn in range(STAR_ROUNDS):
+        placed = _in_components(members, comps)
         order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
         tops = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("id", "n", "comp"), F.struct(order, "id")).alias("top")).where("lo <> hi")
-        if turn < STAR_ROUNDS:
-            met = placed.join(tops.select("key", "top"), "key").where("comp <> top.comp").where(alike(F.col("n"), F.col("top.n")))
-            pairs = met.select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b"))
-        else:
-            mixed = scratch.write(placed.join(tops.select("key"), "key", "left_semi"))
-            other = mixed.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "comp")])
-            met = mixed.join(other, "key").where("comp < comp2").where(alike(F.col("n"), F.col("n2")))
-            pairs = met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-        pairs = pairs.distinct()
+        met = placed.join(tops.select("key", "top"), "key").where("comp <> top.comp").where(alike(F.col("n"), F.col("top.n")))
+        pairs = met.select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b")).distinct()
         pairs = scratch.write(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
-            continue
-        found = _confirmed(pairs, rows, kind, percent, scratch)
+            break
+        found = _confirmed(pairs, sets, percent, scratch)
         tested = pairs if tested is None else tested.union(pairs)
         if not found.isEmpty():
             links = links.union(found)
             comps = components(links, scratch)
+    found = _rest(_rarest(sets, fit, percent), comps, sets, kind, percent, scratch)
+    if not found.isEmpty():
+        comps = components(links.union(found), scratch)
 
     if comps is not None:
         classes = classes.join(comps, "id", "left").select("class", F.coalesce("component", "id").alias("component"))
