@@ -82,7 +82,7 @@ class Mix:
         placed = self._copies(self._placed(lite))
         left = placed.groupBy("_src").agg((F.first("target") - F.sum(F.col("_size") * F.size("_places"))).alias("_left"))
         rest = join_checked(placed, left.withColumnRenamed("_src", "_s"), F.col("_src").eqNullSafe(F.col("_s")), "inner", self.sources)
-        rest = rest.where("size(_places) < greatest(1, ceil(target / source_size))").withColumn("_off", F.abs(F.col("_size") - F.col("_left"))).where("_off < _left")
+        rest = rest.where("size(_places) < greatest(1, ceil(target / greatest(1, source_size)))").withColumn("_off", F.abs(F.col("_size") - F.col("_left"))).where("_off < _left")
         best = rest.groupBy("_src").agg(F.min_by(F.struct("_h", "_row"), F.struct("_off", "_h", "_row")).alias("_fill")).withColumnRenamed("_src", "_s")
         self.plan = scratch.write(self.plan.drop("_fill").join(best, F.col("_src").eqNullSafe(F.col("_s")), "left").drop("_s"))
 
