@@ -62,6 +62,7 @@ def _pack_block(rows: pd.DataFrame, capacity: int, per_source: int) -> pd.DataFr
         full += [(doc, copy, k, k * capacity, capacity) for k in range(whole)]
         if size % capacity:
             rest.append((-(size % capacity), doc, copy, whole, source, cluster))
+    full.sort(key=lambda r: (r[0] is None, 0 if r[0] is None else r[0], *r[1:]))
     rest.sort(key=lambda r: (r[0], r[1] is None, 0 if r[1] is None else r[1], r[2]))
     often = Counter(r[5] for r in rest)
     source_bits = {s: i for i, s in enumerate(sorted({r[4] for r in rest}))}
