@@ -100,14 +100,14 @@ def evidence_bucket_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("unknown_rollup", r"""
 WITH p AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, url FROM pages)
-SELECT host AS process_name, count(*) AS occurrence_count, CAST(min(page_id) AS DOUBLE) AS first_seen_ts, CAST(max(page_id) AS DOUBLE) AS last_seen_ts, arg_min(url, page_id) AS sample_window_title, list_sort(list_distinct(list(split_part(host, '.', 1)))) AS matched_parser_names FROM p GROUP BY host""")
+SELECT host AS process_name, count(*) AS occurrence_count, CAST(min(page_id) AS DOUBLE) AS first_seen_ts, CAST(max(page_id) AS DOUBLE) AS last_seen_ts, arg_min(url, page_id) AS sample_window_title, array_to_string(list_sort(list_distinct(list(split_part(host, '.', 1)))), ',') AS matched_parser_names FROM p GROUP BY host""")
 def unknown_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unknown apps by process, hosts standing for processes."""
     host = F.regexp_extract("url", "://([^/?#]*)", 1)
     c = table(spark, sf_dir, "pages").select(
         host.alias("process_name"), host.alias("normalized_process_name"), F.col("url").alias("window_title"), F.col("url").alias("normalized_window_title"), F.col("page_id").cast("double").alias("start_ts"), F.col("page_id").cast("double").alias("end_ts"),
         F.lit(0).alias("extracted_entity_count"), F.lit(1).alias("unclassified_evidence_count"), F.array(F.split(host, "[.]")[0]).alias("matched_parser_names"), F.lit(0.3).alias("parser_confidence"), F.lit(True).alias("unknown_app"), F.col("page_id").alias("pos"))
-    return reports.unknown_apps(c).select("process_name", "occurrence_count", "first_seen_ts", "last_seen_ts", "sample_window_title", "matched_parser_names")
+    return reports.unknown_apps(c).select("process_name", "occurrence_count", "first_seen_ts", "last_seen_ts", "sample_window_title", F.array_join("matched_parser_names", ",").alias("matched_parser_names"))
 
 
 #: Vectors are summaries in order of their id, their label the app; cosines of neighbours are low, and so are the thresholds.
