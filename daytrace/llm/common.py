@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +13,8 @@ from daytrace.session import ship
 SPACES = r"[\x20\x09-\x0D]+"
 #: Rows up to which a side of narrow rows (tens of bytes) is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Bytes of arrays and texts up to which a side is broadcast.
+BROADCAST_BYTES = 64_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,10 +75,15 @@ class Scratch:
         fs.delete(where, True)
 
 
-def join_checked(left: DataFrame, right: DataFrame, on, how: str, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join that broadcasts ``right`` if it has at most ``limit`` rows (counted unless given), else shuffles."""
-    n = right.count() if rows is None else rows
-    return left.join(F.broadcast(right) if n <= limit else right, on, how)
+def join_checked(left: DataFrame, right: DataFrame, on, how: str, rows: int | None = None, limit: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
+    """Join that broadcasts ``right`` if it has at most ``limit`` rows (counted unless given), else shuffles.
+
+    Where rows hold arrays or texts, ``size`` is their length in bytes, and BROADCAST_BYTES bounds the sum as well.
+    """
+    total = 0
+    if rows is None:
+        rows, total = right.agg(F.count("*"), F.coalesce(F.sum(size if size is not None else F.lit(0)), F.lit(0))).first()
+    return left.join(F.broadcast(right) if rows <= limit and total <= BROADCAST_BYTES else right, on, how)
 
 
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
@@ -105,8 +110,3 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
         seen = state
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return scratch.write(now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots))
-
-
-def columns_of(docs: DataFrame, names: Sequence[str]) -> list[Column]:
-    """The named columns, whatever else the table has."""
-    return [docs[n] for n in names]

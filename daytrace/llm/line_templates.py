@@ -96,10 +96,14 @@ def recurring_lines(docs: DataFrame, doc_id: str, text: str, min_docs: int, scra
     ).select("_id", "_hash", F.col("hits.no").alias("spots"), F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("dropped"), "hits"))
 
 
+def _bytes() -> Column:
+    return F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["template"]) + 16)
+
+
 def _marked(docs: DataFrame, doc_id: str, text: str, min_docs: int, how: str, keep: list[Column]) -> DataFrame:
     found = recurring_lines(docs, doc_id, text, min_docs, Scratch(docs.sparkSession, "lines"))
     mine = docs.select(*keep, docs[doc_id].alias("_own"), F.hash(docs[text]).alias("_own_hash"), docs[text].alias("_text"))
-    both = join_checked(mine, found, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")), how)
+    both = join_checked(mine, found, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")), how, size=_bytes())
     few = F.when(F.col("dropped").isNotNull(), F.col("dropped") <= MOST_DROPPED * F.size(words_of(F.col("_text"))))
     return both.withColumn("_few", F.coalesce(few, F.lit(False)))
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from daytrace.llm.common import SPACES, Scratch, join_checked, let
 
-#: Sentences of a span, the words it must have, and the words with which one sentence is a span of its own.
-RUN, RUN_WORDS, LONG_WORDS = 2, 10, 30
-#: After a full stop, question or exclamation mark and spaces, or at a line's end.
-_BREAK = r"(?<=[.!?])[\x20\x09-\x0D]+|[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*"
+#: A span is the shortest run of at least RUN sentences that has RUN_WORDS words, or one sentence of LONG_WORDS words.
+RUN, RUN_WORDS, LONG_WORDS = 2, 10, 13
+#: After a full stop, question or exclamation mark and spaces; before a capital, since pasted passages start amid
+#: sentences; at a line's end.
+_BREAK = r"(?<=[.!?])[\x20\x09-\x0D]+|[\x20\x09-\x0D]+(?=\p{Lu})|[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*"
+_SPAN = "array<struct<hash:bigint,check:int,at:int,n:int,words:int>>"
 
 
 def sentences_of(text: Column) -> Column:
@@ -19,22 +21,25 @@ def sentences_of(text: Column) -> Column:
 
 
 def _spans(text: Column, run: int, run_words: int, long_words: int) -> Column:
-    """Array of (hash, check, at, n): spans of ``run`` sentences, and long sentences alone."""
+    """Array of (hash, check, at, n, words): the span that starts at each sentence, and long sentences alone."""
 
     def of(s: Column) -> Column:
         words = F.transform(s, lambda x: F.size(F.split(F.trim(x), SPACES)))
 
-        def span(i: Column, n: int, w: Column) -> Column:
-            parts = [F.get(s, i + k) for k in range(n)]
-            total = F.get(w, i)
-            for k in range(1, n):
-                total = total + F.get(w, i + k)
-            return F.struct(F.xxhash64(*parts).alias("hash"), F.hash(*parts).alias("check"), i.alias("at"), F.lit(n).alias("n"), total.alias("words"))
+        def span(i: Column, n: Column, total: Column) -> Column:
+            part = F.slice(s, i + 1, n)
+            return F.struct(F.xxhash64(part).alias("hash"), F.hash(part).alias("check"), i.alias("at"), n.alias("n"), total.alias("words"))
 
         def both(w: Column) -> Column:
-            runs = F.when(F.size(s) >= run, F.transform(F.sequence(F.lit(0), F.size(s) - run), lambda i: span(i, run, w))).otherwise(F.array().cast("array<struct<hash:bigint,check:int,at:int,n:int,words:int>>"))
-            alone = F.when(F.size(s) > 0, F.filter(F.transform(F.sequence(F.lit(0), F.size(s) - 1), lambda i: span(i, 1, w)), lambda x: x["words"] >= long_words))
-            return F.concat(F.filter(runs, lambda x: x["words"] >= run_words), F.coalesce(alone, F.array().cast("array<struct<hash:bigint,check:int,at:int,n:int,words:int>>")))
+            def longer(acc: Column, x: Column) -> Column:
+                more = (acc["n"] < run) | (acc["words"] < run_words)
+                return F.struct((acc["n"] + more.cast("int")).alias("n"), (acc["words"] + F.when(more, x).otherwise(0)).alias("words"))
+
+            none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"))
+            every = F.sequence(F.lit(0), F.size(s) - 1)
+            runs = F.transform(every, lambda i: let(F.aggregate(F.slice(w, i + 1, max(run, run_words)), none, longer), lambda a: span(i, a["n"], a["words"])))
+            alone = F.filter(F.transform(every, lambda i: F.when(F.get(w, i) >= long_words, span(i, F.lit(1), F.get(w, i)))), lambda x: x.isNotNull())
+            return F.when(F.size(s) > 0, F.concat(F.filter(runs, lambda x: (x["n"] >= run) & (x["words"] >= run_words)), alone)).otherwise(F.array().cast(_SPAN))
 
         return let(words, both)
 
@@ -59,14 +64,14 @@ def _marked(docs: DataFrame, doc_id: str, text: str, how: str, keep: list[Column
     scratch = Scratch(docs.sparkSession, "spans")
     found = repeated_sentences(docs, doc_id, text, sizes.get("run", RUN), sizes.get("run_words", RUN_WORDS), sizes.get("long_words", LONG_WORDS), scratch)
     mine = docs.select(*keep, docs[doc_id].alias("_own"), F.hash(docs[text]).alias("_own_hash"), docs[text].alias("_text"))
-    return join_checked(mine, found, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_text_hash")), how)
+    return join_checked(mine, found, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_text_hash")), how, size=8 * (F.size("spots") + F.size("firsts")))
 
 
 def removed_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **sizes) -> DataFrame:
     """One row per run of adjacent removed sentences: id, first_sentence, n_sentences, n_words, text, first_ids.
 
-    Removed are sentences covered by a span (``run`` sentences of ``run_words`` words, or one of ``long_words``) that
-    also stands earlier, in any document. first_ids are the documents that hold those first occurrences. Null, empty
+    Removed are sentences covered by a span (``run`` or more sentences with ``run_words`` words, or one of ``long_words``)
+    that also stands earlier, in any document. first_ids are the documents that hold those first occurrences. Null, empty
     and unrepeated texts give no rows; of wholly repeated rows none repeats the other; an empty table gives no rows.
     """
     rows = _marked(docs, doc_id, text, "inner", [], **sizes)

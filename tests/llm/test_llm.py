@@ -409,16 +409,18 @@ def test_embeddings_equal_brute_force(spark, monkeypatch, tile):
 
 
 def brute_spans(rows):
-    import re
+    import regex
 
     spans, sents = defaultdict(list), {}
     for i, t in rows:
-        s = [x for x in re.split(substring_dedup._BREAK, t or "") if x.encode().split()]
+        s = [x for x in regex.split(substring_dedup._BREAK, t or "") if x.encode().split()]
         sents[i] = s
         n = [len(x.encode().split()) for x in s]
         for k in range(len(s)):
-            if k + 1 < len(s) and n[k] + n[k + 1] >= substring_dedup.RUN_WORDS:
-                spans[s[k], s[k + 1]].append((i, k, 2))
+            for m in range(k + 2, len(s) + 1):
+                if sum(n[k:m]) >= substring_dedup.RUN_WORDS:
+                    spans[tuple(s[k:m])].append((i, k, m - k))
+                    break
             if n[k] >= substring_dedup.LONG_WORDS:
                 spans[(s[k],)].append((i, k, 1))
     gone = defaultdict(set)
@@ -440,6 +442,10 @@ def test_spans_equal_brute_force(spark):
             parts.insert(rng.randrange(len(parts) + 1), passage)
         if i % 5 == 0:
             parts.insert(0, one)
+        if i % 7 == 0:
+            parts[0] = prose(rng, 5) + " " + one + " " + prose(rng, 5) + "."
+        if i % 11 == 0:
+            parts.append("EACH! WORD! IS! ONE! SENTENCE! IN! THIS! TEXT! OF! TWELVE! WORDS! ALTOGETHER!")
         rows.append((i, rng.choice([" ", "\n"]).join(parts)))
     rows += [(100, rows[3][1]), (101, None), (102, "")]
     docs = documents(spark, rows)
