@@ -53,7 +53,7 @@ def repeated_sentences(docs: DataFrame, doc_id: str, text: str, run: int, run_wo
     a hash of the text, and wholly repeated rows are one document.
     """
     rows = docs.select(docs[doc_id].alias("_id"), F.hash(docs[text]).alias("_text_hash"), F.explode(_spans(docs[text], run, run_words, long_words)).alias("s"))
-    spans = rows.select("s.hash", "s.check", "_id", "_text_hash", "s.at", "s.n")
+    spans = scratch.write(rows.select("s.hash", "s.check", "_id", "_text_hash", "s.at", "s.n"))  # read twice
     first = spans.groupBy("hash", "check").agg(F.count("*").alias("c"), F.min(F.struct("_id", "_text_hash", "at")).alias("first")).where("c > 1").drop("c")
     again = spans.join(first, ["hash", "check"]).where(~F.struct("_id", "_text_hash", "at").eqNullSafe(F.col("first")))
     spots = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)))))
