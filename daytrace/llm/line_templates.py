@@ -16,22 +16,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daytrace.llm.common import Scratch, join_checked, words_of
+from daytrace.llm.common import Scratch, join_checked
 
 FIELD = "<*>"
 #: Leading tokens of a leaf.
 DEPTH = 2
-#: Documents that make a template recur; tokens of a line that can have one; share of its tokens that must be fixed.
+#: Documents that make a template recur; tokens of a line that can have fields; share of its tokens that must be fixed.
 MIN_DOCS, MIN_TOKENS, FIXED_SHARE = 10, 4, 0.6
-#: A document of which more than this share of words would go is a copy of others and is left whole.
-MOST_DROPPED = 0.5
 _DIGIT = re.compile(r"[0-9]")
 
 
 def tokens_of(line: str) -> list[str]:
     """Words of a line, those with a digit generalised."""
-    tokens = [t.decode("utf-8", "surrogatepass") for t in line.encode("utf-8", "surrogatepass").split()]
-    return [FIELD if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
+    return _generalised(_words(line))
+
+
+def _words(line: str) -> list[str]:
+    return [t.decode("utf-8", "surrogatepass") for t in line.encode("utf-8", "surrogatepass").split()]
+
+
+def _generalised(words: list[str]) -> list[str]:
+    return [FIELD if _DIGIT.search(t) else t for t in words]
 
 
 def _signed(digest: int) -> int:
@@ -45,23 +50,34 @@ def _hashes(tokens: list[str]) -> tuple[int, int]:
 
 
 def _lines(docs: DataFrame, kind: str, with_tokens: bool) -> DataFrame:
-    """(_id, _hash, no, words, leaf, line[, tokens]) of the lines with MIN_TOKENS words; shorter ones count under line 0 as words."""
+    """(_id, _hash, same, total, no, words, leaf, line[, tokens]) of the lines with a word.
+
+    Lines under MIN_TOKENS words keep their digits, so that nothing in them is a field. ``same`` is a digest of the set of
+    the document's generalised lines, ``total`` its number of words.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for i, h, text in zip(batch._id, batch._hash, batch._text, strict=True):
+                found, total, kinds = [], 0, set()
                 for no, line in enumerate((text or "").split("\n")):
-                    if line and len(t := tokens_of(line)) >= MIN_TOKENS:
+                    if line and (w := _words(line)):
+                        g = _generalised(w)
+                        t = g if len(w) >= MIN_TOKENS else w
                         leaf, whole = _hashes(t)
-                        out.append((i, h, no, len(t), leaf, whole, t) if with_tokens else (i, h, no, len(t), leaf, whole))
+                        total += len(w)
+                        kinds.add(whole if g == t else _hashes(g)[1])
+                        found.append((no, len(t), leaf, whole, t) if with_tokens else (no, len(t), leaf, whole))
+                same = _signed(xxhash.xxh3_64_intdigest(" ".join(map(str, sorted(kinds)))))
+                out.extend((i, h, same, total, *f) for f in found)
                 if len(out) > 5000:
                     yield pd.DataFrame(out, columns=names)
                     out = []
             yield pd.DataFrame(out, columns=names)
 
-    schema = f"_id {kind}, _hash int, no int, words int, leaf long, line long" + ", tokens array<string>" * with_tokens
-    names = ["_id", "_hash", "no", "words", "leaf", "line"] + ["tokens"] * with_tokens
+    schema = f"_id {kind}, _hash int, same long, total int, no int, words int, leaf long, line long" + ", tokens array<string>" * with_tokens
+    names = ["_id", "_hash", "same", "total", "no", "words", "leaf", "line"] + ["tokens"] * with_tokens
     return docs.mapInPandas(parse, schema)
 
 
@@ -80,20 +96,27 @@ def recurring_lines(docs: DataFrame, doc_id: str, text: str, min_docs: int, scra
     in_docs = _in_documents(join_checked(lines, live, "leaf", "left_semi"), "line")
     told = join_checked(_lines(rows, kind, True), live, "leaf", "left_semi").groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
     told = scratch.write(told.join(in_docs, "line"))
-    placed = told.select("line", "leaf", "docs", F.posexplode("tokens").alias("at", "token"))
+    is_short = F.size("tokens") < MIN_TOKENS
+    short = told.where(is_short & (F.col("docs") >= min_docs)).select("line", F.array_join("tokens", " ").alias("template"))
+    placed = told.where(~is_short).select("line", "leaf", "docs", F.posexplode("tokens").alias("at", "token"))
     fixed = placed.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).drop("n")
     fields = placed.join(fixed.withColumn("fixed", F.lit(True)), ["leaf", "at", "token"], "left")
     is_fixed = F.col("fixed").isNotNull() & (F.col("token") != FIELD)
     parts = F.transform(F.array_sort(F.collect_list(F.struct("at", F.when(is_fixed, F.col("token")).otherwise(FIELD).alias("t")))), lambda x: x["t"])
     made = fields.groupBy("line").agg(F.array_join(parts, " ").alias("template"), F.count_if(is_fixed).alias("n_fixed"), F.count("*").alias("n"))
-    made = scratch.write(made.where((F.col("n_fixed") >= F.col("n") * FIXED_SHARE) & (F.col("n_fixed") >= MIN_TOKENS - 1)).select("line", "template"))
-    having = scratch.write(join_checked(lines, made, "line", "inner").select("_id", "_hash", "no", "words", "template"))
+    made = scratch.write(made.where((F.col("n_fixed") >= F.col("n") * FIXED_SHARE) & (F.col("n_fixed") >= MIN_TOKENS - 1)).select("line", "template").unionByName(short))
+    having = scratch.write(join_checked(lines, made, "line", "inner").select("_id", "_hash", "same", "total", "no", "words", "template"))
     first = having.groupBy("template").agg(F.min(F.struct("_id", "_hash", "no")).alias("first"))
     often = scratch.write(_in_documents(having, "template").where(F.col("docs") >= min_docs).drop("docs").join(first, "template"))
     again = join_checked(having, often, "template", "inner").where(~F.struct("_id", "_hash", "no").eqNullSafe(F.col("first")))
-    return scratch.write(again.groupBy("_id", "_hash").agg(
-        F.collect_set(F.struct("no", "words", "template")).alias("hits")
-    ).select("_id", "_hash", F.col("hits.no").alias("spots"), F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("dropped"), "hits"))
+    hits = scratch.write(again.groupBy("_id", "_hash", "same", "total").agg(F.collect_set(F.struct("no", "words", "template")).alias("hits")))
+    emptied = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["words"]) >= F.col("total")
+    # of the sets of lines that would go as a whole, those that more than one document has
+    sets = scratch.write(hits.where(emptied).select("same").distinct())
+    own = F.xxhash64("_id", "_hash")
+    copied = join_checked(lines.select("same", own.alias("own")), sets, "same", "left_semi").groupBy("same").agg(F.min("own").alias("a"), F.max("own").alias("b"))
+    copied = scratch.write(copied.where("a <> b").select("same", F.lit(True).alias("copied")))
+    return scratch.write(join_checked(hits, copied, "same", "left").where(~emptied | F.col("copied").isNull()).select("_id", "_hash", F.col("hits.no").alias("spots"), "hits"))
 
 
 def _bytes() -> Column:
@@ -103,19 +126,18 @@ def _bytes() -> Column:
 def _marked(docs: DataFrame, doc_id: str, text: str, min_docs: int, how: str, keep: list[Column]) -> DataFrame:
     found = recurring_lines(docs, doc_id, text, min_docs, Scratch(docs.sparkSession, "lines"))
     mine = docs.select(*keep, docs[doc_id].alias("_own"), F.hash(docs[text]).alias("_own_hash"), docs[text].alias("_text"))
-    both = join_checked(mine, found, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")), how, size=_bytes())
-    few = F.when(F.col("dropped").isNotNull(), F.col("dropped") <= MOST_DROPPED * F.size(words_of(F.col("_text"))))
-    return both.withColumn("_few", F.coalesce(few, F.lit(False)))
+    return join_checked(mine, found, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")), how, size=_bytes())
 
 
 def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """One row per line that goes: id, line_no (from 0, lines are split at line feeds), template, line.
 
     A document, for counting, is an id with a text: wholly repeated rows count once and lose the same lines. The first
-    occurrence is that of the smallest id, then text hash, then line. Null and empty texts have no lines; lines under
-    MIN_TOKENS words have no template; an empty table gives no rows.
+    occurrence is that of the smallest id, then text hash, then line. A line under MIN_TOKENS words is its own template.
+    A document that would lose all its words stays whole if another has the same set of lines, numbers aside: of such
+    copies near-dedup keeps one. Null and empty texts have no lines; an empty table gives no rows.
     """
-    rows = _marked(docs, doc_id, text, min_docs, "inner", []).where("_few")
+    rows = _marked(docs, doc_id, text, min_docs, "inner", [])
     one = rows.select("_own", F.split("_text", "\n", -1).alias("lines"), F.explode("hits").alias("h"))
     return one.select(F.col("_own").alias(doc_id), F.col("h.no").alias("line_no"), F.col("h.template").alias("template"), F.get("lines", F.col("h.no")).alias("line"))
 
@@ -124,5 +146,5 @@ def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """``docs`` without those lines; texts that lose none are untouched and no row goes."""
     rows = _marked(docs, doc_id, text, min_docs, "left", [F.struct(*[docs[c] for c in docs.columns]).alias("_doc")])
     left = F.array_join(F.filter(F.split("_text", "\n", -1), lambda x, i: ~F.array_contains("spots", i)), "\n")
-    new = F.when(F.col("_few"), left).otherwise(F.col("_text"))
+    new = F.when(F.col("spots").isNotNull(), left).otherwise(F.col("_text"))
     return rows.select(*[(new if c == text else F.col("_doc")[c]).alias(c) for c in docs.columns])

@@ -545,6 +545,23 @@ def test_line_edges(spark):
     assert line_templates.dropped_lines(documents(spark, copies)).count() == 0, "whole copies are left to document dedup"
 
 
+def test_mostly_recurring_documents_and_short_lines_are_cleaned(spark):
+    rng = random.Random(31)
+    rows = [(i, prose(rng, 4) + "\nAccept all cookies to read on with us\nRead more\n7 July\nPage " + str(i)) for i in range(12)]
+    rows += [(100 + i, "Read more\n" + prose(rng, 30)) for i in range(3)]
+    copies = [(200 + i, "some copied page\nwith its own two lines of words") for i in range(11)]
+    left = {r.doc_id: r.text.split("\n") for r in line_templates.drop_recurring_lines(documents(spark, rows + copies)).collect()}
+    text = dict(rows)
+    assert left[0] == text[0].split("\n")
+    for i in range(1, 12):
+        first, *_, last = text[i].split("\n")
+        assert left[i] == [first, last], "over half of the words go, and lines of one to three words"
+    assert all(left[100 + i] == text[100 + i].split("\n")[1:] for i in range(3))
+    assert all("\n".join(left[i]) == t for i, t in copies)
+    got = {(r.doc_id, r.line) for r in line_templates.dropped_lines(documents(spark, rows + copies)).collect()}
+    assert (5, "Read more") in got and (5, "7 July") in got and not any(line.startswith("Page") for _, line in got)
+
+
 # --- 7 languages
 
 
