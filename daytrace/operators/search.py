@@ -43,19 +43,27 @@ def in_range(c: Column, low, high) -> Column:
     return out
 
 
-def search_events(events: DataFrame, query: str, start_ts: float | None = None, end_ts: float | None = None, limit: int = 1000) -> DataFrame:
-    """Event summaries, latest first."""
-    return events.where(contains(F.col("summary_text"), query) & in_range(F.col("start_ts"), start_ts, end_ts)).orderBy(F.desc("start_ts"), F.desc("id")).limit(limit)
+def _latest(hits: DataFrame, at: str, limit: int | None) -> DataFrame:
+    """The latest hits in order; without a limit all of them, in no order."""
+    return hits if limit is None else hits.orderBy(F.desc(at), F.desc("id")).limit(limit)
 
 
-def search_days(recaps: DataFrame, query: str, first: date | None = None, after: date | None = None, limit: int = 1000) -> DataFrame:
-    """Daily recaps, latest day first."""
+def search_events(events: DataFrame, query: str, start_ts: float | None = None, end_ts: float | None = None, limit: int | None = 1000) -> DataFrame:
+    """Event summaries, latest first; all of them, unordered, if the limit is None."""
+    return _latest(events.where(contains(F.col("summary_text"), query) & in_range(F.col("start_ts"), start_ts, end_ts)), "start_ts", limit)
+
+
+def search_days(recaps: DataFrame, query: str, first: date | None = None, after: date | None = None, limit: int | None = 1000) -> DataFrame:
+    """Daily recaps, latest day first; all of them, unordered, if the limit is None."""
     iso = lambda d: None if d is None else d.isoformat()
-    return recaps.where(contains(F.col("recap_text"), query) & in_range(F.col("day"), iso(first), iso(after))).orderBy(F.desc("day"), F.desc("id")).limit(limit)
+    return _latest(recaps.where(contains(F.col("recap_text"), query) & in_range(F.col("day"), iso(first), iso(after))), "day", limit)
+
 
+def search_all(events: DataFrame, recaps: DataFrame, query: str, scope: str, anchor: date, limit: int | None = 2000) -> DataFrame:
+    """Hits of both kinds (summary_type, source_id, timestamp, day, text), latest first; a blank query has none.
 
-def search_all(events: DataFrame, recaps: DataFrame, query: str, scope: str, anchor: date, limit: int = 2000) -> DataFrame:
-    """Hits of both kinds (summary_type, source_id, timestamp, day, text), latest first; a blank query has none."""
+    ``limit`` is per kind. If it is None, the one sort is that of the union, over ranges of all tasks.
+    """
     query = query.strip()
     first, after = scope_days(scope, anchor)
     at = lambda d: None if d is None else day_start(d)

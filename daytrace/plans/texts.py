@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daytrace.config import CoalesceSettings, SummaryDedupSettings
@@ -21,11 +21,25 @@ SELECT summary_type, source_id, CAST(ts AS DOUBLE) AS "timestamp", strftime(make
 UNION ALL SELECT summary_type, source_id, CAST(ts AS DOUBLE), strftime(make_timestamp(CAST(ts AS BIGINT) * 1000000), '%Y-%m-%d') AS day, text FROM d WHERE ts >= 1704067200 AND ts < 1735689600""")
 def search_union_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that hold a literal in a year, of both kinds."""
-    e = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (1704067200 + F.col("doc_id") * 3600).cast("double").alias("start_ts"), F.col("text").alias("summary_text"))
+    return _searched(spark, sf_dir, F.col("doc_id"), F.col("conv_id"))
+
+
+@query("search_union_whole", """
+WITH e AS (SELECT 'event' AS summary_type, doc_id AS source_id, 1704067200 + doc_id % 8784 * 3600 AS ts, trim(text, ' ') AS text FROM documents WHERE contains(lower(text), 'the ')),
+d AS (SELECT 'day' AS summary_type, conv_id * 100 + turn AS source_id, 1704067200 + conv_id % 366 * 86400 AS ts, trim(text, ' ') AS text FROM conversations WHERE contains(lower(text), 'the '))
+SELECT summary_type, source_id, CAST(ts AS DOUBLE) AS "timestamp", strftime(make_timestamp(CAST(ts AS BIGINT) * 1000000), '%Y-%m-%d') AS day, text FROM (SELECT * FROM e UNION ALL SELECT * FROM d)""")
+def search_union_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As search_union_scoped, but with hours and days of the year that every id falls into."""
+    return _searched(spark, sf_dir, F.col("doc_id") % 8784, F.col("conv_id") % 366)
+
+
+def _searched(spark: SparkSession, sf_dir: str, hour: Column, day: Column) -> DataFrame:
+    """Documents and turns with a literal in 2024, dated by hours and days from its start."""
+    e = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (1704067200 + hour * 3600).cast("double").alias("start_ts"), F.col("text").alias("summary_text"))
     c = table(spark, sf_dir, "conversations")
-    at = (1704067200 + F.col("conv_id") * 86400).cast("double")
+    at = (1704067200 + day * 86400).cast("double")
     d = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), at.alias("created_ts"), F.date_format(F.timestamp_seconds(at), "yyyy-MM-dd").alias("day"), F.col("text").alias("recap_text"))
-    return search.search_all(e, d, "the ".strip() + " ", "year", date(2024, 6, 1), 1 << 30).where(F.lower("text").contains("the "))
+    return search.search_all(e, d, "the ".strip() + " ", "year", date(2024, 6, 1), None).where(F.lower("text").contains("the "))
 
 
 TICKETS = "'Working on abc-' || doc_id || ' and DEF-' || (doc_id % 7) || ', see ABC-' || doc_id"

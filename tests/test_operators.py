@@ -239,6 +239,23 @@ def test_daily_scores(spark):
     assert quality.weak_days(e).count() == 1
 
 
+def test_search_without_a_limit_sorts_once(spark, tmp_path):
+    from daytrace.plans import catalog
+
+    folder = str(tmp_path)
+    ids = [1, 2, 8_783, 8_784, 5_000_000, 90_000_000_000]
+    spark.createDataFrame([(i, " The one ") for i in ids], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 3, "in the end") for i in ids], "conv_id long, turn int, text string").write.parquet(f"{folder}/conversations.parquet")
+    for name, n in (("search_union_scoped", 5), ("search_union_whole", 12)):
+        df = catalog.QUERIES[name](spark, folder)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrdered" not in plan and "Limit" not in plan and "SinglePartition" not in plan, name
+        found = df.collect()
+        assert len(found) == n and all(r.day.startswith("2024") for r in found)
+        assert [r.timestamp for r in found] == sorted((r.timestamp for r in found), reverse=True)
+    assert {r.source_id for r in found if r.summary_type == "event"} == set(ids)
+
+
 def test_search(spark):
     e = spark.createDataFrame([(1, 1775779200.0, "Alpha 100%"), (2, 1776643200.0, "new ALPHA"), (3, 1775779300.0, "x_id")], "id long, start_ts double, summary_text string")
     d = spark.createDataFrame([(9, "2026-04-10", "alpha day", 1775779201.0)], "id long, day string, recap_text string, created_ts double")
