@@ -14,7 +14,7 @@ from daytrace.session import ship
 
 #: Length of a vector; n-grams of 1 to 3 letters are hashed into it.
 SLOTS = 4096
-#: Distinct texts per language (in expectation) that its centroids are fitted on; document frequencies cover all rows.
+#: Distinct texts per language (in expectation; all where there are fewer) that its centroids are fitted on; document frequencies cover all rows.
 FIT_TEXTS = 1500
 CENTROIDS = 4
 #: A text further from its centroid than all but this share of the fitted texts is marked rejected.
@@ -105,10 +105,11 @@ def fit(train: DataFrame, fit_texts: int = FIT_TEXTS, centroids: int = CENTROIDS
     """idf, and per centroid its language, vector and rejection cosine; ``train`` has _text and _lang (not null).
 
     Document frequencies come from all rows. Centroids are fitted per language on distinct texts whose hash falls
-    under fit_texts / (rows of the language), one task per language; a few centroids per language reach the driver.
+    under fit_texts / (distinct texts of the language), or on all of them where they are fewer; one task per language; a
+    few centroids per language reach the driver.
     """
     idf = _document_frequencies(train)
-    n = train.groupBy("_lang").agg(F.count("*").alias("_n"))
+    n = train.select("_lang", F.xxhash64("_text").alias("_key")).distinct().groupBy("_lang").agg(F.count("*").alias("_n"))
     unit = F.shiftrightunsigned(F.xxhash64("_text"), 11) / float(1 << 53)
     some = train.join(F.broadcast(n), "_lang").where(unit * F.col("_n") < fit_texts).groupBy("_lang", F.xxhash64("_text")).agg(F.first("_text").alias("_text"))
 

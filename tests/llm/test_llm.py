@@ -592,6 +592,18 @@ def test_language_edges(spark):
     assert nothing[0].lang_pred == "und" and langid.identify_languages(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_fit_sample_does_not_shrink_with_copies(spark):
+    rows = tongues(90)
+    few = [(f"{t}", k) for _, t, k in rows]
+    copies = [(few[0][0], few[0][1])] * 40_000
+    train = spark.createDataFrame(few + copies, "_text string, _lang string")
+    _, langs, centroids, _ = langid.fit(train, fit_texts=40)
+    assert Counter(langs) == {"aa": 4, "bb": 4, "cc": 4}, "30 distinct texts a language, fewer than asked for: all are fitted on"
+    model = langid.fit(train, fit_texts=40)
+    texts = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert np.mean([r.lang_pred == rows[r.doc_id][2] for r in langid.predict(texts, model, ["doc_id"]).collect()]) > 0.95
+
+
 # --- 2 language model
 
 
