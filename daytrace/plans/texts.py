@@ -205,8 +205,8 @@ def jaccard_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("title_similarity")
 def title_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sequence ratio of adjacent turns' first words."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("id"), F.col("turn").alias("created_ts"), F.substring("text", 1, 60).alias("t"))
+    """sequence ratio and word overlap of adjacent turns' whole texts."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("id"), F.col("turn").alias("created_ts"), F.col("text").alias("t"))
     return add_text_similarity(add_ratio(dedup.summary_pairs(c, ["conv_id"], 1), "n_t", "o_t", "ratio"), "n_t", "o_t", "similarity").select("conv_id", F.col("n_id").alias("turn"), F.round("ratio", 6).alias("ratio"), F.round("similarity", 6).alias("similarity"))
 
 

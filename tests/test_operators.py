@@ -239,6 +239,19 @@ def test_daily_scores(spark):
     assert quality.weak_days(e).count() == 1
 
 
+def test_title_similarity_reads_whole_texts(spark, tmp_path):
+    from daytrace.functions.similarity import ratio
+    from daytrace.plans import catalog
+
+    opening = "these are the same sixty characters at the start of each turn "
+    turns = [opening + "alpha beta gamma delta " * 9, opening + "one two three four " * 9, "x" + opening + "one two three four " * 9]
+    spark.createDataFrame([(1, i, t) for i, t in enumerate(turns)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.turn: r for r in catalog.QUERIES["title_similarity"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2} and got[1].ratio < 0.9 and got[1].similarity < 0.9
+    for i in (1, 2):
+        assert got[i].ratio == pytest.approx(ratio(turns[i], turns[i - 1]), abs=1e-6)
+
+
 def test_search_without_a_limit_sorts_once(spark, tmp_path):
     from daytrace.plans import catalog
 
