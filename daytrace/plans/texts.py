@@ -157,7 +157,7 @@ CLUSTERS_SQL = PAIRS_SQL + """, c AS (SELECT v.id, v.label, sum(CASE WHEN m.deci
 """
 
 
-@query("coalesce_adjacent", CLUSTERS_SQL + """SELECT CAST(cluster AS BIGINT) AS cluster, min(id) * 1200.0 AS start_ts, max(id) * 1200.0 + 600 AS end_ts, CAST(count(*) AS INT) AS member_count,
+@query("coalesce_adjacent", CLUSTERS_SQL + """SELECT CAST(cluster AS BIGINT) AS cluster, min(id) * 1200.0::DOUBLE AS start_ts, max(id) * 1200.0::DOUBLE + 600 AS end_ts, CAST(count(*) AS INT) AS member_count,
 CASE WHEN count(DISTINCT label) = 1 THEN 'app' || any_value(label) ELSE 'mixed' END AS process_name FROM c GROUP BY cluster""")
 def coalesce_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains of merging summaries."""
@@ -270,7 +270,7 @@ def prompt_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("parsed_responses", """
-SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'validated' ELSE 'degraded' END AS parse_status, CASE WHEN turn % 2 = 0 THEN 0.75 ELSE 0.25 END AS overall_confidence FROM conversations""")
+SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'validated' ELSE 'degraded' END AS parse_status, CASE WHEN turn % 2 = 0 THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END AS overall_confidence FROM conversations""")
 def parsed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses with a fence around JSON, or plain text."""
     c = table(spark, sf_dir, "conversations")
