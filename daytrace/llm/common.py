@@ -15,6 +15,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 #: Bytes of arrays and texts up to which a side is broadcast.
 BROADCAST_BYTES = 64_000_000
+#: A key is split from so many rows on, and from one HOT_KEYSth of all rows: hence no more than HOT_KEYS keys are.
+HOT_ROWS, HOT_KEYS = 1000, 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +34,15 @@ def let(value: Column, body) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or one of our own where none is set (one machine, as in tests)."""
+    """The folder of spark.checkpoint.dir; on one machine, as in tests, one of our own where none is set.
+
+    On several machines a folder of the driver's would be another one on each executor, so that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = getattr(spark.sparkContext, "_daytrace_folder", None)
     if own is None:
         own = spark.sparkContext._daytrace_folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
@@ -86,21 +93,52 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str, rows: int | No
     return left.join(F.broadcast(right) if rows <= limit and total <= BROADCAST_BYTES else right, on, how)
 
 
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], scratch: Scratch, how: str = "inner", size: Column | None = None) -> DataFrame:
+    """Join of ``left`` with ``right``, which is unique per key and has in ``c`` how many rows of ``left`` the key has.
+
+    A small ``right`` is broadcast. Otherwise keys of many rows, which would be one task, are joined by broadcast: a key
+    counts as such from HOT_ROWS rows and one HOT_KEYSth of all, so there are at most HOT_KEYS; the others shuffle. ``on``
+    holds no nulls, ``how`` is inner, left or left_semi; ``c`` is not in the result.
+    """
+    right = scratch.write(right)
+    rows, total, fat = right.agg(F.count("*"), F.sum("c"), F.coalesce(F.sum(size if size is not None else F.lit(0)), F.lit(0))).first()
+    lean = right.drop("c")
+    if rows <= BROADCAST_ROWS and fat <= BROADCAST_BYTES:
+        return left.join(F.broadcast(lean), on, how)
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    hot, rest = right.where(F.col("c") > limit).drop("c"), right.where(F.col("c") <= limit).drop("c")
+    cool = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on, how)
+    return cool.unionByName(left.join(F.broadcast(hot), on, "inner" if how == "left" else how))
+
+
+def join_salted(left: DataFrame, right: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """Inner join with a ``right`` of wide rows, unique per key: a key of more than HOT_ROWS rows of ``left`` is dealt over
+    several tasks, and its row of ``right`` is sent to each of them."""
+    counts = left.groupBy(key).agg(F.count("*").alias("_c"))
+    total = left.count()
+    hot = scratch.write(counts.where(F.col("_c") > max(HOT_ROWS, total // HOT_KEYS)).select(key, F.ceil(F.col("_c") / HOT_ROWS).cast("int").alias("_parts")))
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.col("_parts"))).otherwise(0).cast("int")).drop("_parts")
+    copied = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: (id, component) with the smallest id reachable, for every id on an edge.
 
     Alternates large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and Beyond"):
-    every step is a minimum per node and a join, and rows never exceed the edges; ends when nothing changes.
+    every step is a minimum per node and a join that splits hubs, and rows never exceed the edges; ends when nothing
+    changes.
     """
     ends = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now = scratch.write(ends)
     seen = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("c"))
+        large = join_counted(both, low, ["u"], scratch).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = scratch.write(large)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        small = join_counted(large, low, ["u"], scratch).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
         after = scratch.write(small.select("e.u", "e.v").where("u <> v").distinct())
         scratch.drop(now)
         now = after

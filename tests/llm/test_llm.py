@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -62,6 +63,21 @@ def test_shared_folder_is_the_cluster_s(spark):
     assert common.shared_folder(spark) == given if given else common.shared_folder(spark).startswith("file:")
 
 
+def test_no_machine_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://somewhere:7077"
+
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(Session())
+
+
 # --- 5 quality rules
 
 
@@ -408,64 +424,136 @@ def test_embeddings_equal_brute_force(spark, monkeypatch, tile):
 # --- 6 spans
 
 
-def brute_spans(rows):
-    import regex
+def brute_sentences(text):
+    """A splitter of its own, character by character: lists of words."""
+    marks, closers, dense = ".!?…", "\"'”’»)]", "。！？।؟۔"
+    chunks, cur, i = [], "", 0
+    while i < len(text):
+        c = text[i]
+        if c == "\n":
+            chunks.append(cur)
+            cur = ""
+            i += 1
+            continue
+        cur += c
+        i += 1
+        if c in dense:
+            while i < len(text) and text[i] in dense:
+                cur += text[i]
+                i += 1
+            chunks.append(cur)
+            cur = ""
+        elif c in marks:
+            while i < len(text) and text[i] in marks + closers:
+                cur += text[i]
+                i += 1
+            if i == len(text) or text[i] in SPACES:
+                chunks.append(cur)
+                cur = ""
+    chunks.append(cur)
+    whole, acc = [], []
+    for chunk in chunks:
+        acc = acc + [w.decode() for w in chunk.encode().split()]
+        if len(acc) >= 4:
+            whole.append(acc)
+            acc = []
+    whole += [acc] if acc else []
+    out = []
+    for s in whole:
+        if len(s) <= 24:
+            out.append(s)
+            continue
+        part = []
+        for w in s:
+            part.append(w)
+            if len(part) == 24 or len(part) >= 4 and zlib.crc32(w.encode()) % 8 == 0:
+                out.append(part)
+                part = []
+        out += [part] if part else []
+    return out
 
+
+def brute_spans(rows):
     spans, sents = defaultdict(list), {}
     for i, t in rows:
-        s = [x for x in regex.split(substring_dedup._BREAK, t or "") if x.encode().split()]
-        sents[i] = s
-        n = [len(x.encode().split()) for x in s]
-        for k in range(len(s)):
-            for m in range(k + 2, len(s) + 1):
-                if sum(n[k:m]) >= substring_dedup.RUN_WORDS:
-                    spans[tuple(s[k:m])].append((i, k, m - k))
-                    break
-            if n[k] >= substring_dedup.LONG_WORDS:
-                spans[(s[k],)].append((i, k, 1))
+        sents[i] = s = brute_sentences(t or "")
+        for k in range(len(s) - 2):
+            spans[tuple(map(tuple, s[k : k + 3]))].append((i, k))
     gone = defaultdict(set)
     for found in spans.values():
-        for i, k, n in sorted(found)[1:]:
-            gone[i] |= set(range(k, k + n))
+        for i, k in sorted(found)[1:]:
+            gone[i] |= {k, k + 1, k + 2}
     return gone, sents
 
 
 def test_spans_equal_brute_force(spark):
     rng = random.Random(12)
-    say = lambda n: prose(rng, n).capitalize() + rng.choice(".!?")
-    passage = " ".join(say(20) for _ in range(3))
-    one = say(60)
+    say = lambda n: prose(rng, n).capitalize() + rng.choice([".", "!", "?", ".”", "…"])
+    passage = " ".join(say(20) for _ in range(4))
+    bare = prose(rng, 60)
     rows = []
     for i in range(60):
         parts = [say(rng.randint(1, 12)) for _ in range(rng.randint(1, 6))]
         if i % 4 == 0:
-            parts.insert(rng.randrange(len(parts) + 1), passage)
+            parts.insert(rng.randrange(len(parts) + 1), passage if i % 8 else prose(rng, 3) + " " + passage + " " + prose(rng, 5) + ".")
         if i % 5 == 0:
-            parts.insert(0, one)
-        if i % 7 == 0:
-            parts[0] = prose(rng, 5) + " " + one + " " + prose(rng, 5) + "."
+            parts.insert(0, prose(rng, 4) + " " + bare + " " + prose(rng, 5))
         if i % 11 == 0:
-            parts.append("EACH! WORD! IS! ONE! SENTENCE! IN! THIS! TEXT! OF! TWELVE! WORDS! ALTOGETHER!")
-        rows.append((i, rng.choice([" ", "\n"]).join(parts)))
-    rows += [(100, rows[3][1]), (101, None), (102, "")]
+            parts.append("これは短い文です。次の文です。 Words of 3.14 and e.g.this. Ha! Ho! Hum!")
+        rows.append((i, rng.choice([" ", "\n", "\n\n"]).join(parts)))
+    rows += [(100, rows[3][1]), (101, None), (102, ""), (103, bare), (104, bare.replace(" ", "  ")), (105, "der " * 300), (106, "x " + "der " * 200), (107, "long. " * 30_000)]
     docs = documents(spark, rows)
     gone, sents = brute_spans(rows)
     runs = substring_dedup.removed_runs(docs).collect()
     got = defaultdict(set)
     for r in runs:
         got[r.doc_id] |= set(range(r.first_sentence, r.first_sentence + r.n_sentences))
-        assert r.text == " ".join(sents[r.doc_id][r.first_sentence : r.first_sentence + r.n_sentences]) and r.n_words == len(words(r.text))
-    assert got == gone and 100 in got and 0 not in got
+        body = [w for s in sents[r.doc_id][r.first_sentence : r.first_sentence + r.n_sentences] for w in s]
+        assert "".join(w.decode() for w in words(r.text)) == "".join(body) and r.text in dict(rows)[r.doc_id] and r.n_words == len(words(r.text))
+    assert got == gone and {100, 104} <= set(got) and 0 not in got
     left = {r.doc_id: r.text for r in substring_dedup.remove_repeats(docs).collect()}
     for i, t in rows:
-        assert left[i] == (" ".join(s for k, s in enumerate(sents[i]) if k not in gone[i]) if gone.get(i) else t)
+        if not gone.get(i):
+            assert left[i] == t
+        else:
+            assert "".join(w.decode() for w in words(left[i])) == "".join(w for k, s in enumerate(sents[i]) if k not in gone[i] for w in s)
+
+
+def test_lower_case_passages_without_marks_are_found(spark):
+    rng = random.Random(40)
+    passage = prose(rng, 60)
+    rows = [(1, prose(rng, 30) + " " + passage + " " + prose(rng, 30)), (2, prose(rng, 9) + " " + passage + " " + prose(rng, 50)), (3, prose(rng, 90))]
+    got = substring_dedup.removed_runs(documents(spark, rows)).collect()
+    assert {r.doc_id for r in got} == {2} and sum(r.n_words for r in got) >= 30
+
+
+def test_removal_keeps_lines_and_spaces(spark):
+    shared = "One two three four. Five six seven eight. Nine ten eleven twelve."
+    rows = [(1, shared), (2, "\tA list of things:\n- first of all that is\n\n" + shared + "\n- second of all that is\n"), (3, "Own words come first here. " + shared + " Own words come last here."), (4, shared + "\nAnd then some more words.")]
+    left = {r.doc_id: r.text for r in substring_dedup.remove_repeats(documents(spark, rows)).collect()}
+    assert left == {1: shared, 2: "\tA list of things:\n- first of all that is\n\n- second of all that is\n", 3: "Own words come first here. Own words come last here.", 4: "And then some more words."}
 
 
 def test_span_edges(spark):
     assert substring_dedup.removed_runs(documents(spark, ODD)).count() == 0
-    same = [(1, "One two three four five six. Seven eight nine ten eleven."), (1, "One two three four five six. Seven eight nine ten eleven.")]
+    same = [(1, "One two three four five six. Seven eight nine ten eleven. A b c d.")] * 2
     assert substring_dedup.removed_runs(documents(spark, same)).count() == 0
     assert substring_dedup.removed_runs(documents(spark, same).limit(0)).count() == 0
+    assert substring_dedup.remove_repeats(documents(spark, ODD)).count() == 7
+    none = [(None, same[0][1]), (None, same[0][1] + " And another one more."), (3, same[0][1])]
+    assert sorted((r.doc_id or 0, r.first_sentence) for r in substring_dedup.removed_runs(documents(spark, none)).collect()) == [(0, 0), (3, 0)]
+
+
+def test_hot_spans_are_split(spark, monkeypatch):
+    """The same rows come out where keys are joined by broadcast, by shuffle and in parts."""
+    rng = random.Random(41)
+    passage = " ".join(prose(rng, 9) + "." for _ in range(4))
+    rows = [(i, prose(rng, 8) + ". " + passage + " " + prose(rng, 9) + ".") for i in range(60)] + [(100 + i, rows_) for i, rows_ in enumerate([" ".join(prose(rng, 6) + "." for _ in range(5))] * 3)]
+    wanted = sorted(map(tuple, substring_dedup.removed_runs(documents(spark, rows)).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    monkeypatch.setattr(common, "HOT_KEYS", 10_000)
+    assert sorted(map(tuple, substring_dedup.removed_runs(documents(spark, rows)).collect())) == wanted and len(wanted) == 61
 
 
 # --- 3 lines
