@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daytrace.llm.common import BROADCAST_ROWS
+from daytrace.llm.common import BROADCAST_ROWS, Scratch, join_counted
 
 #: Hex digits of the digest that rows are joined by (32 bits).
 PREFIX_HEX = 8
@@ -35,25 +35,27 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     returned; repeated rules are one rule; an empty rule table allows all.
     """
     kept = [c for c in pages.columns if c.lower() not in {"host", "path", "rule", "verdict"}]
-    split = pages.select(*[pages[c] for c in kept], host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
+    scratch = Scratch(pages.sparkSession, "urls")
+    split = pages.select(F.struct(F.lit(0), *[pages[c] for c in kept]).alias("page"), host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
     keyed = rules.select("verdict", "host", "path").distinct().select(
         F.concat("host", "path").alias("rule"), F.sha2(F.concat_ws("\n", "host", "path"), 256).alias("digest"),
         F.char_length("host").alias("host_len"), F.char_length("path").alias("path_len"), "verdict",
     ).withColumn("short", F.substring("digest", 1, PREFIX_HEX))
     lengths = keyed.agg(F.count("*").alias("n"), F.collect_set("path_len").alias("lengths")).first()
-    urls = split.select("host", "path").where(F.col("host") != "").distinct()
+    # a url without a host fits no rule, and none of these is joined
+    urls = scratch.write(split.where(F.col("host") != "").groupBy("host", "path").agg(F.count("*").alias("c")))
     labels = F.split("host", r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = [F.when(F.char_length("path") >= n, F.substring("path", 1, n)) for n in sorted(lengths["lengths"])] or [F.lit(None).cast("string")]
     digests = F.flatten(F.transform(hosts, lambda h: F.transform(F.array_compact(F.array(*prefixes)), lambda p: F.sha2(F.concat_ws("\n", h, p), 256))))
-    wanted = urls.select("host", "path", F.explode(F.array_distinct(digests)).alias("full")).withColumn("short", F.substring("full", 1, PREFIX_HEX))
+    wanted = urls.select("host", "path", "c", F.explode(F.array_distinct(digests)).alias("full")).withColumn("short", F.substring("full", 1, PREFIX_HEX))
     small = F.broadcast(keyed) if lengths["n"] <= broadcast_rows else keyed
     hits = wanted.join(small.drop("host", "path"), "short").where("full = digest")
-    best = hits.groupBy("host", "path").agg(
-        F.max(F.struct((F.col("host_len") + F.col("path_len")).alias("len"), "host_len", F.col("verdict").alias("v"), "rule")).alias("best")
-    ).select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("best.rule").alias("rule"), F.col("best.v").alias("verdict"))
-    out = split.join(best, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left").drop("_h", "_p")
-    return out.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    best = hits.groupBy("host", "path").agg(F.max(F.struct((F.col("host_len") + F.col("path_len")).alias("len"), "host_len", F.col("verdict").alias("v"), "rule")).alias("best"), F.first("c").alias("c"))
+    ruled = join_counted(split.where(F.col("host") != ""), best, ["host", "path"], scratch, "left", size=F.octet_length("host") + 2 * F.octet_length("path"))
+    none = split.where(F.col("host") == "").withColumn("best", F.lit(None).cast(dict(best.dtypes)["best"]))
+    out = ruled.unionByName(none)
+    return out.select(*[F.col("page")[c].alias(c) for c in kept], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.v", F.lit(default)).alias("verdict"))
 
 
 def rule_table(spark, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
