@@ -111,15 +111,26 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], scratch: Scra
     return cool.unionByName(left.join(F.broadcast(hot), on, "inner" if how == "left" else how))
 
 
-def join_salted(left: DataFrame, right: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """Inner join with a ``right`` of wide rows, unique per key: a key of more than HOT_ROWS rows of ``left`` is dealt over
-    several tasks, and its row of ``right`` is sent to each of them."""
-    counts = left.groupBy(key).agg(F.count("*").alias("_c"))
-    total = left.count()
-    hot = scratch.write(counts.where(F.col("_c") > max(HOT_ROWS, total // HOT_KEYS)).select(key, F.ceil(F.col("_c") / HOT_ROWS).cast("int").alias("_parts")))
-    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.col("_parts"))).otherwise(0).cast("int")).drop("_parts")
-    copied = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+class Salt:
+    """Splits a key between wide rows, unique per key, and the many rows that they are joined to.
+
+    A key of more than HOT_ROWS rows (and one HOT_KEYSth of all) is dealt over several tasks, and its one wide row is sent
+    to each of these. Join ``deal(left)`` with ``copies(right)`` on the key and the salt's name.
+    """
+
+    def __init__(self, left: DataFrame, key: str, scratch: Scratch):
+        self.key, self.name, self._parts = key, f"_salt_{key}", f"_parts_{key}"
+        limit = max(HOT_ROWS, left.count() // HOT_KEYS)
+        counts = left.groupBy(key).agg(F.count("*").alias("_c")).where(F.col("_c") > limit)
+        self.hot = F.broadcast(scratch.write(counts.select(key, F.ceil(F.col("_c") / HOT_ROWS).cast("int").alias(self._parts))))
+
+    def deal(self, left: DataFrame) -> DataFrame:
+        at = F.when(F.col(self._parts).isNotNull(), F.pmod(F.xxhash64(*left.columns), F.col(self._parts))).otherwise(0).cast("int")
+        return left.join(self.hot, self.key, "left").withColumn(self.name, at).drop(self._parts)
+
+    def copies(self, right: DataFrame) -> DataFrame:
+        every = F.sequence(F.lit(0), F.coalesce(self._parts, F.lit(1)) - 1)
+        return right.join(self.hot, self.key, "left").withColumn(self.name, F.explode(every)).drop(self._parts)
 
 
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
