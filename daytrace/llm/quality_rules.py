@@ -1,9 +1,11 @@
 """Quality rules: counts of a whole text, and robust multivariate outliers among them per language and source.
 
-Built-in functions alone. The minimum-covariance-determinant estimate of a group starts from coordinate medians and
-median deviations and takes concentration steps: distances of all rows, the nearest share of them, their mean and
-covariance. A step is one pass that sums counts, statistics and products by (group, distance bin); which bins make up
-the nearest share is then read off these sums, so no group is ever gathered and no quantile sketch is needed.
+Built-in functions alone. The minimum-covariance-determinant estimate of a group has several starts: medians with median
+deviations, spatial signs, bounded scores, and mean with covariance. All take two concentration steps (distances of all
+rows, the nearest share of them, their mean and covariance); the one of least determinant goes on until its determinant
+no longer falls. A step is one pass that sums counts, statistics and products by (group, start, distance bin); which
+bins make up the nearest share is then read off these sums, so no group is ever gathered and no quantile sketch is
+needed.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ FLOORS = [0.25, 0.06, 0.06, 0.10, 0.08]
 D = len(FLOORS)
 _X = [f"_x{i}" for i in range(D)]
 _PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
+#: Steps that all starts take; bins of squared distances per octave; fall of the log determinant that counts as one.
+FIRST_STEPS, BINS, FALL = 2, 32, 1e-3
+#: Added to the variances of starts that measure in median deviations.
+_RIDGE = 0.01
 
 
 def text_counts(text: Column) -> Column:
@@ -123,23 +129,23 @@ def _distance2() -> Column:
     return out
 
 
-def estimates(rows: DataFrame, scratch: Scratch, share: float = 0.75, min_rows: int = 60, steps: int = 3) -> DataFrame:
-    """(_lang, _source, _group, _m*, _l*) for each (_lang, _source) of ``rows`` (with _x*) that can be judged.
-
-    A language and source with under ``min_rows`` rows is estimated with the other small ones of its language, or, if
-    these are still too few, with the small rest of all languages; what remains under ``min_rows`` has no row here.
-    """
+def _group_rows(rows: DataFrame, scratch: Scratch, min_rows: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Groups by (_lang, _source), rows by _group, _n by _group, and the number of (_lang, _source)."""
     sizes = rows.groupBy("_lang", "_source").agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("_low", F.col("n") < min_rows).withColumn("_lang_n", F.sum(F.when(F.col("_low"), F.col("n")).otherwise(0)).over(Window.partitionBy("_lang")))
     group = F.when(~F.col("_low"), F.concat_ws("\x1f", F.lit("s"), "_lang", "_source")).when(F.col("_lang_n") >= min_rows, F.concat_ws("\x1f", F.lit("l"), "_lang")).otherwise("rest")
     groups = scratch.write(sizes.select("_lang", "_source", group.alias("_group"), "n"))
-    totals = groups.groupBy("_group").agg(F.sum("n").alias("_n")).where(F.col("_n") >= min_rows)
-    groups = scratch.write(groups.drop("n").join(totals, "_group"))
     n_groups = groups.count()
-    mine = join_checked(rows.select("_lang", "_source", *_X), groups.select("_lang", "_source", "_group"), ["_lang", "_source"], "inner", n_groups).drop("_lang", "_source")
-    sizes = groups.select("_group", "_n").distinct()
+    mine = join_checked(rows.select("_lang", "_source", *_X), groups.select("_lang", "_source", "_group"), ["_lang", "_source"], "inner", n_groups).select("_group", *_X)
+    totals = groups.groupBy("_group").agg(F.sum("n").alias("_n"))
+    if not totals.where((F.col("_group") == "rest") & (F.col("_n") < min_rows)).isEmpty():
+        mine = mine.where("_group <> 'rest'").unionByName(rows.select(F.lit("rest").alias("_group"), *_X))
+        totals = totals.where("_group <> 'rest'").unionByName(groups.select(F.lit("rest").alias("_group"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("_n")).distinct())
+    return groups.drop("n"), mine, scratch.write(totals), n_groups
+
 
-    # medians and median deviations, over bins of 1/64
+def _middles(mine: DataFrame, scratch: Scratch) -> DataFrame:
+    """(_group, _c*, _s*): medians and scaled median deviations with their floors, over bins of 1/64."""
     bins = mine.select("_group", F.posexplode(F.array(*[F.floor(F.col(x) * 64) for x in _X])).alias("_dim", "_bin")).groupBy("_group", "_dim", "_bin").agg(F.count("*").alias("c"))
 
     def middle(df: DataFrame, value: str) -> DataFrame:
@@ -151,24 +157,73 @@ def estimates(rows: DataFrame, scratch: Scratch, share: float = 0.75, min_rows:
     med = middle(bins, "_bin")
     away = bins.join(med, ["_group", "_dim"]).withColumn("_off", F.abs(F.col("_bin") - F.col("mid")))
     mad = middle(away, "_off").select("_group", "_dim", F.col("mid").alias("dev"))
-    first = med.join(mad, ["_group", "_dim"]).groupBy("_group").agg(
-        *[F.max(F.when(F.col("_dim") == i, (F.col("mid") + 0.5) / 64)).alias(f"_m{i}") for i in range(D)],
-        *[F.max(F.when(F.col("_dim") == i, F.col("dev") * 1.4826 / 64)).alias(f"_s{i}") for i in range(D)],
-    )
-    params = scratch.write(_factored({(i, j): (F.col(f"_s{i}") * F.col(f"_s{i}") + FLOORS[i] ** 2 if i == j else F.lit(0.0)) for i, j in _PAIRS}, first, ["_group", *[f"_m{i}" for i in range(D)]]))
-
+    return scratch.write(med.join(mad, ["_group", "_dim"]).groupBy("_group").agg(
+        *[F.max(F.when(F.col("_dim") == i, (F.col("mid") + 0.5) / 64)).alias(f"_c{i}") for i in range(D)],
+        *[F.sqrt(F.max(F.when(F.col("_dim") == i, F.pow(F.col("dev") * 1.4826 / 64, 2))) + FLOORS[i] ** 2).alias(f"_s{i}") for i in range(D)],
+    ))
+
+
+def _starts(mine: DataFrame, middles: DataFrame, n_groups: int, scratch: Scratch) -> DataFrame:
+    """(_group, _start, _m*, _l*): the four starts of every group, from one pass."""
+    z = [(F.col(_X[i]) - F.col(f"_c{i}")) / F.col(f"_s{i}") for i in range(D)]
+    at = join_checked(mine, middles, "_group", "inner", n_groups).select("_group", *_X, *[c.alias(f"_z{i}") for i, c in enumerate(z)])
+    at = at.withColumn("_r", F.greatest(F.lit(1e-9), F.sqrt(sum((F.col(f"_z{i}") * F.col(f"_z{i}") for i in range(D)), F.lit(0.0)))))
+    kinds = {"x": [F.col(x) for x in _X], "u": [F.col(f"_z{i}") / F.col("_r") for i in range(D)], "v": [F.tanh(f"_z{i}") for i in range(D)]}
+    sums = at.groupBy("_group").agg(
+        *[F.avg(c[i]).alias(f"_{k}{i}") for k, c in kinds.items() for i in range(D)], *[F.avg(c[i] * c[j]).alias(f"_{k}{i}{j}") for k, c in kinds.items() for i, j in _PAIRS])
+    one = scratch.write(sums.join(middles, "_group"))
+    spread = lambda k, i, j: F.col(f"_{k}{i}{j}") - (F.col(f"_{k}{i}") * F.col(f"_{k}{j}") if k != "u" else 0.0)
+    scaled = lambda i, j, c: F.col(f"_s{i}") * F.col(f"_s{j}") * (c + (_RIDGE if i == j else 0.0))
+    shapes = [
+        ("_c", {(i, j): scaled(i, j, F.lit(float(i == j))) for i, j in _PAIRS}),
+        ("_c", {(i, j): scaled(i, j, spread("u", i, j)) for i, j in _PAIRS}),
+        ("_c", {(i, j): scaled(i, j, spread("v", i, j)) for i, j in _PAIRS}),
+        ("_x", {(i, j): spread("x", i, j) + (FLOORS[i] ** 2 if i == j else 0.0) for i, j in _PAIRS}),
+    ]
+    made = []
+    for start, (center, cov) in enumerate(shapes):
+        centered = one.withColumns({f"_m{i}": F.col(f"{center}{i}") for i in range(D)}).withColumn("_start", F.lit(start))
+        made.append(_factored(cov, centered, ["_group", "_start", *[f"_m{i}" for i in range(D)]]))
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return scratch.write(out)
+
+
+def _concentrated(mine: DataFrame, params: DataFrame, sizes: DataFrame, share: float, rows: int, scratch: Scratch) -> DataFrame:
+    """A concentration step: mean, factor and _logdet of the nearest ``share`` of each (_group, _start)."""
+    key = ["_group", "_start"]
     consistent = share / chi2_cdf(chi2_quantile(share, D), D + 2)
-    for _ in range(steps):
-        at = join_checked(mine, params, "_group", "inner", n_groups).withColumn("_bin", F.floor(F.log2(_distance2() + 1e-9) * 16))
-        sums = at.groupBy("_group", "_bin").agg(F.count("*").alias("c"), *[F.sum(x).alias(f"_t{x}") for x in _X], *[F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"_p{i}{j}") for i, j in _PAIRS])
-        sums = sums.join(sizes, "_group").withColumn("_before", F.sum("c").over(Window.partitionBy("_group").orderBy("_bin")) - F.col("c"))
-        near = sums.where(F.col("_before") < F.ceil(F.col("_n") * share)).groupBy("_group").agg(
-            F.sum("c").alias("h"), *[F.sum(f"_t{x}").alias(f"_t{x}") for x in _X], *[F.sum(f"_p{i}{j}").alias(f"_p{i}{j}") for i, j in _PAIRS])
-        for i in range(D):
-            near = near.withColumn(f"_m{i}", F.col(f"_t_x{i}") / F.col("h"))
-        cov = {(i, j): (F.col(f"_p{i}{j}") / F.col("h") - F.col(f"_m{i}") * F.col(f"_m{j}")) * consistent + (FLOORS[i] ** 2 if i == j else 0.0) for i, j in _PAIRS}
-        params = scratch.write(_factored(cov, near, ["_group", *[f"_m{i}" for i in range(D)]]))
-    return scratch.write(groups.select("_lang", "_source", "_group").join(params, "_group"))
+    at = join_checked(mine, params, "_group", "inner", rows).withColumn("_bin", F.floor(F.log2(_distance2() + 1e-9) * BINS))
+    sums = at.groupBy(*key, "_bin").agg(F.count("*").alias("c"), *[F.sum(x).alias(f"_t{x}") for x in _X], *[F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"_p{i}{j}") for i, j in _PAIRS])
+    sums = sums.join(sizes, "_group").withColumn("_before", F.sum("c").over(Window.partitionBy(*key).orderBy("_bin")) - F.col("c"))
+    near = sums.where(F.col("_before") < F.ceil(F.col("_n") * share)).groupBy(*key).agg(
+        F.sum("c").alias("h"), *[F.sum(f"_t{x}").alias(f"_t{x}") for x in _X], *[F.sum(f"_p{i}{j}").alias(f"_p{i}{j}") for i, j in _PAIRS])
+    near = near.withColumns({f"_m{i}": F.col(f"_t_x{i}") / F.col("h") for i in range(D)})
+    cov = {(i, j): (F.col(f"_p{i}{j}") / F.col("h") - F.col(f"_m{i}") * F.col(f"_m{j}")) * consistent + (FLOORS[i] ** 2 if i == j else 0.0) for i, j in _PAIRS}
+    made = _factored(cov, near, [*key, *[f"_m{i}" for i in range(D)]])
+    return scratch.write(made.withColumn("_logdet", sum((2 * F.log(f"_l{i}{i}") for i in range(D)), F.lit(0.0))))
+
+
+def estimates(rows: DataFrame, scratch: Scratch, share: float = 0.75, min_rows: int = 60) -> DataFrame:
+    """(_lang, _source, _group, _m*, _l*) for each (_lang, _source) of ``rows`` (with _x*).
+
+    A language and source with under ``min_rows`` rows is estimated with the other small ones of its language, or, if
+    these are still too few, with the small rest of all languages; if that is too little as well, on all rows.
+    """
+    groups, mine, sizes, n_groups = _group_rows(rows, scratch, min_rows)
+    starts = _starts(mine, _middles(mine, scratch), n_groups, scratch)
+    for _ in range(FIRST_STEPS):
+        starts = _concentrated(mine, starts, sizes, share, 4 * n_groups, scratch)
+    cols = starts.columns
+    now = scratch.write(starts.groupBy("_group").agg(F.min_by(F.struct(*cols), F.struct("_logdet", "_start")).alias("b")).select("b.*"))
+    while True:
+        after = _concentrated(mine, now, sizes, share, n_groups, scratch)
+        fell = after.join(now.select("_group", F.col("_logdet").alias("_was")), "_group").where(F.col("_logdet") < F.col("_was") - FALL)
+        if fell.isEmpty():
+            break
+        now = scratch.write(now.unionByName(after).groupBy("_group").agg(F.min_by(F.struct(*cols), "_logdet").alias("b")).select("b.*"))
+    return scratch.write(groups.join(now.drop("_start", "_logdet"), "_group"))
 
 
 def _placed(df: DataFrame, lang: Column, source: Column) -> DataFrame:
@@ -176,28 +231,30 @@ def _placed(df: DataFrame, lang: Column, source: Column) -> DataFrame:
 
 
 def judge_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", confidence: float = 0.99999) -> DataFrame:
-    """One row per row of ``docs``: id, the counts, base_failed, kept, and the squared distance (null: not judged).
+    """One row per row of ``docs``: id, the counts, base_failed, kept, and the squared distance (null where base_failed).
 
     kept is false where base_failed, else where the squared distance exceeds the chi-square quantile of ``confidence``.
-    Null and empty texts count zero and fail the base; null language and source are values of their own; equal rows get
-    equal verdicts; an empty table gives no rows. Only id, text, language and source are read.
+    Languages and sources of under 60 rows are judged by a pooled estimate. Null and empty texts count zero and fail the
+    base; null language and source are values of their own; equal rows get equal verdicts; rows without an id are judged
+    like others; an empty table gives no rows. Only id, text, language and source are read.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     base = docs.select(docs[doc_id].alias(doc_id), docs[text].alias("_text"), docs[lang].alias("_l"), docs[source].alias("_s"))
     rows = scratch.write(_placed(counted(base, [F.col(doc_id), F.col("_l"), F.col("_s")], F.col("_text")), F.col("_l"), F.col("_s")).drop("_l", "_s"))
     params = estimates(rows.where("not base_failed"), scratch)
     cutoff = chi2_quantile(confidence, D)
-    out = join_checked(rows, params, ["_lang", "_source"], "left").withColumn("distance2", _distance2())
+    out = join_checked(rows, params, ["_lang", "_source"], "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance2()))
     return out.select(doc_id, *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True))).alias("kept"), "distance2")
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", confidence: float = 0.99999) -> DataFrame:
-    """The rows of ``docs`` that ``judge_quality`` keeps, with their own columns; texts are not shuffled."""
+    """The rows of ``docs`` that ``judge_quality`` keeps, with their own columns.
+
+    Every text is counted once, and written with its counts; texts are not shuffled.
+    """
     scratch = Scratch(docs.sparkSession, "quality")
-    base = docs.select(docs[text].alias("_text"), docs[lang].alias("_l"), docs[source].alias("_s"))
-    rows = scratch.write(_placed(counted(base, [F.col("_l"), F.col("_s")], F.col("_text")), F.col("_l"), F.col("_s")).drop("_l", "_s"))
-    params = estimates(rows.where("not base_failed"), scratch)
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
-    again = _placed(counted(whole, [F.col("_doc")], F.col("_doc")[text]), F.col("_doc")[lang], F.col("_doc")[source])
-    judged = join_checked(again, params, ["_lang", "_source"], "left").where(~F.col("base_failed") & F.coalesce(_distance2() <= chi2_quantile(confidence, D), F.lit(True)))
+    rows = counted(whole, [F.col("_doc")], F.col("_doc")[text]).where("not base_failed")
+    rows = scratch.write(_placed(rows, F.col("_doc")[lang], F.col("_doc")[source]).select("_doc", "_lang", "_source", *_X))
+    judged = join_checked(rows, estimates(rows, scratch), ["_lang", "_source"], "left").where(_distance2() <= chi2_quantile(confidence, D))
     return judged.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
