@@ -793,7 +793,7 @@ def slow_model(texts):
     def level(c):
         n = [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
         y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-        d = [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0), k) if n[k - 1] else k * y for k in (1, 2, 3)]
+        d = [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1), k) if n[k - 1] else k * y for k in (1, 2, 3)]
         total, off = defaultdict(float), defaultdict(float)
         for g, v in c.items():
             total[g[:-1]] += v
