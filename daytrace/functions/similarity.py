@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +10,52 @@ from daytrace.functions.text import jaccard, normalize_title
 from daytrace.session import ship
 
 
+#: From so many characters on, those that make over a hundredth of the second text start no match (fixed values).
+LONG_TEXT, POPULAR_SHARE = 200, 100
+
+
 def ratio(a: str, b: str) -> float:
-    """Matching-block ratio; 1 for two empty texts, 0 for one."""
+    """twice the characters in matching blocks over all characters; 1 for two empty texts, 0 for one.
+
+    The longest common run (the first of equal ones) is a block, and so are those of what is left and right of it.
+    Very frequent characters of a long second text only prolong runs.
+    """
     if not a or not b:
         return float(not a and not b)
-    return 1.0 if a == b else SequenceMatcher(a=a, b=b).ratio()
+    if a == b:
+        return 1.0
+    places: dict[str, list[int]] = {}
+    for j, c in enumerate(b):
+        places.setdefault(c, []).append(j)
+    if len(b) >= LONG_TEXT:
+        places = {c: at for c, at in places.items() if len(at) <= len(b) // POPULAR_SHARE + 1}
+    total, todo = 0, [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        i, j, n = _longest_run(a, b, places, a0, a1, b0, b1)
+        if n:
+            total += n
+            todo += [(a0, i, b0, j), (i + n, a1, j + n, b1)]
+    return 2.0 * total / (len(a) + len(b))
+
+
+def _longest_run(a: str, b: str, places: dict[str, list[int]], a0: int, a1: int, b0: int, b1: int) -> tuple[int, int, int]:
+    """Start in either text and length of the longest common run within the given ranges."""
+    best_i, best_j, best = a0, b0, 0
+    ending: dict[int, int] = {}  # length of the run that ends at a place of b
+    for i in range(a0, a1):
+        now: dict[int, int] = {}
+        for j in places.get(a[i], ()):
+            if b0 <= j < b1:
+                n = now[j] = ending.get(j - 1, 0) + 1
+                if n > best:
+                    best_i, best_j, best = i - n + 1, j - n + 1, n
+        ending = now
+    while best_i > a0 and best_j > b0 and a[best_i - 1] == b[best_j - 1]:
+        best_i, best_j, best = best_i - 1, best_j - 1, best + 1
+    while best_i + best < a1 and best_j + best < b1 and a[best_i + best] == b[best_j + best]:
+        best += 1
+    return best_i, best_j, best
 
 
 def add_ratio(df: DataFrame, a: str, b: str, out: str) -> DataFrame:

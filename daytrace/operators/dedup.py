@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from daytrace.config import ScreenshotDedupSettings, SummaryDedupSettings
 from daytrace.functions.similarity import add_text_similarity, context_similarity
-from daytrace.session import ship
+from daytrace.operators.folds import fold_sorted
 
 
 def _bits(a, b) -> int | None:
@@ -57,29 +57,31 @@ def _worth_keeping(shot, kept: Iterable, s: ScreenshotDedupSettings) -> bool:
     return True
 
 
-def pick(shots: Iterable, s: ScreenshotDedupSettings) -> Iterator:
+class Picker:
     """The first ones, in order, that differ from the last ``recent`` picked."""
-    recent: deque = deque(maxlen=s.recent)
-    n = 0
-    for shot in shots:
-        if n >= s.max_selected:
-            return
-        if _worth_keeping(shot, recent, s):
-            recent.appendleft(shot)
-            n += 1
-            yield shot
 
+    def __init__(self, settings: ScreenshotDedupSettings):
+        self.s, self.recent, self.n = settings, deque(maxlen=settings.recent), 0
 
-def representative_screenshots(shots: DataFrame, keys: Sequence[str], settings: ScreenshotDedupSettings = ScreenshotDedupSettings()) -> DataFrame:
-    """W11 per key; rows are ordered by ts and id."""
-    ship(shots.sparkSession)
+    def takes(self, shot) -> bool:
+        if self.n >= self.s.max_selected or not _worth_keeping(shot, self.recent, self.s):
+            return False
+        self.recent.appendleft(shot)
+        self.n += 1
+        return True
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "id"], kind="stable").reset_index(drop=True)
-        rows = list(pdf.itertuples())
-        return pdf.iloc[[r.Index for r in pick(rows, settings)]]
 
-    return shots.groupBy(*keys).applyInPandas(one, shots.schema)
+def pick(shots: Iterable, s: ScreenshotDedupSettings) -> Iterator:
+    """W11 over shots in order."""
+    picker = Picker(s)
+    return (shot for shot in shots if picker.takes(shot))
+
+
+def representative_screenshots(shots: DataFrame, keys: Sequence[str], settings: ScreenshotDedupSettings = ScreenshotDedupSettings()) -> DataFrame:
+    """W11 per key; rows are ordered by ts and id."""
+    schema = ", ".join(f"{c} {t}" for c, t in shots.dtypes)
+    take = lambda picker, shot: [tuple(shot)] if picker.takes(shot) else []
+    return fold_sorted(shots, keys, ["ts", "id"], schema, lambda: Picker(settings), take)
 
 
 class CaptureDedup:
@@ -123,17 +125,13 @@ DECISION = "id BIGINT, ts DOUBLE, keep BOOLEAN, reason STRING, distance INT, str
 
 def capture_decisions(shots: DataFrame, keys: Sequence[str], settings: ScreenshotDedupSettings = ScreenshotDedupSettings()) -> DataFrame:
     """W12 per key over a batch, in order of ts and id: keys, id, ts, keep, reason, distance, streak."""
-    ship(shots.sparkSession)
     kinds, keys = dict(shots.dtypes), list(keys)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = CaptureDedup(settings), []
-        for row in pdf.sort_values(["ts", "id"], kind="stable").itertuples(index=False):
-            keep, reason, bits = state.judge(row)
-            out.append((*[getattr(row, k) for k in keys], row.id, row.ts, keep, reason, bits, state.streak if keep else state.streak))
-        return pd.DataFrame(out, columns=[*keys, "id", "ts", "keep", "reason", "distance", "streak"])
+    def judged(state: CaptureDedup, shot) -> list[tuple]:
+        keep, reason, bits = state.judge(shot)
+        return [(*[getattr(shot, k) for k in keys], shot.id, shot.ts, keep, reason, bits, state.streak)]
 
-    return shots.groupBy(*keys).applyInPandas(one, ", ".join([f"{k} {kinds[k]}" for k in keys] + [DECISION]))
+    return fold_sorted(shots, keys, ["ts", "id"], ", ".join([f"{k} {kinds[k]}" for k in keys] + [DECISION]), lambda: CaptureDedup(settings), judged)
 
 
 def summary_pairs(summaries: DataFrame, keys: Sequence[str], recent: int) -> DataFrame:

@@ -137,6 +137,13 @@ def day_job_action(jobs: DataFrame, day: str) -> tuple[str, int]:
     return ("reuse", attempt) if last.status in ACTIVE else ("requeue", attempt + 1)
 
 
+def day_job_actions(jobs: DataFrame) -> DataFrame:
+    """K8 for every day with a day job: day, action, attempt."""
+    last = jobs.where("job_type = 'day_summary'").groupBy(F.col("target_day").alias("day")).agg(F.max_by(F.struct("status", "attempt"), "id").alias("j"))
+    active, attempt = F.col("j.status").isin(ACTIVE), F.coalesce("j.attempt", F.lit(1)).cast("int")
+    return last.select("day", F.when(active, "reuse").otherwise("requeue").alias("action"), F.when(active, attempt).otherwise(attempt + 1).alias("attempt"))
+
+
 def write_rate(writes: DataFrame, ts: str, seconds: str = "1 second") -> DataFrame:
     """Rows per tumbling window."""
     return writes.groupBy(F.window(ts, seconds).alias("w")).agg(F.count("*").alias("writes")).select(F.col("w.start").alias("window_start"), "writes")

@@ -27,6 +27,7 @@ MASKS = [
 ]
 SEVERITIES = ["Low", "Medium", "High", "Critical"]
 PATH_FIELDS = ["app_data_dir", "config_path", "db_path", "endpoint", "error", "file", "file_path"]
+# fixed values: event names of each stage
 STARTED = ["job_started", "summary_job_started", "daily_summary_job_started"]
 SUBMITTED = ["request_submit", "http_request"]
 COMPLETED = ["job_completed", "summary_job_completed", "daily_summary_job_completed", "daily_summary_job_reconciled"]
@@ -269,10 +270,10 @@ def timeline(events: DataFrame, also: Sequence[str]) -> DataFrame:
     return events.where(F.col("level").isin("WARNING", "ERROR", "CRITICAL") | F.col("event_name").isin(list(also))).select("pos", "ts", "level", "logger", "event_name", short.alias("message"), "fields").orderBy("pos")
 
 
-def order_violations(line: DataFrame) -> DataFrame:
-    """One row per kind of violation of the order of shutdown, and the first reuse of a request id."""
+def order_violations(line: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Per key, one row per kind of violation of the order of shutdown, and for reuse of a request id."""
     e = F.col("event_name")
-    at = line.agg(
+    at = line.groupBy(*keys).agg(
         *[F.min(F.when(e == n, F.col("pos"))).alias(n) for n in ("storage_closed", "shutdown_complete", "crash_monitor_finalize_start", "summary_workers_joined")],
         F.min(F.when(e.isin("crash_monitor_session_finalized", "crash_monitor_finalize_failed"), F.col("pos"))).alias("finalized"),
         F.max(F.when(e.isin("summary_flush_triggered", "summary_job_started", "summary_store", "lmstudio_request_success"), F.col("pos"))).alias("last_write"),
@@ -285,10 +286,10 @@ def order_violations(line: DataFrame) -> DataFrame:
         F.when(late("finalized"), F.struct(F.lit("missing_crash_finalization_marker").alias("type"), F.lit("High").alias("severity"))),
         F.when(F.col("last_heartbeat") > F.col("crash_monitor_finalize_start"), F.struct(F.lit("heartbeat_after_finalize_start").alias("type"), F.lit("High").alias("severity"))),
     ))
-    order = at.select(F.explode(kinds).alias("k")).select("k.*")
+    order = at.select(*keys, F.explode(kinds).alias("k")).select(*keys, "k.*")
     f = F.col("fields")
-    reused = line.where(f["lm_request_id"].isNotNull() & f["summary_job_id"].isNotNull()).groupBy(f["lm_request_id"].alias("r")).agg(F.min(f["summary_job_id"]).alias("a"), F.max(f["summary_job_id"]).alias("b")).where("a <> b")
-    return order.unionByName(reused.select(F.lit("lmstudio_request_id_reused_across_jobs").alias("type"), F.lit("Medium").alias("severity")).distinct())
+    reused = line.where(f["lm_request_id"].isNotNull() & f["summary_job_id"].isNotNull()).groupBy(*keys, f["lm_request_id"].alias("r")).agg(F.min(f["summary_job_id"]).alias("a"), F.max(f["summary_job_id"]).alias("b")).where("a <> b")
+    return order.unionByName(reused.select(*keys, F.lit("lmstudio_request_id_reused_across_jobs").alias("type"), F.lit("Medium").alias("severity")).distinct())
 
 
 def crash_dumps(lines: DataFrame) -> DataFrame:
@@ -314,7 +315,102 @@ def correlate_crashes(dumps: DataFrame, events: DataFrame) -> DataFrame:
     return both.withColumn("confidence", F.when(F.col("_s"), "High").when(F.col("_p"), "Medium").otherwise("Low")).withColumn("matched_by", F.when(F.col("_s"), "session_id").when(F.col("_p"), "pid")).drop("_s", "_p")
 
 
-def parsing_quality(unparsed: Column, total: Column) -> Column:
-    """how much of a log was read."""
-    share = unparsed / F.greatest(total, F.lit(1))
-    return F.when(total == 0, "empty").when(share == 0, "complete").when(share <= 0.05, "good").otherwise("partial")
+def parsing_quality(parsed: Column, total: Column) -> Column:
+    """how much of a log's lines became entries."""
+    share = parsed / F.greatest(total, F.lit(1))
+    return F.when(total == 0, "no lines").when(share >= 0.999, "excellent").when(share >= 0.98, "good").when(share >= 0.90, "fair").otherwise("poor")
+
+
+# fixed values
+DATABASE_ERRORS = ["SqlCipherOpenError", "SqlCipherKeyMismatchError", "DatabaseKeyMissingError", "DatabaseKeyCorruptedError", "DatabaseKeyProtectionError", "DatabaseKeyUnprotectError", "ProgrammingError"]
+FINALIZED = ["session_finalized", "crash_monitor_session_finalized"]
+RUNTIME_PATHS = ["app_data_dir", "log_dir", "screenshot_dir", "db_path", "config_path"]
+LOCK_EVENTS = ["session_locked", "session_unlocked", "monitoring_paused_by_lock", "monitoring_resumed_after_unlock"]
+
+
+def _seen(names: Sequence[str]) -> Column:
+    return F.coalesce(F.bool_or(F.col("event_name").isin(list(names))), F.lit(False))
+
+
+def crash_audit(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Per key, crash entries, unhandled exceptions, failures of the session monitor, and which markers were seen."""
+    e, stage = F.col("event_name"), F.col("fields")["stage"]
+    crash = F.col("category") == "crash"
+    monitor = stage.isin("session_monitor_stop_post_message", "session_monitor_unregister_notification", "session_monitor_unregister_class")
+    return events.groupBy(*keys).agg(
+        F.count_if(crash).alias("crash_events"), F.count_if(crash & e.isin("crash_exception", "run_protected_exception")).alias("unhandled_exceptions"), F.count_if(crash & monitor).alias("session_monitor_failures"),
+        _seen(FINALIZED).alias("clean_finalization_seen"), _seen(["faulthandler_enable", "faulthandler_enabled", "crash_monitor_faulthandler_enabled"]).alias("faulthandler_seen"),
+        _seen(["previous_run_check", "previous_run_unexpected_exit"]).alias("previous_unclean_shutdown_seen"), F.coalesce(F.bool_or(crash), F.lit(False)).alias("evidence_available"), (~_seen(FINALIZED)).alias("instrumentation_gap"),
+    )
+
+
+def crash_stages(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Crash entries by stage, or else by event."""
+    stage = F.coalesce(F.nullif(F.col("fields")["stage"], F.lit("")), F.nullif(F.col("event_name"), F.lit("")), F.lit("unknown"))
+    return events.where("category = 'crash'").groupBy(*keys, stage.alias("stage")).agg(F.count("*").alias("n"))
+
+
+def lock_audit(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Per key, counts of lock events, changes of monitoring, contradictions, and whether the gate can be observed."""
+    e = F.col("event_name")
+    out = events.groupBy(*keys).agg(
+        *[F.count_if(e == n).alias(n) for n in LOCK_EVENTS], F.count_if(e == "monitoring_state_change").alias("monitoring_state_changes"),
+        F.coalesce(F.bool_or(F.col("message").contains("process_backlog_only_while_locked")), F.lit(False)).alias("_flag"))
+    none = (F.col("session_locked") == 0) & (F.col("session_unlocked") == 0)
+    told = F.array_compact(F.array(F.when(~F.col("_flag"), F.lit("missing_process_backlog_only_while_locked_logging")), F.when(none, F.lit("no_lock_events_observed"))))
+    return out.withColumn("contradictions", told).withColumn("gate_observable", ~none).drop("_flag")
+
+
+def storage_audit(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Per key, storage entries, openings, database errors, write rates, and which steps were seen."""
+    e = F.col("event_name")
+    return events.groupBy(*keys).agg(
+        F.count_if(F.col("category") == "storage").alias("storage_events"), F.count_if(e == "db_open").alias("db_open_events"), F.count_if(F.col("error_class").isin(DATABASE_ERRORS)).alias("db_errors"),
+        F.count_if(e == "db_write_rate").alias("write_rate_events"), _seen(["startup_recovery"]).alias("startup_recovery_seen"), _seen(["purge_actions"]).alias("purge_actions_seen"),
+        (~_seen(["config_unknown_fields"])).alias("instrumentation_gap"),
+    )
+
+
+def storage_operations(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Storage entries by operation, or else by event."""
+    return events.where("category = 'storage' and event_name is not null").groupBy(*keys, F.coalesce(F.col("fields")["operation"], F.col("event_name")).alias("operation")).agg(F.count("*").alias("n"))
+
+
+def config_audit(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Per key, the paths of the first runtime_paths entry, config entries, endpoints, models and the highest timeout."""
+    e, f = F.col("event_name"), F.col("fields")
+    first = lambda name: F.min_by(F.nullif(f[name], F.lit("")), F.when(e == "runtime_paths", F.col("pos")))
+    config = F.col("category") == "config"
+    return events.groupBy(*keys).agg(
+        *[first(n).alias(n) for n in RUNTIME_PATHS], F.count_if(config).alias("config_events"), F.array_sort(F.collect_set(F.nullif(f["endpoint"], F.lit("")))).alias("endpoints"), F.array_sort(F.collect_set(F.nullif(f["model"], F.lit("")))).alias("models"),
+        F.max(F.when(e == "request_submit", f["timeout_s"].try_cast("double"))).alias("request_timeout_s"), (F.count_if(config) == 0).alias("config_instrumentation_gap"),
+    )
+
+
+def queue_alignment(jobs: DataFrame, reqs: DataFrame) -> DataFrame:
+    """Per job whether it is stalled and whether a request of its failed."""
+    stalled = F.col("job_type").isin("event_summary", "day_summary") & F.col("terminal_status").isNull()
+    failed = reqs.where(F.col("outcome").isin("error", "parse_error")).select("job_id").distinct().withColumn("_f", F.lit(True))
+    return jobs.select("job_id", F.coalesce(stalled, F.lit(False)).alias("stalled")).join(failed, "job_id", "left").select("job_id", "stalled", F.coalesce("_f", F.lit(False)).alias("failed_request"))
+
+
+def missing_signals(locks: DataFrame, capture: DataFrame) -> DataFrame:
+    """What a log's lock audit and capture counters lack, of one row each."""
+    both = locks.select("session_locked", "session_unlocked").crossJoin(capture.select("screenshots_captured", "text_segments"))
+    return both.select(F.array_compact(F.array(
+        F.when((F.col("session_locked") == 0) & (F.col("session_unlocked") == 0), "no lock/unlock events"), F.when(F.col("screenshots_captured") == 0, "no screenshot captures"),
+        F.when(F.col("text_segments") == 0, "no text segment finalization"))).alias("missing"))
+
+
+def stage_line(stage: Column, status: Column, job_id: Column, **fields: Column) -> Column:
+    """A tagged line of key=value fields, as ``fields_of`` reads it; fields that are null are left out."""
+    parts = [F.lit("[LLM]"), F.concat(F.lit("stage="), stage), F.concat(F.lit("status="), status), F.concat(F.lit("job_id="), F.coalesce(job_id.cast("string"), F.lit("none")))]
+    return F.concat_ws(" ", *parts, *[F.concat(F.lit(f"{name}="), value.cast("string")) for name, value in fields.items()])
+
+
+def notified(errors: DataFrame, keys: Sequence[str], order: Sequence[str], category: str = "category", message: str = "message", resolved: str = "resolved") -> DataFrame:
+    """Errors that are shown: of a category, those whose message is not the active one; a resolved row clears it."""
+    w = Window.partitionBy(*keys, category).orderBy(*order)
+    last = F.lag(F.struct(message, resolved)).over(w)
+    same = F.coalesce(~last[resolved] & last[message].eqNullSafe(F.col(message)), F.lit(False))
+    return errors.withColumn("notify", ~F.col(resolved) & ~same)

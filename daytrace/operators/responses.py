@@ -7,9 +7,8 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
-from daytrace.session import ship
+from daytrace.operators.folds import fold_sorted
 
 LISTS = ["primary_activity", "programs_used", "files", "conversations", "follow_ups", "blocked_activity", "unknowns"]
 #: Characters of a prompt.
@@ -51,7 +50,8 @@ def merge_recaps(rows: DataFrame, keys: Sequence[str], lists: Sequence[str], ord
     """Per key, the rows' lists one after the other, at most ``most`` members, and their texts."""
     row = F.array_sort(F.collect_list(F.struct(order, "summary_text", *lists)))
     one = rows.groupBy(*keys).agg(row.alias("_r"))
-    joined = {n: F.slice(F.flatten(F.transform("_r", lambda x, n=n: F.coalesce(x[n], F.array().cast("array<string>")))), 1, most) for n in lists}
+    members = lambda name: F.transform("_r", lambda x: F.coalesce(x[name], F.array().cast("array<string>")))
+    joined = {n: F.slice(F.flatten(members(n)), 1, most) for n in lists}
     return one.withColumns({**joined, "summary_text": F.array_join(F.transform("_r", lambda x: x["summary_text"]), " ")}).drop("_r")
 
 
@@ -68,22 +68,25 @@ def capped(c: Column, most: int) -> Column:
 def chunks(rows: DataFrame, keys: Sequence[str], order: str, size: str, budget: int = BUDGET) -> DataFrame:
     """Per key, number rows into chunks (from 1) that are filled in order while their sizes fit the budget; a row above it is a chunk.
 
-    The greedy fill depends on all rows before, so a key's sizes are folded in one task: a day's summaries.
+    A row without a size takes none. The greedy fill depends on all rows before, so a key's rows pass one task in order.
     """
-    ship(rows.sparkSession)
-    schema = StructType([*rows.schema.fields, StructField("chunk", IntegerType())])
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        out, used, at = [], 0, 1
-        for n in pdf[size]:
-            if used and used + n > budget:
-                used, at = 0, at + 1
-            used += n
-            out.append(at)
-        return pdf.assign(chunk=out)
-
-    return rows.groupBy(*keys).applyInPandas(one, schema)
+
+    def fill(state: list[int], row) -> list[tuple]:
+        n = 0 if pd.isna(getattr(row, size)) else int(getattr(row, size))
+        if state[0] and state[0] + n > budget:
+            state[:] = 0, state[1] + 1
+        state[0] += n
+        return [(*row, state[1])]
+
+    schema = ", ".join([f"{c} {t}" for c, t in rows.dtypes] + ["chunk int"])
+    return fold_sorted(rows, keys, [order], schema, lambda: [0, 1], fill)
+
+
+def pseudo_summaries(items: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Results of chunks (summary_text, summary_json) as summaries without an id, whose job, start, end and creation are their number."""
+    out = numbered(items, keys, order, "job_id")
+    at = F.col("job_id").cast("double")
+    return out.select(*keys, F.lit(None).cast("bigint").alias("id"), F.col("job_id").cast("bigint").alias("job_id"), at.alias("start_ts"), at.alias("end_ts"), "summary_text", "summary_json", at.alias("created_ts"))
 
 
 def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "id") -> DataFrame:

@@ -199,7 +199,17 @@ def batch_span(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("start_ts").alias("start_ts"), F.max(F.coalesce("end_ts", "start_ts")).alias("end_ts"), F.count("*").alias("n"))
 
 
+#: Reserved ranges that rows are compared with.
+MOST_RANGES = 10_000
+
+
 def without_reserved(rows: DataFrame, ranges: DataFrame, start: Column, end: Column) -> DataFrame:
-    """Rows that overlap no reserved range (from_ts, to_ts; closed). Ranges are as many as jobs in flight."""
+    """Rows that overlap no reserved range (from_ts, to_ts; closed).
+
+    Ranges are as many as jobs in flight, which is checked: a comparison with each of them is only for few.
+    """
+    n = ranges.count()
+    if n > MOST_RANGES:
+        raise ValueError(f"{n} reserved ranges; {MOST_RANGES} are the most")
     r = F.broadcast(ranges.select(F.col("from_ts").alias("_from"), F.col("to_ts").alias("_to")))
     return rows.join(r, (start <= F.col("_to")) & (F.col("_from") <= end), "left_anti")

@@ -253,7 +253,9 @@ def _shots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring(F.sha2(F.concat_ws("|", "app", (F.col("event_id") % 3).cast("string")), 256), 1, 16).alias("perceptual_hash"), none.cast("string").alias("fingerprint"), none.cast("string").alias("exact_hash"))
 
 
-@query("typed_text")
+@query("typed_text", """
+WITH t AS (SELECT conv_id, turn, lower(text) AS text, length(text) AS n FROM conversations WHERE text <> '')
+SELECT conv_id, 'turn ' || turn AS window_title, text, CAST(n AS INT) AS raw_key_count FROM t""")
 def typed_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of a conversation typed key by key, a window per turn, rebuilt."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "")).alias("i", "ch")).where("ch <> ''")

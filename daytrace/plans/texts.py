@@ -72,7 +72,7 @@ def entity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "part").select(
         F.col("p_brand").alias("k"), F.lit("t").alias("entity_type"), F.lower("p_type").alias("entity_normalized"), F.col("p_type").alias("entity_value"), F.col("p_partkey").alias("pos"),
         F.when(r == 0, "window_title").when(r == 1, "text_segment").otherwise("process_name").alias("source_kind"), F.lit("").alias("source_ref"), F.lit("observed").alias("evidence_kind"), ((F.col("p_size") % 10) / 10.0).alias("confidence"))
-    return entities.merge(d, ["k"]).select("k", "entity_normalized", "entity_value", "source_kind", "confidence")
+    return entities.merge(d, ["day_no"]).select("k", "entity_normalized", "entity_value", "source_kind", "confidence")
 
 
 @query("page_entities")
@@ -103,7 +103,19 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.event_score(d.withColumns(flags))
 
 
-@query("evidence_bucket_days", None)
+EVIDENCE_SQL = """
+WITH f AS (SELECT d.doc_id, d.source, l.quality IS NULL AS degraded, d.lang IS NOT NULL AS process_evidence, d.n_chars > 100 AS title_evidence, coalesce(l.quality = 1, false) AS has_file, d.n_chars > 2000 AS has_task, coalesce(l.toxic = 1, false) AS blocked, d.lang <> 'en' AS unknown_app FROM documents d LEFT JOIN labels l USING (doc_id)),
+s AS (SELECT *, 0.05 + CASE WHEN degraded THEN -0.15 ELSE 0.12 END + CASE WHEN process_evidence THEN 0.07 ELSE 0 END + CASE WHEN title_evidence THEN 0.06 ELSE 0 END + CASE WHEN has_file THEN 0.20 ELSE 0 END + CASE WHEN has_task THEN 0.16 ELSE 0 END
+ + 0.07 + CASE WHEN unknown_app AND NOT (has_file OR has_task) THEN -0.12 ELSE 0 END + CASE WHEN NOT (has_file OR has_task) THEN -0.10 - 0.05 ELSE 0 END + CASE WHEN blocked THEN -0.10 ELSE 0 END AS raw FROM f),
+e AS (SELECT source AS day, blocked, greatest(0, least(1, round(raw, 3)))::DOUBLE AS score FROM s),
+g AS (SELECT day, count(*) AS n, avg(score) AS average, bool_or(blocked) AS blocked, count(*) FILTER (score < 0.65) AS n_weak FROM e GROUP BY day),
+k AS (SELECT *, greatest(0, least(1, 0.32::DOUBLE - CASE WHEN blocked THEN 0.03::DOUBLE ELSE 0 END)) AS recap FROM g),
+r AS (SELECT *, round(CASE WHEN average <> 0 THEN average * 0.78::DOUBLE + recap * 0.22::DOUBLE ELSE recap END, 3) AS score FROM k)
+"""
+
+
+@query("evidence_bucket_days", EVIDENCE_SQL + """SELECT day, greatest(0, least(1, score))::DOUBLE AS daily_score, CASE WHEN score >= 0.85 THEN 'excellent' WHEN score >= 0.65 THEN 'good' WHEN score >= 0.35 THEN 'weak' ELSE 'poor' END AS daily_bucket, n AS source_summary_count,
+CASE WHEN n_weak >= n * 0.5 THEN n END AS n, CASE WHEN n_weak >= n * 0.5 THEN n_weak END AS n_weak FROM r""")
 def evidence_bucket_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily scores of sources as days, and whether half of a day's evidence is weak."""
     events = _scored(spark, sf_dir).withColumn("day", F.col("source"))
@@ -124,12 +136,12 @@ def unknown_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.unknown_apps(c).select("process_name", "occurrence_count", "first_seen_ts", "last_seen_ts", "sample_window_title", F.array_join("matched_parser_names", ",").alias("matched_parser_names"))
 
 
-#: Vectors are summaries in order of their id, their label the app; cosines of neighbours are low, and so are the thresholds.
+#: Vectors are summaries in order of their id, 72 a day, their label the app; cosines of neighbours are low, and so are the thresholds.
 LOOSE = CoalesceSettings(min_cosine=0.1, min_score=0.2, semantic_weight=1.0)
 
 PAIRS_SQL = """
-WITH v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-p AS (SELECT lag(id) OVER w AS l_id, id AS r_id, lag(label) OVER w = label AS same, list_cosine_similarity(lag(e) OVER w, e) AS cos FROM v WINDOW w AS (ORDER BY id)),
+WITH v AS (SELECT vec_id AS id, vec_id * 1200 // 86400 AS day_no, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS (SELECT day_no, lag(id) OVER w AS l_id, id AS r_id, lag(label) OVER w = label AS same, list_cosine_similarity(lag(e) OVER w, e) AS cos FROM v WINDOW w AS (PARTITION BY day_no ORDER BY id)),
 q AS (SELECT *, 1.0::DOUBLE * cos + 0.2::DOUBLE * same::INT + 0.1::DOUBLE * same::INT + 0.1::DOUBLE * 1 - 0.12::DOUBLE * least(1, 600.0 / 900) - 0.2::DOUBLE * (1 - same::INT) AS score FROM p WHERE l_id IS NOT NULL),
 m AS (SELECT *, CASE WHEN cos >= 0.1 AND score >= 0.2 THEN 'merge' ELSE 'no_merge' END AS decision FROM q)
 """
@@ -139,49 +151,49 @@ def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     app = F.concat(F.lit("app"), F.col("label").cast("string"))
     return v.select(
-        F.lit(0).alias("k"), F.col("vec_id").alias("id"), (F.col("vec_id") * 1200.0).alias("start_ts"), (F.col("vec_id") * 1200.0 + 600).alias("end_ts"), F.lit("worked on it").alias("summary_text"), app.alias("process_name"), app.alias("window_title"),
+        F.floor(F.col("vec_id") * 1200 / 86400).cast("long").alias("day_no"), F.col("vec_id").alias("id"), (F.col("vec_id") * 1200.0).alias("start_ts"), (F.col("vec_id") * 1200.0 + 600).alias("end_ts"), F.lit("worked on it").alias("summary_text"), app.alias("process_name"), app.alias("window_title"),
         F.lit("").alias("closure_reason"), F.lit(False).alias("forced"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
 def _diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coalesce.score_pairs(coalesce.adjacent_pairs(_summaries(spark, sf_dir), ["k"]), LOOSE, window_ratio=False)
+    return coalesce.score_pairs(coalesce.adjacent_pairs(_summaries(spark, sf_dir), ["day_no"]), LOOSE, window_ratio=False)
 
 
-@query("merge_diagnostics", PAIRS_SQL + "SELECT l_id, r_id, round(cos, 6) AS cosine_similarity, round(score, 6) AS merge_score, decision FROM m")
+@query("merge_diagnostics", PAIRS_SQL + "SELECT day_no, l_id, r_id, round(cos, 6) AS cosine_similarity, round(score, 6) AS merge_score, decision FROM m")
 def merge_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of adjacent summaries. One day's summaries are one ordered history."""
-    return _diagnostics(spark, sf_dir).select("l_id", "r_id", F.round("cosine_similarity", 6).alias("cosine_similarity"), F.round("merge_score", 6).alias("merge_score"), "decision")
+    """Scores of a day's adjacent summaries."""
+    return _diagnostics(spark, sf_dir).select("day_no", "l_id", "r_id", F.round("cosine_similarity", 6).alias("cosine_similarity"), F.round("merge_score", 6).alias("merge_score"), "decision")
 
 
-CLUSTERS_SQL = PAIRS_SQL + """, c AS (SELECT v.id, v.label, sum(CASE WHEN m.decision = 'merge' THEN 0 ELSE 1 END) OVER (ORDER BY v.id ROWS UNBOUNDED PRECEDING) AS cluster FROM v LEFT JOIN m ON m.r_id = v.id)
+CLUSTERS_SQL = PAIRS_SQL + """, c AS (SELECT v.id, v.day_no, v.label, sum(CASE WHEN m.decision = 'merge' THEN 0 ELSE 1 END) OVER (PARTITION BY v.day_no ORDER BY v.id ROWS UNBOUNDED PRECEDING) AS cluster FROM v LEFT JOIN m ON m.r_id = v.id)
 """
 
 
-@query("coalesce_adjacent", CLUSTERS_SQL + """SELECT CAST(cluster AS BIGINT) AS cluster, min(id) * 1200.0::DOUBLE AS start_ts, max(id) * 1200.0::DOUBLE + 600 AS end_ts, CAST(count(*) AS INT) AS member_count,
-CASE WHEN count(DISTINCT label) = 1 THEN 'app' || any_value(label) ELSE 'mixed' END AS process_name FROM c GROUP BY cluster""")
+@query("coalesce_adjacent", CLUSTERS_SQL + """SELECT day_no, CAST(cluster AS BIGINT) AS cluster, min(id) * 1200.0::DOUBLE AS start_ts, max(id) * 1200.0::DOUBLE + 600 AS end_ts, CAST(count(*) AS INT) AS member_count,
+CASE WHEN count(DISTINCT label) = 1 THEN 'app' || any_value(label) ELSE 'mixed' END AS process_name FROM c GROUP BY day_no, cluster""")
 def coalesce_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains of merging summaries."""
     s = _summaries(spark, sf_dir)
-    composed = coalesce.compose(coalesce.clusters(s, _diagnostics(spark, sf_dir), ["k"]), ["k"])
-    return composed.select("cluster", "start_ts", "end_ts", "member_count", "process_name")
+    composed = coalesce.compose(coalesce.clusters(s, _diagnostics(spark, sf_dir), ["day_no"]), ["day_no"])
+    return composed.select("day_no", "cluster", "start_ts", "end_ts", "member_count", "process_name")
 
 
-@query("cluster_members", CLUSTERS_SQL + "SELECT CAST(cluster AS BIGINT) AS cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY id) - 1 AS INT) AS member_index, id AS summary_id FROM c")
+@query("cluster_members", CLUSTERS_SQL + "SELECT day_no, CAST(cluster AS BIGINT) AS cluster, CAST(row_number() OVER (PARTITION BY day_no, cluster ORDER BY id) - 1 AS INT) AS member_index, id AS summary_id FROM c")
 def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of the chains in order."""
     s = _summaries(spark, sf_dir)
-    composed = coalesce.compose(coalesce.clusters(s, _diagnostics(spark, sf_dir), ["k"]), ["k"])
-    return coalesce.members(composed, ["k"]).select("cluster", "member_index", "summary_id")
+    composed = coalesce.compose(coalesce.clusters(s, _diagnostics(spark, sf_dir), ["day_no"]), ["day_no"])
+    return coalesce.members(composed, ["day_no"]).select("day_no", "cluster", "member_index", "summary_id")
 
 
-@query("traceability", CLUSTERS_SQL + """, t AS (SELECT a.cluster, count(*) AS diagnostics, max(score) AS s FROM m JOIN c a ON a.id = m.l_id JOIN c b ON b.id = m.r_id AND a.cluster = b.cluster GROUP BY a.cluster),
-n AS (SELECT cluster, count(*) AS member_count FROM c GROUP BY cluster HAVING count(*) >= 2)
-SELECT CAST(n.cluster AS BIGINT) AS cluster, member_count, coalesce(diagnostics, 0) AS diagnostics, CASE WHEN s >= 0.92 THEN 'High' WHEN s >= 0.85 THEN 'Medium' ELSE 'Low' END AS confidence FROM n LEFT JOIN t ON n.cluster = t.cluster""")
+@query("traceability", CLUSTERS_SQL + """, t AS (SELECT a.day_no, a.cluster, count(*) AS diagnostics, max(score) AS s FROM m JOIN c a ON a.id = m.l_id JOIN c b ON b.id = m.r_id AND a.day_no = b.day_no AND a.cluster = b.cluster GROUP BY a.day_no, a.cluster),
+n AS (SELECT day_no, cluster, count(*) AS member_count FROM c GROUP BY day_no, cluster HAVING count(*) >= 2)
+SELECT n.day_no, CAST(n.cluster AS BIGINT) AS cluster, member_count, coalesce(diagnostics, 0) AS diagnostics, CASE WHEN s >= 0.92 THEN 'High' WHEN s >= 0.85 THEN 'Medium' ELSE 'Low' END AS confidence FROM n LEFT JOIN t ON n.day_no = t.day_no AND n.cluster = t.cluster""")
 def traceability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best score inside each chain."""
     d = _diagnostics(spark, sf_dir)
-    bridge = coalesce.members(coalesce.compose(coalesce.clusters(_summaries(spark, sf_dir), d, ["k"]), ["k"]), ["k"])
-    return coalesce.traceability(bridge, d, ["cluster"]).select("cluster", "member_count", "diagnostics", "confidence")
+    bridge = coalesce.members(coalesce.compose(coalesce.clusters(_summaries(spark, sf_dir), d, ["day_no"]), ["day_no"]), ["day_no"])
+    return coalesce.traceability(bridge, d, ["day_no", "cluster"], ["day_no"]).select("day_no", "cluster", "member_count", "diagnostics", "confidence")
 
 
 @query("stale_embeddings", "SELECT vec_id AS id FROM embeddings WHERE vec_id % 5 = 0 OR vec_id % 3 = 0 OR label IN (2)")
@@ -242,10 +254,20 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH l AS (SELECT conv_id, turn FROM conversations WHERE role = 'assistant')
 SELECT 'storage | storage | turn_failed | event=turn_failed job_id=<num> error_type=timeout path=<path> | error_type=timeout event=turn_failed job_id=<num> path=<path>' AS signature, count(*) AS n, 'High' AS severity, 'Timeout' AS error_class FROM l""")
 def log_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors by masked signature. Entries with loose lines after them are told apart by these, so none is kept here."""
+    """Errors by masked signature, without the loose lines after them; log_taxonomy_whole keeps these."""
     return logs.taxonomy(_entries(spark, sf_dir).withColumn("traceback", F.lit(None).cast("string"))).select("signature", "n", "severity", "error_class")
 
 
+@query("log_taxonomy_whole", f"""
+WITH l AS (SELECT conv_id, turn, role, {LOG} AS line FROM conversations), h AS (SELECT *, sum(starts_with(line, '2024')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS entry FROM l),
+e AS (SELECT conv_id, entry, arg_min(role, turn) AS role, string_agg(line, chr(10) ORDER BY turn) FILTER (NOT starts_with(line, '2024')) AS trace FROM h WHERE entry > 0 GROUP BY conv_id, entry),
+m AS (SELECT trim(lower(regexp_replace(coalesce(regexp_replace(trace, '\\s+', ' ', 'g'), ''), '\\b[0-9]+\\b', '<num>', 'g'))) AS trace FROM e WHERE role = 'assistant')
+SELECT 'storage | storage | turn_failed | event=turn_failed job_id=<num> error_type=timeout path=<path> | ' || CASE WHEN trace = '' THEN '' ELSE trace || ' | ' END || 'error_type=timeout event=turn_failed job_id=<num> path=<path>' AS signature, count(*) AS n, trace <> '' AS has_traceback FROM m GROUP BY trace""")
+def log_taxonomy_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors by masked signature, those with loose lines after them apart."""
+    return logs.taxonomy(_entries(spark, sf_dir)).select("signature", "n", "has_traceback")
+
+
 @query("log_lifecycles", """
 WITH l AS (SELECT conv_id, turn, role FROM conversations WHERE role IN ('user', 'assistant'))
 SELECT CAST(conv_id AS VARCHAR) AS job_id, CAST(max(turn) FILTER (role = 'user') AS INT) AS attempts, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY conv_id""")
@@ -262,7 +284,11 @@ def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", numeric.token_estimate(F.col("n_chars")).alias("tokens"), (F.char_length("text") > 80).alias("cut"))
 
 
-@query("prompt_chunks")
+@query("prompt_chunks", """
+WITH RECURSIVE t AS (SELECT conv_id, turn, length(text) AS size, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+r AS (SELECT conv_id, turn, size, k, n AS used, 1 AS chunk FROM t WHERE k = 1 UNION ALL
+SELECT t.conv_id, t.turn, t.size, t.k, CASE WHEN r.used > 0 AND r.used + t.n > 600 THEN t.n ELSE r.used + t.n END, CASE WHEN r.used > 0 AND r.used + t.n > 600 THEN r.chunk + 1 ELSE r.chunk END FROM r JOIN t ON t.conv_id = r.conv_id AND t.k = r.k + 1)
+SELECT conv_id, turn, CAST(size AS INT) AS size, CAST(chunk AS INT) AS chunk FROM r""")
 def prompt_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation filled greedily into prompts."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length("text").alias("size"))

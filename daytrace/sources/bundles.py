@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from daytrace.operators import logs
+
 SCHEMAS = {
     "summaries": "summary_id BIGINT, job_id BIGINT, day STRING, start_ts DOUBLE, end_ts DOUBLE, process_name STRING, window_title STRING, summary_text STRING, screenshot_count INT, text_segment_count INT, prompt_name STRING, model_name STRING, created_at DOUBLE",
     "daily_summaries": "day STRING, daily_summary_id BIGINT, job_id STRING, summary_text STRING, source_summary_count INT, prompt_name STRING, model_name STRING, created_at DOUBLE",
@@ -53,9 +55,38 @@ def export_bundle(frames: dict[str, DataFrame], folder: str, manifest: dict | No
 
 
 def read_logs(spark: SparkSession, path: str, glob: str = "*.log") -> DataFrame:
-    """Whole log files of a folder (source_file, value); a record may span lines, so files are not split."""
-    df = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
-    return df.select(F.input_file_name().alias("source_file"), "value")
+    """Lines of the log files of a folder (source_file, line_no from 1, line).
+
+    A file is read in blocks by several tasks. Lines are numbered within their block, and blocks by the lines before
+    them, so no file has to fit one task.
+    """
+    where = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.option("pathGlobFilter", glob).text(path).select(where.alias("b"), F.monotonically_increasing_id().alias("i"), F.col("value").alias("line"))
+    sizes = lines.groupBy("b").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("b.file").orderBy("b.start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sizes.select("b", "first", before.alias("before"))
+    return lines.join(blocks, "b").select(F.col("b.file").alias("source_file"), (F.col("before") + F.col("i") - F.col("first") + 1).alias("line_no"), "line")
+
+
+#: Files of a log audit beside the parsed entries (fixed values).
+AUDIT_FILES = [
+    "event_counts", "error_taxonomy", "lifecycle_timeline", "summary_queue_audit", "lmstudio_audit", "capture_audit", "crash_audit", "lock_unlock_audit", "storage_audit", "config_audit", "anomalies",
+]
+
+
+def log_audit(events: DataFrame) -> dict[str, DataFrame]:
+    """The frames of a log audit, of parsed entries."""
+    jobs, reqs = logs.job_lifecycles(events), logs.requests(events)
+    frames = [
+        logs.counters(events, "event_name"), logs.taxonomy(events), logs.timeline(events, logs.FINALIZED), logs.queue_audit(jobs), logs.request_audit(reqs), logs.capture_audit(events), logs.crash_audit(events), logs.lock_audit(events),
+        logs.storage_audit(events), logs.config_audit(events), logs.order_violations(events),
+    ]
+    return {"parsed_events": events, **dict(zip(AUDIT_FILES, frames, strict=True))}
+
+
+def write_log_audit(events: DataFrame, folder: str) -> dict[str, int]:
+    """Parsed entries and the eleven files of a log audit, with a manifest of their rows."""
+    return export_bundle(log_audit(events), folder)
 
 
 def replace_days(df: DataFrame, path: str, day: str = "day") -> None:

@@ -7,6 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from daytrace import session
 from daytrace.operators import logs, reports
 from daytrace.operators.intervals import runs
 from daytrace.sources import bundles
@@ -51,7 +52,7 @@ def put(folder, name, body):
 def test_logs(spark, folder):
     put(folder, "a.log", LOG)
     put(folder, "b.txt", "not a log")
-    lines = logs.numbered_lines(bundles.read_logs(spark, folder))
+    lines = bundles.read_logs(spark, folder)
     e = logs.parse(logs.records(lines)).cache()
     rows = e.orderBy("pos").collect()
     assert len(rows) == 9 and (rows[0].line_start, rows[0].line_end, rows[0].error_class, rows[0].severity) == (1, 5, "ValueError", "High")
@@ -79,7 +80,7 @@ def test_fields(spark):
 def test_crash_dumps(spark, folder):
     put(folder, "a.log", LOG)
     put(folder, "crash.log", DUMP)
-    lines = logs.numbered_lines(bundles.read_logs(spark, folder))
+    lines = bundles.read_logs(spark, folder)
     (d,) = logs.correlate_crashes(logs.crash_dumps(lines), logs.parse(logs.records(lines))).collect()
     assert d.thread_count == 2 and d.top_frame.line == 160 and d.confidence == "High" and d.matched_by == "session_id" and d.pid == 12
 
@@ -154,3 +155,23 @@ def test_idle_sessions_merge_at_the_gap(spark, folder):
 def test_manifest(spark, folder):
     bundles.export_bundle({"summaries": spark.range(3)}, folder, {"from": "a"})
     assert json.loads(spark.read.text(folder + "/manifest.json").first().value) == {"from": "a", "row_counts": {"summaries": 3}}
+
+
+def test_shared_folder_is_the_cluster_s(spark):
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    assert session.shared_folder(spark) == given if given else session.shared_folder(spark).startswith("file:")
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://somewhere:7077"
+
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session())
