@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daytrace.llm.common import Scratch, join_checked
+from daytrace.llm.common import Scratch, join_checked, join_counted
 
 FIELD = "<*>"
 #: Leading tokens of a leaf.
@@ -91,24 +91,30 @@ def recurring_lines(docs: DataFrame, doc_id: str, text: str, min_docs: int, scra
     kind = dict(docs.dtypes)[doc_id]
     rows = docs.select(docs[doc_id].alias("_id"), F.hash(docs[text]).alias("_hash"), docs[text].alias("_text"))
     lines = scratch.write(_lines(rows, kind, False))
-    live = scratch.write(_in_documents(lines, "leaf").where(F.col("docs") >= min_docs).select("leaf"))
+    counts = lines.groupBy("leaf").agg(F.count("*").alias("c"))
+    live = scratch.write(_in_documents(lines, "leaf").where(F.col("docs") >= min_docs).select("leaf").join(counts, "leaf"))
     # one row per generalised line in a live leaf, with its tokens
-    in_docs = _in_documents(join_checked(lines, live, "leaf", "left_semi"), "line")
-    told = join_checked(_lines(rows, kind, True), live, "leaf", "left_semi").groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
+    in_docs = _in_documents(join_counted(lines, live, ["leaf"], scratch, "left_semi"), "line")
+    told = join_counted(_lines(rows, kind, True), live, ["leaf"], scratch, "left_semi").groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
     told = scratch.write(told.join(in_docs, "line"))
     is_short = F.size("tokens") < MIN_TOKENS
     short = told.where(is_short & (F.col("docs") >= min_docs)).select("line", F.array_join("tokens", " ").alias("template"))
     placed = told.where(~is_short).select("line", "leaf", "docs", F.posexplode("tokens").alias("at", "token"))
-    fixed = placed.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).drop("n")
-    fields = placed.join(fixed.withColumn("fixed", F.lit(True)), ["leaf", "at", "token"], "left")
+    # the leading tokens are those of every line in the leaf, so they have its support and need no join
+    later = placed.where(F.col("at") >= DEPTH)
+    fixed = later.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n"), F.count("*").alias("c")).where(F.col("n") >= min_docs).drop("n")
+    later = join_counted(later, fixed.withColumn("fixed", F.lit(True)), ["leaf", "at", "token"], scratch, "left", size=F.octet_length("token"))
+    fields = later.unionByName(placed.where(F.col("at") < DEPTH).withColumn("fixed", F.lit(True)))
     is_fixed = F.col("fixed").isNotNull() & (F.col("token") != FIELD)
     parts = F.transform(F.array_sort(F.collect_list(F.struct("at", F.when(is_fixed, F.col("token")).otherwise(FIELD).alias("t")))), lambda x: x["t"])
     made = fields.groupBy("line").agg(F.array_join(parts, " ").alias("template"), F.count_if(is_fixed).alias("n_fixed"), F.count("*").alias("n"))
     made = scratch.write(made.where((F.col("n_fixed") >= F.col("n") * FIXED_SHARE) & (F.col("n_fixed") >= MIN_TOKENS - 1)).select("line", "template").unionByName(short))
-    having = scratch.write(join_checked(lines, made, "line", "inner").select("_id", "_hash", "same", "total", "no", "words", "template"))
-    first = having.groupBy("template").agg(F.min(F.struct("_id", "_hash", "no")).alias("first"))
-    often = scratch.write(_in_documents(having, "template").where(F.col("docs") >= min_docs).drop("docs").join(first, "template"))
-    again = join_checked(having, often, "template", "inner").where(~F.struct("_id", "_hash", "no").eqNullSafe(F.col("first")))
+    counts = lines.groupBy("line").agg(F.count("*").alias("c"))
+    made = join_checked(counts, made, "line", "inner", size=F.octet_length("template"))
+    having = scratch.write(join_counted(lines, made, ["line"], scratch, size=F.octet_length("template")).select("_id", "_hash", "same", "total", "no", "words", "template"))
+    first = having.groupBy("template").agg(F.min(F.struct("_id", "_hash", "no")).alias("first"), F.count("*").alias("c"))
+    often = _in_documents(having, "template").where(F.col("docs") >= min_docs).drop("docs").join(first, "template")
+    again = join_counted(having, often, ["template"], scratch, size=F.octet_length("template")).where(~F.struct("_id", "_hash", "no").eqNullSafe(F.col("first")))
     hits = scratch.write(again.groupBy("_id", "_hash", "same", "total").agg(F.collect_set(F.struct("no", "words", "template")).alias("hits")))
     emptied = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["words"]) >= F.col("total")
     # of the sets of lines that would go as a whole, those that more than one document has
@@ -133,9 +139,11 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     """One row per line that goes: id, line_no (from 0, lines are split at line feeds), template, line.
 
     A document, for counting, is an id with a text: wholly repeated rows count once and lose the same lines. The first
-    occurrence is that of the smallest id, then text hash, then line. A line under MIN_TOKENS words is its own template.
+    occurrence is that of the smallest id, then text hash, then line. A line under MIN_TOKENS words is its own template;
+    a longer one needs FIXED_SHARE of its tokens, and all but one of the least number, to be fixed.
     A document that would lose all its words stays whole if another has the same set of lines, numbers aside: of such
-    copies near-dedup keeps one. Null and empty texts have no lines; an empty table gives no rows.
+    copies near-dedup keeps one. Null and empty texts have no lines; rows without an id are documents too; an empty table
+    gives no rows. Only id and text are read.
     """
     rows = _marked(docs, doc_id, text, min_docs, "inner", [])
     one = rows.select("_own", F.split("_text", "\n", -1).alias("lines"), F.explode("hits").alias("h"))
