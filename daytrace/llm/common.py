@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daytrace.session import ship
+from daytrace.session import new_folder, ship
 
 #: Between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -33,22 +31,6 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; on one machine, as in tests, one of our own where none is set.
-
-    On several machines a folder of the driver's would be another one on each executor, so that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = getattr(spark.sparkContext, "_daytrace_folder", None)
-    if own is None:
-        own = spark.sparkContext._daytrace_folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return own
-
-
 class Scratch:
     """Intermediate tables of one operator call, written to the shared folder so that lost executors cost nothing.
 
@@ -58,11 +40,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark = spark
-        self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = new_folder(spark, name)
         self._n = 0
-        where, fs = self._fs(self.path)
-        fs.mkdirs(where)
-        fs.deleteOnExit(where)
 
     def _fs(self, path: str):
         jvm = self.spark._jvm
@@ -96,19 +75,21 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str, rows: int | No
 def join_counted(left: DataFrame, right: DataFrame, on: list[str], scratch: Scratch, how: str = "inner", size: Column | None = None) -> DataFrame:
     """Join of ``left`` with ``right``, which is unique per key and has in ``c`` how many rows of ``left`` the key has.
 
-    A small ``right`` is broadcast. Otherwise keys of many rows, which would be one task, are joined by broadcast: a key
-    counts as such from HOT_ROWS rows and one HOT_KEYSth of all, so there are at most HOT_KEYS; the others shuffle. ``on``
-    holds no nulls, ``how`` is inner, left or left_semi; ``c`` is not in the result.
+    A small ``right`` is broadcast. Otherwise rows of ``left`` whose key has many are dealt over several tasks by a hash
+    of their columns, and the key's row of ``right`` is sent to each of these: from HOT_ROWS rows and one HOT_KEYSth of
+    all, so there are at most HOT_KEYS such keys. ``on`` holds no nulls; ``c`` is not in the result.
     """
     right = scratch.write(right)
     rows, total, fat = right.agg(F.count("*"), F.sum("c"), F.coalesce(F.sum(size if size is not None else F.lit(0)), F.lit(0))).first()
-    lean = right.drop("c")
     if rows <= BROADCAST_ROWS and fat <= BROADCAST_BYTES:
-        return left.join(F.broadcast(lean), on, how)
-    limit = max(HOT_ROWS, total // HOT_KEYS)
-    hot, rest = right.where(F.col("c") > limit).drop("c"), right.where(F.col("c") <= limit).drop("c")
-    cool = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on, how)
-    return cool.unionByName(left.join(F.broadcast(hot), on, "inner" if how == "left" else how))
+        return left.join(F.broadcast(right.drop("c")), on, how)
+    parts = F.ceil(F.col("c") / HOT_ROWS).cast("int")
+    is_hot = F.col("c") > max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(right.where(is_hot).select(*on, parts.alias("_parts")))
+    salt = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.col("_parts"))).otherwise(0).cast("int")
+    dealt = left.join(hot, on, "left").withColumn("_salt", salt).drop("_parts")
+    copied = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, parts).otherwise(1) - 1))).drop("c")
+    return dealt.join(copied, [*on, "_salt"], how).drop("_salt")
 
 
 class Salt:

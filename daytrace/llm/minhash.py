@@ -23,7 +23,7 @@ SIDE, WIDTH = 16, 4
 #: Rounds that compare a bucket's documents with one of them, before those left apart are compared pair by pair.
 STAR_ROUNDS = 2
 #: Shingles and documents of a tile's side in the last round.
-TILE_SHINGLES, TILE_DOCS = 800_000, 2000
+TILE_SHINGLES, TILE_DOCS = 300_000, 500
 _ROWS = 2048
 
 

@@ -58,26 +58,6 @@ def test_components(spark):
     assert found == {k: v for k, v in wanted.items() if k in found} and set(found) == {x for a, b in edges if a != b for x in (a, b)}
 
 
-def test_shared_folder_is_the_cluster_s(spark):
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    assert common.shared_folder(spark) == given if given else common.shared_folder(spark).startswith("file:")
-
-
-def test_no_machine_local_folder_on_a_cluster():
-    class Context:
-        master = "spark://somewhere:7077"
-
-    class Conf:
-        def get(self, name, default=None):
-            return default
-
-    class Session:
-        sparkContext, conf = Context(), Conf()
-
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        common.shared_folder(Session())
-
-
 # --- 5 quality rules
 
 
@@ -643,44 +623,44 @@ def test_hot_spans_are_split(spark, monkeypatch):
 
 
 def brute_lines(rows, min_docs):
-    lines = []
-    for i, t in sorted({r for r in rows if r[0] is not None}):
-        for no, line in enumerate((t or "").split("\n")):
-            tokens = line_templates.tokens_of(line)
-            if len(tokens) >= line_templates.MIN_TOKENS:
-                lines.append((i, t, no, tuple(tokens)))
+    """{id: {line number: template}} to drop, by dictionaries: lines of four tokens or more have fields, shorter ones none."""
+    field = lambda t: ["<*>" if any(c in "0123456789" for c in x) else x for x in t]
+    lines, every = [], defaultdict(list)
+    for i, t in sorted({r for r in rows if r[0] is not None and r[1] is not None}):
+        for no, line in enumerate(t.split("\n")):
+            w = [x.decode() for x in line.encode().split()]
+            if w:
+                tok = tuple(field(w) if len(w) >= 4 else w)
+                lines.append((i, no, tok))
+                every[i].append((no, len(w), tuple(field(w))))
     leaf = lambda t: (len(t), t[:2])
-    per_leaf = defaultdict(set)
-    docs_of = defaultdict(set)
-    for i, t, _, tok in lines:
-        per_leaf[leaf(tok)].add((i, t))
-        docs_of[tok].add((i, t))
-    live = {k for k, v in per_leaf.items() if len(v) >= min_docs}
-    support = Counter()
-    for tok, d in docs_of.items():
-        if leaf(tok) in live:
-            for p, w in enumerate(tok):
-                support[leaf(tok), p, w] += len(d)
+    per_leaf, docs_of, support = defaultdict(set), defaultdict(set), Counter()
+    for i, _, tok in lines:
+        per_leaf[leaf(tok)].add(i)
+        docs_of[tok].add(i)
+    live = {tok for tok in docs_of if len(per_leaf[leaf(tok)]) >= min_docs}
+    for tok in live:
+        for p, w in enumerate(tok):
+            support[leaf(tok), p, w] += len(docs_of[tok])
     templates = {}
-    for tok in docs_of:
-        if leaf(tok) in live:
-            fixed = [support[leaf(tok), p, w] >= min_docs and w != "<*>" for p, w in enumerate(tok)]
-            if sum(fixed) >= max(len(tok) * line_templates.FIXED_SHARE, line_templates.MIN_TOKENS - 1):
-                templates[tok] = " ".join(w if f else "<*>" for w, f in zip(tok, fixed, strict=True))
+    for tok in live:
+        fixed = [support[leaf(tok), p, w] >= min_docs and w != "<*>" for p, w in enumerate(tok)]
+        if len(tok) < 4 and len(docs_of[tok]) >= min_docs:
+            templates[tok] = " ".join(tok)
+        elif len(tok) >= 4 and sum(fixed) >= max(len(tok) * 0.6, 3):
+            templates[tok] = " ".join(w if f else "<*>" for w, f in zip(tok, fixed, strict=True))
     having = defaultdict(list)
-    for i, t, no, tok in lines:
+    for i, no, tok in lines:
         if tok in templates:
-            having[templates[tok]].append((i, t, no, len(tok)))
+            having[templates[tok]].append((i, no))
     gone = defaultdict(dict)
     for template, found in having.items():
-        if len({f[:2] for f in found}) >= min_docs:
-            first = min(f[0] for f in found)
-            skip = min(f[2] for f in found if f[0] == first)
-            for i, t, no, n in found:
-                if (i, no) != (first, skip):
-                    gone[i][no] = (n, template)
-    text = dict(rows)
-    return {i: {no: x[1] for no, x in g.items()} for i, g in gone.items() if 2 * sum(x[0] for x in g.values()) <= len(words(text[i]))}
+        if len({i for i, _ in found}) >= min_docs:
+            for i, no in sorted(found)[1:]:
+                gone[i][no] = template
+    alike = Counter(frozenset(k for _, _, k in v) for v in every.values())
+    stays = {i for i in gone if len(gone[i]) == len(every[i]) and alike[frozenset(k for _, _, k in every[i])] > 1}
+    return {i: g for i, g in gone.items() if i not in stays}
 
 
 def test_lines_equal_brute_force(spark):
@@ -716,6 +696,17 @@ def test_line_edges(spark):
     assert line_templates.dropped_lines(documents(spark, copies)).count() == 0, "whole copies are left to document dedup"
 
 
+def test_hot_lines_are_split(spark, monkeypatch):
+    rng = random.Random(43)
+    rows = [(i, "\n".join([prose(rng, 5), "The same first words of it then " + rng.choice("abcdefgh"), "Read more", "Page 3 of the very long book " + str(i)])) for i in range(50)]
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    got = defaultdict(dict)
+    for r in line_templates.dropped_lines(documents(spark, rows)).collect():
+        got[r.doc_id][r.line_no] = r.template
+    assert dict(got) == brute_lines(rows, 10) and len(got) == 49
+
+
 def test_mostly_recurring_documents_and_short_lines_are_cleaned(spark):
     rng = random.Random(31)
     rows = [(i, prose(rng, 4) + "\nAccept all cookies to read on with us\nRead more\n7 July\nPage " + str(i)) for i in range(12)]
@@ -763,6 +754,65 @@ def test_language_edges(spark):
     assert nothing[0].lang_pred == "und" and langid.identify_languages(documents(spark, rows).limit(0)).count() == 0
 
 
+def slots_of(text):
+    """Slots of the 1- to 3-grams of letters, one by one: the definition, in Python integers."""
+    s = "".join(c if c.isalpha() else " " for c in text.lower()).lstrip(" ")
+    while "  " in s:
+        s = s.replace("  ", " ")
+    s = " " + s + " "
+    m = (1 << 64) - 1
+    out = Counter()
+    for k, start in ((1, range(1, len(s) - 1)), (2, range(len(s) - 1)), (3, range(len(s) - 2))):
+        for i in start:
+            c = [ord(x) for x in s[i : i + k]]
+            if k == 1:
+                h = c[0] * 0xFF51AFD7ED558CCD & m
+            else:
+                h = (c[0] * 0x9E3779B97F4A7C15 + c[1] * 0xC2B2AE3D27D4EB4F) & m
+                if k == 3:
+                    h = (h * 0x165667B19E3779F9 + c[2] * 0xD6E8FEB86659FD93) & m
+            h ^= h >> 29
+            out[(h * 0xBF58476D1CE4E5B9 & m) >> 52] += 1
+    return out
+
+
+def test_languages_equal_brute_force(spark):
+    """Vectors, frequencies and the nearest centroid, computed text by text; centroids are means of their own texts."""
+    rows = tongues(60) + [(500, "ab", "aa"), (501, "x" * 40_000, "cc")]
+    train = [(t, k) for i, t, k in rows if zlib.crc32(str(i).encode()) % 5]
+    df = Counter(s for t, _ in train for s in slots_of(t))
+    idf = lambda s: math.log((1 + len(train)) / (1 + df[s])) + 1
+
+    def vector(t):
+        v = np.zeros(langid.SLOTS)
+        for s, n in slots_of(t).items():
+            v[s] = math.log1p(n) * idf(s)
+        return v / np.linalg.norm(v)
+
+    model = langid.fit(spark.createDataFrame(train, "_text string, _lang string"))
+    assert np.allclose(model[0], [idf(s) for s in range(langid.SLOTS)], atol=1e-5)
+    own = {k: np.array([vector(t) for t, x in train if x == k]) for k in ("aa", "bb", "cc")}
+    for k in own:
+        mine = np.array([c for c, x in zip(model[2], model[1], strict=True) if x == k])
+        near = (own[k] @ mine.T).argmax(axis=1)
+        for j in range(len(mine)):
+            mean = own[k][near == j].sum(axis=0)
+            assert np.allclose(mean / np.linalg.norm(mean), mine[j], atol=1e-3)
+    got = {r.doc_id: r for r in langid.identify_languages(documents(spark, rows)).collect()}
+    for i, t, _ in rows:
+        like = model[2] @ vector(t)
+        assert got[i].lang_pred == model[1][int(like.argmax())] and got[i].score == pytest.approx(like.max(), abs=1e-4)
+
+
+def test_no_language_is_lost(spark):
+    rng = random.Random(44)
+    some = [(t, "aa") for _, t, k in tongues(300) if k == "aa"]
+    two = [prose(rng, 20, "vwyz"), prose(rng, 20, "vwyz")]
+    train = spark.createDataFrame(some + [(two[i % 2], "zz") for i in range(30_000)], "_text string, _lang string")
+    _, langs, _, _ = langid.fit(train, fit_texts=50)
+    assert Counter(langs)["zz"] == 2 and "aa" in langs
+
+
 def test_fit_sample_does_not_shrink_with_copies(spark):
     rows = tongues(90)
     few = [(f"{t}", k) for _, t, k in rows]
@@ -876,14 +926,34 @@ def test_pipeline(spark, tmp_path):
         if k < len(corpus_pipeline.STAGES) - 1:
             assert seen[-1].columns == docs.columns, name
     good, lines, one, mixed, packed = [[r for r in df.collect()] for df in seen[1:]]
-    assert {r.doc_id for r in good} == {r[0] for r in rows if r[0] < 600}
-    assert sum("Released" in r.text for r in lines) == 1 + 4 + 0 or sum("Released" in r.text for r in lines) < 10
-    assert sorted(r.doc_id for r in one if r.doc_id in (7, 500, 501, 502, 503)) == [7] and len(one) == 150
-    assert {r.doc_id for r in mixed} <= {r.doc_id for r in one}
-    assert Counter(r.doc_id for r in packed) == Counter(r.doc_id for r in mixed)
+    counts = {i: counts_of(t) for i, t, *_ in rows}
+    assert {r.doc_id for r in good} == {i for i, n in counts.items() if n[0] >= 10 and 100 * n[4] <= 20 * n[0]} == {r[0] for r in rows if r[0] < 600}
+    # each stage by brute force on what it was given
+    gone = brute_lines([(r.doc_id, r.text) for r in good], 10)
+    assert {r.doc_id: r.text for r in lines} == {r.doc_id: "\n".join(x for no, x in enumerate(r.text.split("\n")) if no not in gone.get(r.doc_id, {})) for r in good} and len(gone) > 70
+    near = brute_near([(r.doc_id, r.text) for r in lines], 80)
+    assert {r.doc_id for r in one} == {c for _, c in near.values()} and len(one) == 150
+    plan = {r.doc_id: r.positions for r in mixing.mix_plan(seen[3]).collect()}
+    assert [r.doc_id for r in mixing.mix_documents(seen[3]).collect()] == [d for _, d in sorted((p, d) for d, ps in plan.items() for p in ps)]
+    assert Counter(r.doc_id for r in mixed) == Counter(d for d, ps in plan.items() for _ in ps)
+    copies, pieces = Counter(), []
+    for r in sorted(mixed, key=lambda r: r.doc_id):
+        copies[r.doc_id] += 1
+        pieces.append((-len(words(r.text)), r.doc_id, copies[r.doc_id], r.source, tuple(w.lower() for w in words(r.text))))
+    pieces.sort(key=lambda p: p[:3])
+    kinds = {c: k for k, c in enumerate(sorted({p[4] for p in pieces}))}
+    spots = slow_best_fit([(-n, s, kinds[c]) for n, _, _, s, c in pieces], packing.CAPACITY, packing.PER_SOURCE)
+    assert sorted((r.doc_id, r["copy"], r.bin, r.bin_offset) for r in packed) == sorted((d, k, b, at) for (_, d, k, _, _), (b, at) in zip(pieces, spots, strict=True))
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(map(tuple, packed))
 
 
+def test_pipeline_stages_take_odd_rows_and_empty_tables(spark, tmp_path):
+    for rows in (ODD, ODD[:0]):
+        docs = documents(spark, rows + ODD).limit(len(rows)).select("doc_id", "text", "lang", "source", "n_chars", "_id", "_text", "kept")
+        for _, stage in corpus_pipeline.STAGES:
+            assert stage(spark, docs, str(tmp_path)).count() in range(len(rows) * 2 + 1)
+
+
 def test_queries_and_sql_have_the_same_names():
     assert set(queries.ORACLES) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
 
