@@ -265,6 +265,17 @@ def typed_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed_text.reconstruct(keys, ["conv_id"]).select("conv_id", "window_title", "text", "raw_key_count")
 
 
+@query("typed_hotkeys", f"""
+WITH {O} SELECT machine, ts AS start_ts, CASE WHEN app = 'purchase' THEN '' WHEN app = 'signup' THEN 'S' ELSE substr(app, 1, 1) END AS text, CASE WHEN app = 'purchase' THEN 'CTRL+P' ELSE '' END AS hotkey, CAST(1 AS INT) AS raw_key_count FROM o""")
+def typed_hotkeys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event is a key in a window of its own: purchases with ctrl, signups with shift; released keys and modifiers do not count."""
+    o = observations(spark, sf_dir)
+    held = F.when(F.col("app") == "purchase", F.array(F.lit("ctrl"))).when(F.col("app") == "signup", F.array(F.lit("shift"))).otherwise(F.array().cast("array<string>"))
+    keys = o.select("machine", "ts", F.col("event_id").alias("id"), F.substring("app", 1, 1).alias("key"), F.lit("down").alias("event_type"), held.alias("modifiers"), F.lit("app").alias("process_name"), F.col("event_id").cast("string").alias("window_title"), F.lit(1).cast("bigint").alias("hwnd"))
+    noise = keys.withColumns({"key": F.lit("Key.shift")}).unionByName(keys.withColumn("event_type", F.lit("up")))
+    return typed_text.reconstruct(keys.unionByName(noise), ["machine"]).select("machine", "start_ts", "text", F.coalesce(F.get("hotkeys", F.lit(0)), F.lit("")).alias("hotkey"), "raw_key_count")
+
+
 @query("held_modifiers", f"""
 WITH {O}, m AS (SELECT event_id, machine, ts, app FROM o)
 SELECT event_id, coalesce(last_value(CASE WHEN app IN ('purchase', 'error') THEN app END IGNORE NULLS) OVER (PARTITION BY machine ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') = 'purchase' AS ctrl_held FROM m""")

@@ -125,6 +125,18 @@ def bundle_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.metrics(_bundle(spark, sf_dir)).drop("date_range_start", "date_range_end", "missing_daily_recap_days")
 
 
+@query("bundle_advice", METRICS_SQL + """, m AS (SELECT * FROM s, d, e, q), days AS (SELECT count(*) AS missing FROM (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events WHERE day(ts) % 4 = 0)),
+a AS (SELECT unnest([CASE WHEN raw_only_event_summary_count / event_summary_count >= 0.4 THEN 'Many summaries rest on process and window names alone: extract more files, tasks and conversations.' END,
+ CASE WHEN missing > 0 THEN 'Active days lack a daily recap: check how days are reconciled.' END,
+ CASE WHEN degraded_payload_count / (event_summary_count + daily_summary_count) >= 0.15 THEN 'Many payloads are degraded: tighten the prompt or repair responses.' END,
+ CASE WHEN file_entity_count >= 5 AND task_candidate_count <= greatest(1, file_entity_count // 3) THEN 'Files are well covered, tasks are not: improve the search for task labels.' END,
+ CASE WHEN (n_good + n_excellent) / (event_summary_count + daily_summary_count) >= 0.7 AND n_weak + n_poor = 0 THEN 'Evidence is mostly good or excellent.' END]) AS advice FROM m, days)
+SELECT advice FROM a WHERE advice IS NOT NULL""")
+def bundle_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Advice on the measures of a bundle."""
+    return spark.createDataFrame([(line,) for line in reports.recommendations(reports.metrics(_bundle(spark, sf_dir)).first())], "advice string")
+
+
 @query("bundle_changes", "SELECT count(*) - count(*) FILTER (day(ts) <= 15) AS event_summary_count FROM events")
 def bundle_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change of the measures between two bundles."""

@@ -103,6 +103,20 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.event_score(d.withColumns(flags))
 
 
+@query("entity_coverage", """
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'browser_title' WHEN 1 THEN 'mail_subject' ELSE '' END AS parsers, CAST(3 AS INT) AS entities, page_id % 3 = 2 AS unknown_app, CASE WHEN page_id % 3 = 2 THEN 0.48::DOUBLE ELSE 0.9::DOUBLE END AS parser_confidence FROM pages""")
+def entity_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """what the parsers find in browser, mail and unknown windows, and how sure they are."""
+    k = F.col("page_id") % 3
+    n = F.col("page_id").cast("string")
+    p = table(spark, sf_dir, "pages").select(
+        "page_id", F.when(k == 0, "chrome.exe").when(k == 1, "outlook.exe").otherwise("tool").alias("process_name"),
+        F.when(k == 0, F.concat(F.lit("Notes "), n, F.lit(" - Google Chrome"))).when(k == 1, F.concat(F.lit("RE "), n, F.lit(" - Outlook"))).otherwise(F.concat(F.lit("Panel "), n)).alias("window_title"), F.array().cast("array<string>").alias("text_snippets"))
+    found = entities.drafts(p, ["page_id"])
+    c = entities.coverage(found, entities.merge(found, ["page_id"]), ["page_id"])
+    return c.select("page_id", F.array_join("matched_parser_names", ",").alias("parsers"), F.col("extracted_entity_count").alias("entities"), "unknown_app", "parser_confidence")
+
+
 EVIDENCE_SQL = """
 WITH f AS (SELECT d.doc_id, d.source, l.quality IS NULL AS degraded, d.lang IS NOT NULL AS process_evidence, d.n_chars > 100 AS title_evidence, coalesce(l.quality = 1, false) AS has_file, d.n_chars > 2000 AS has_task, coalesce(l.toxic = 1, false) AS blocked, d.lang <> 'en' AS unknown_app FROM documents d LEFT JOIN labels l USING (doc_id)),
 s AS (SELECT *, 0.05 + CASE WHEN degraded THEN -0.15 ELSE 0.12 END + CASE WHEN process_evidence THEN 0.07 ELSE 0 END + CASE WHEN title_evidence THEN 0.06 ELSE 0 END + CASE WHEN has_file THEN 0.20 ELSE 0 END + CASE WHEN has_task THEN 0.16 ELSE 0 END
