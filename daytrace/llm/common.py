@@ -61,6 +61,11 @@ class Scratch:
         fs.delete(where, True)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a row's columns, but for those with maps and variants, which can't be hashed."""
+    return F.xxhash64(*[c for c, t in df.dtypes if "map<" not in t and "variant" not in t])
+
+
 def join_checked(left: DataFrame, right: DataFrame, on, how: str, rows: int | None = None, limit: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
     """Join that broadcasts ``right`` if it has at most ``limit`` rows (counted unless given), else shuffles.
 
@@ -86,7 +91,7 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], scratch: Scra
     parts = F.ceil(F.col("c") / HOT_ROWS).cast("int")
     is_hot = F.col("c") > max(HOT_ROWS, total // HOT_KEYS)
     hot = F.broadcast(right.where(is_hot).select(*on, parts.alias("_parts")))
-    salt = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.col("_parts"))).otherwise(0).cast("int")
+    salt = F.when(F.col("_parts").isNotNull(), F.pmod(row_hash(left), F.col("_parts"))).otherwise(0).cast("int")
     dealt = left.join(hot, on, "left").withColumn("_salt", salt).drop("_parts")
     copied = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, parts).otherwise(1) - 1))).drop("c")
     return dealt.join(copied, [*on, "_salt"], how).drop("_salt")
@@ -106,7 +111,7 @@ class Salt:
         self.hot = F.broadcast(scratch.write(counts.select(key, F.ceil(F.col("_c") / HOT_ROWS).cast("int").alias(self._parts))))
 
     def deal(self, left: DataFrame) -> DataFrame:
-        at = F.when(F.col(self._parts).isNotNull(), F.pmod(F.xxhash64(*left.columns), F.col(self._parts))).otherwise(0).cast("int")
+        at = F.when(F.col(self._parts).isNotNull(), F.pmod(row_hash(left), F.col(self._parts))).otherwise(0).cast("int")
         return left.join(self.hot, self.key, "left").withColumn(self.name, at).drop(self._parts)
 
     def copies(self, right: DataFrame) -> DataFrame:

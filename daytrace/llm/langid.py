@@ -159,7 +159,8 @@ def identify_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     Held out are rows with crc32(id as text) mod 5 = 0, and those without an id; the others with a language are learned
     from. Null texts and texts without a letter are ``und`` with score 0, and so is all if there is nothing to learn
-    from. Equal texts get equal results; an empty table gives no rows. Only id, text and language are read.
+    from. Of equally near centroids the first by language wins. Equal texts get equal results; an empty table gives no
+    rows. Only id, text and language are read.
     """
     ship(docs.sparkSession)
     held = F.coalesce(F.crc32(docs[doc_id].cast("string")) % 5 == 0, F.lit(True))

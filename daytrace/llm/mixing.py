@@ -69,12 +69,12 @@ class Mix:
     def __init__(self, docs: DataFrame, doc_id: str, text: str, source: str, weights=WEIGHTS, shapes=SHAPES, share: float = 1.5, most: float = 2.0):
         self.scratch = scratch = Scratch(docs.sparkSession, "mix")
         self.doc_id, self.text, self.source = doc_id, text, source
-        lite = scratch.write(self._keyed(docs, []))
+        lite = scratch.write(self._keyed(docs, [], []))
         self.digits = max(1, min(6, math.ceil(math.log(max(1, lite.count()) / ROWS_PER_BUCKET, 16))))
         lite = lite.withColumn("_bucket", F.substring("_h", 1, self.digits))
-        buckets = lite.groupBy("_src", "_bucket").agg(F.sum("_size").alias("n"))
-        w = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        self.offsets = scratch.write(buckets.select(F.col("_src").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_offset")))
+        buckets = lite.groupBy("_key", "_bucket").agg(F.sum("_size").alias("n"))
+        w = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        self.offsets = scratch.write(buckets.select("_key", "_bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_offset")))
         sizes = lite.groupBy("_src").agg(F.sum("_size").alias("source_size"))
         self.plan = scratch.write(targets(sizes, weights, shapes, share, most).withColumn("_fill", F.lit(None).cast("struct<_h:string,_row:int>")))
         self.sources = self.plan.count()
@@ -86,18 +86,20 @@ class Mix:
         best = rest.groupBy("_src").agg(F.min_by(F.struct("_h", "_row"), F.struct("_off", "_h", "_row")).alias("_fill")).withColumnRenamed("_src", "_s")
         self.plan = scratch.write(self.plan.drop("_fill").join(best, F.col("_src").eqNullSafe(F.col("_s")), "left").drop("_s"))
 
-    def _keyed(self, docs: DataFrame, keep: list[Column]) -> DataFrame:
+    def _keyed(self, docs: DataFrame, keep: list[Column], ties: list[str]) -> DataFrame:
+        src = docs[self.source].cast("string")
         return docs.select(
-            *keep, docs[self.source].cast("string").alias("_src"), F.md5(F.coalesce(docs[self.doc_id].cast("string"), F.lit("null"))).alias("_h"),
+            *keep, src.alias("_src"), F.coalesce(F.concat(F.lit("="), src), F.lit("null")).alias("_key"), (F.xxhash64(*[docs[c] for c in ties]) if ties else F.lit(0)).alias("_all"), F.md5(F.coalesce(docs[self.doc_id].cast("string"), F.lit("null"))).alias("_h"),
             F.xxhash64(docs[self.text]).alias("_tie"), F.size(words_of(docs[self.text])).cast("long").alias("_size"),
         )
 
     def _placed(self, rows: DataFrame) -> DataFrame:
         """Add _row and _before (words of the source before this row), source_size, target, _shape, _fill."""
-        w = Window.partitionBy("_src", "_bucket").orderBy("_h", "_tie", "_size")
+        # the join has the window's keys, so that rows are dealt once
+        w = Window.partitionBy("_key", "_bucket").orderBy("_h", "_tie", "_size", "_all")
         own = rows.withColumn("_row", F.row_number().over(w)).withColumn("_cum", F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size"))
-        both = join_checked(own, self.offsets, F.col("_src").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")), "inner")
-        both = both.withColumn("_before", F.col("_cum") + F.col("_offset")).drop("_s", "_b", "_cum", "_offset")
+        both = join_checked(own, self.offsets, ["_key", "_bucket"], "inner")
+        both = both.withColumn("_before", F.col("_cum") + F.col("_offset")).drop("_cum", "_offset")
         return join_checked(both, self.plan.withColumnRenamed("_src", "_s"), F.col("_src").eqNullSafe(F.col("_s")), "inner", self.sources).drop("_s")
 
     @staticmethod
@@ -107,11 +109,14 @@ class Mix:
         extra = F.when((F.col("_fill._h") == F.col("_h")) & (F.col("_fill._row") == F.col("_row")), F.col("target") - F.col("_size") / 2)
         return placed.withColumn("_places", F.array_compact(F.concat(fits, F.array(extra))))
 
-    def decide(self, docs: DataFrame, keep: list[Column]) -> DataFrame:
-        """``keep`` with _src, _size, source_size, target and _positions (one per copy that the mix takes)."""
-        rows = self._keyed(docs, keep).withColumn("_bucket", F.substring("_h", 1, self.digits))
+    def decide(self, docs: DataFrame, keep: list[Column], ties: list[str]) -> DataFrame:
+        """``keep`` with _src, _size, source_size, target, _all and _positions (one per copy that the mix takes).
+
+        Rows of one id, text and source are told apart by the columns ``ties``.
+        """
+        rows = self._keyed(docs, keep, ties).withColumn("_bucket", F.substring("_h", 1, self.digits))
         at = F.transform("_places", lambda p: position_of(p / F.greatest(F.col("target"), F.lit(1.0)), F.col("_shape")))
-        return self._copies(self._placed(rows)).withColumn("_positions", at).drop("_h", "_tie", "_bucket", "_row", "_before", "_places", "_fill", "_shape")
+        return self._copies(self._placed(rows)).withColumn("_positions", at).drop("_h", "_tie", "_key", "_bucket", "_row", "_before", "_places", "_fill", "_shape")
 
 
 def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
@@ -120,11 +125,16 @@ def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     Null and empty texts have size 0; null source is a source, the last; equal ids or rows are each placed; a source of
     size 0 has target 0; an empty table gives no rows. Only id, text and source are read.
     """
-    out = Mix(docs, doc_id, text, source, **how).decide(docs, [docs[doc_id].alias(doc_id)])
+    out = Mix(docs, doc_id, text, source, **how).decide(docs, [docs[doc_id].alias(doc_id)], [])
     return out.select(doc_id, F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.size("_positions")).alias("taken"), F.col("_positions").alias("positions"))
 
 
 def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, sorted by training position."""
-    out = Mix(docs, doc_id, text, source, **how).decide(docs, [F.struct(*[docs[c] for c in docs.columns]).alias("_doc")])
-    return out.select("_doc", F.explode("_positions").alias("_at")).orderBy("_at", F.col("_doc")[doc_id]).select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
+    """The rows of ``docs``, each as often as the mix takes it, sorted by training position, then id, then a hash of the row.
+
+    Rows that differ in nothing but maps and variants may swap between runs. Texts without words take no room
+    and come as often as a pass does.
+    """
+    ties = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    out = Mix(docs, doc_id, text, source, **how).decide(docs, [F.struct(*[docs[c] for c in docs.columns]).alias("_doc")], ties)
+    return out.select("_doc", "_all", F.explode("_positions").alias("_at")).orderBy("_at", F.col("_doc")[doc_id], "_all").select(*[F.col("_doc")[c].alias(c) for c in docs.columns])

@@ -84,7 +84,8 @@ def pack_documents(
     A document longer than ``capacity`` is cut into full pieces, which fill bins alone, and a rest. Documents of one
     duplicate ``cluster`` (a column; without it, equal texts but for case and spacing) never share a bin. Documents
     without words take no room: one row with piece 0, n_words 0 and null bin. Equal rows are told apart by ``copy``
-    (1, 2, ...); null source is a source; null cluster stands for the text's own. An empty table gives no rows.
+    (1, 2, ...); null source is a source; null cluster stands for the text's own. Pieces of one size are placed by id
+    (null last), then copy; bins of equal room by number. An empty table gives no rows.
     Only the named columns are read. Bins are numbered in 64 bits: block, then bin in the block.
     """
     scratch = Scratch(docs.sparkSession, "pack")

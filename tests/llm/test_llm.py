@@ -261,6 +261,15 @@ def test_mixed_documents_follow_their_positions(spark):
     assert order == [d for _, d in flat]
 
 
+def test_rows_that_tie_keep_their_order(spark):
+    rng = random.Random(45)
+    rows = [(1 + i // 6, prose(random.Random(i // 6), 12), f"l{i % 6}", "ab"[i // 6 % 2]) for i in range(60)]
+    rng.shuffle(rows)
+    one = [tuple(r) for r in mixing.mix_documents(documents(spark, rows, "_all", "_key")).select("doc_id", "lang").collect()]
+    rng.shuffle(rows)
+    assert [tuple(r) for r in mixing.mix_documents(documents(spark, rows, "_all", "_key").repartition(7)).select("doc_id", "lang").collect()] == one and len(set(one)) > 30
+
+
 def test_curriculum_positions(spark):
     """A source that fades out is used up early; the integral of the schedule up to a position is its share."""
     shape = F.array(*map(F.lit, mixing.SHAPES[0]))
