@@ -9,27 +9,45 @@ from daytrace.llm.common import Scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null and empty texts, and those of under ten words, go; null language and source are values of their own; equal rows
+    stay or go together; rows without an id are judged like others.
+    """
     return quality_rules.keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All of them, without lines of recurring templates."""
+    """All of them, without lines of recurring templates.
+
+    No row goes. A document that would lose all its words stays whole if another has the same lines; of equal rows none
+    is the other's first occurrence, so both lose the same lines.
+    """
     return line_templates.drop_recurring_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: that of the smallest id.
+
+    Rows without an id and texts without words stay; repeated rows of the id that is kept all stay.
+    """
     return minhash.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, by training position."""
+    """Documents as often as the mix takes them, by training position.
+
+    Null source is a source, the last; equal rows are each placed; rows at one position follow their ids, then a hash.
+    """
     return mixing.mix_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Placements of the documents in training sequences."""
+    """Placements of the documents in training sequences.
+
+    Texts without words take no room (null bin); equal rows are told apart by their copy number; equal texts never share
+    a sequence; a text longer than a sequence is cut. Columns other than id, text and source are not in the result.
+    """
     return packing.pack_documents(docs)
 
 
@@ -40,7 +58,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; an empty table gives no rows."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:

@@ -68,18 +68,32 @@ def page_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(text.repositories(said)).alias("r")).select("page_id", F.lower("r").alias("repository"))
 
 
-@query("branch_names", "SELECT doc_id, unnest(list_distinct(['feature/x-' || doc_id, 'Main' || doc_id % 3])) AS branch FROM documents")
+@query("text_tickets", r"""
+WITH t AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(coalesce(text, '') || ' see ABC-' || doc_id, '(?i)\b[A-Z][A-Z0-9]+-[0-9]+\b'), lambda x: upper(x))) AS t FROM documents) SELECT doc_id, unnest(t) AS ticket FROM t""")
+def text_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """issue keys in whole texts, each with one of its own at the end."""
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" see ABC-"), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(text.tickets(said)).alias("ticket"))
+
+
+@query("branch_names", r"""
+WITH l AS (SELECT doc_id, list_concat(list_concat(regexp_extract_all(said, '(?i)\bbranch[:\s]+([A-Za-z0-9._/\-]+)\b', 1), regexp_extract_all(said, '(?i)\bon\s+([A-Za-z0-9._/\-]+)\s+branch\b', 1)), regexp_extract_all(said, '(?i)\brefs/heads/([A-Za-z0-9._/\-]+)\b', 1)) AS l
+ FROM (SELECT doc_id, coalesce(text, '') || ' Branch: feature/x-' || doc_id || ' and on Main' || doc_id % 3 || ' branch, refs/heads/main' || doc_id % 3 || ' too' AS said FROM documents))
+SELECT DISTINCT doc_id, lower(unnest(l)) AS branch FROM l""")
 def branch_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """branches by their three forms, each once whatever its case."""
-    said = F.expr("'Branch: feature/x-' || doc_id || ' and on Main' || (doc_id % 3) || ' branch, refs/heads/main' || (doc_id % 3) || ' too'")
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(text.branches(said)).alias("branch"))
+    """branches by their three forms at the end of whole texts, each once whatever its case."""
+    said = F.expr("coalesce(text, '') || ' Branch: feature/x-' || doc_id || ' and on Main' || (doc_id % 3) || ' branch, refs/heads/main' || (doc_id % 3) || ' too'")
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(text.branches(said)).alias("branch")).select("doc_id", F.lower("branch").alias("branch"))
 
 
-@query("task_labels", "SELECT doc_id, unnest(['A-' || doc_id, 'Z' || doc_id || '9']) AS label FROM documents")
+@query("task_labels", r"""
+WITH l AS (SELECT doc_id, list_concat(regexp_extract_all(said, '(?i)\b(?:task|case|job|run|build|ticket|issue|story)[:\s#-]+([A-Za-z0-9._/-]{2,})\b', 1), regexp_extract_all(said, '(?i)\b(?:analysis for|work on|follow up on)\s+([A-Z0-9][A-Z0-9._-]{1,})\b', 1)) AS l
+ FROM (SELECT doc_id, coalesce(text, '') || ' Task: A-' || doc_id || ' then follow up on Z' || doc_id || '9 today' AS said FROM documents))
+SELECT DISTINCT doc_id, lower(unnest(l)) AS label FROM l""")
 def task_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """explicit labels of tasks, by both patterns."""
-    said = F.expr("'Task: A-' || doc_id || ' then follow up on Z' || doc_id || '9 today'")
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(text.task_labels(said)).alias("label"))
+    """explicit labels of tasks in whole texts, by both patterns, each once whatever its case."""
+    said = F.expr("coalesce(text, '') || ' Task: A-' || doc_id || ' then follow up on Z' || doc_id || '9 today'")
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(text.task_labels(said)).alias("label")).select("doc_id", F.lower("label").alias("label"))
 
 
 @query("path_parts", r"""
