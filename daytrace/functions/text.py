@@ -47,6 +47,9 @@ def extract_all(c: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), group)
 
 
+# The patterns in tickets, windows_paths, file_tokens, repositories, branches and task_labels are fixed values.
+
+
 def tickets(c: Column) -> Column:
     """issue keys such as ABC-12 in upper case, each once."""
     return F.array_distinct(F.transform(extract_all(c, r"(?iU)\b([A-Z][A-Z0-9]+-\d+)\b"), lambda t: F.upper(t)))
@@ -86,7 +89,7 @@ def is_file_path(c: Column) -> Column:
     return path_name(c).rlike(r"^[^.].*\.[^.]+$|^\.+[^.].*\.[^.]+$")
 
 
-# fixed values
+# fixed values: folders of systems and of builds, two lists that are always asked together
 PLAIN_FOLDERS = [
     "appdata", "desktop", "documents", "downloads", "home", "local", "program files", "program files (x86)", "projects",
     "source", "src", "temp", "tmp", "users", "workspace", "bin", "build", "dist", "obj", "debug", "release",
