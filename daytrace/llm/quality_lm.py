@@ -126,8 +126,10 @@ class Model:
             if total > HEAD:
                 break
             least = r.level
-        rows = self.nats(self.counts.where(level >= least)).toPandas().sort_values("gram")
-        return rows.gram.to_numpy(dtype=np.int64), rows.nats.to_numpy(dtype=np.float64)
+        rows = self.nats(self.counts.where(level >= least)).toArrow()
+        numbers, nats = (rows.column(c).to_numpy() for c in ("gram", "nats"))
+        order = numbers.argsort()
+        return numbers[order], nats[order]
 
 
 def perplexities(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
