@@ -128,20 +128,23 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     """
     ends = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now = scratch.write(ends)
-    seen = None
+    rows, seen = now.count(), None
     while True:
+        # a minimum per node is broadcast where the edges are few enough for it, by their count
+        few = 2 * rows <= BROADCAST_ROWS
+        meet = lambda left, low: left.join(F.broadcast(low.drop("c")), "u") if few else join_counted(left, low, ["u"], scratch)  # noqa: B023, E731
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("c"))
-        large = join_counted(both, low, ["u"], scratch).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = scratch.write(large)
+        large = meet(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = large if few else scratch.write(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
-        small = join_counted(large, low, ["u"], scratch).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
+        small = meet(large, low).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
         after = scratch.write(small.select("e.u", "e.v").where("u <> v").distinct())
         scratch.drop(now)
         now = after
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             break
-        seen = state
+        rows, seen = state[0], state
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return scratch.write(now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots))
