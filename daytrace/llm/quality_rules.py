@@ -250,11 +250,13 @@ def judge_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", confidence: float = 0.99999) -> DataFrame:
     """The rows of ``docs`` that ``judge_quality`` keeps, with their own columns.
 
-    Every text is counted once, and written with its counts; texts are not shuffled.
+    Texts are neither shuffled nor written aside: their counts are taken once for the estimates and once for the verdict.
     """
     scratch = Scratch(docs.sparkSession, "quality")
+    base = docs.select(docs[text].alias("_text"), docs[lang].alias("_l"), docs[source].alias("_s"))
+    rows = counted(base, [F.col("_l"), F.col("_s")], F.col("_text")).where("not base_failed")
+    rows = scratch.write(_placed(rows, F.col("_l"), F.col("_s")).select("_lang", "_source", *_X))
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
-    rows = counted(whole, [F.col("_doc")], F.col("_doc")[text]).where("not base_failed")
-    rows = scratch.write(_placed(rows, F.col("_doc")[lang], F.col("_doc")[source]).select("_doc", "_lang", "_source", *_X))
-    judged = join_checked(rows, estimates(rows, scratch), ["_lang", "_source"], "left").where(_distance2() <= chi2_quantile(confidence, D))
+    again = _placed(counted(whole, [F.col("_doc")], F.col("_doc")[text]).where("not base_failed"), F.col("_doc")[lang], F.col("_doc")[source])
+    judged = join_checked(again, estimates(rows, scratch), ["_lang", "_source"], "left").where(_distance2() <= chi2_quantile(confidence, D))
     return judged.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
