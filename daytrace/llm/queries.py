@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daytrace.llm import embedding_dedup, langid, line_templates, minhash, mixing, packing, quality_lm, quality_rules, substring_dedup, url_filters
+from daytrace.llm import divergence, embedding_dedup, langid, line_templates, minhash, mixing, packing, quality_lm, quality_rules, substring_dedup, url_filters
 from daytrace.llm.common import table
 
 #: (verdict, host, path)
@@ -68,6 +68,25 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+k AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS words FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+l AS (SELECT lang, sum(words)::HUGEINT AS words FROM g GROUP BY lang), v AS (SELECT lang, count(*)::HUGEINT AS v FROM k GROUP BY lang),
+p AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 2) // (words + 2 * v) AS p FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (coalesce(sum(n), 0)::HUGEINT + 2) // (any_value(l.words) + 2 * any_value(v)) AS q FROM k JOIN l USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, term) GROUP BY ALL),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r QUALIFY part = 'pair' OR rank <= 10
+"""
+
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS h, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source),
@@ -127,5 +146,6 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_source_divergence": op11_source_divergence,
 }
-ORACLES = {"op4_mixing": OP4_SQL, "op8_embedding_near_dedup": OP8_SQL, "op9_url_filters": OP9_SQL, "op10_minhash_near_dedup": OP10_SQL}
+ORACLES = {"op4_mixing": OP4_SQL, "op8_embedding_near_dedup": OP8_SQL, "op9_url_filters": OP9_SQL, "op10_minhash_near_dedup": OP10_SQL, "op11_source_divergence": OP11_SQL}
