@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daytrace.llm import divergence, embedding_dedup, langid, line_templates, minhash, mixing, packing, quality_lm, quality_rules, substring_dedup, url_filters
+from daytrace.llm import divergence, embedding_dedup, langid, line_templates, minhash, mixing, packing, quality_lm, quality_rules, substring_dedup, url_filters, vector_codes
 from daytrace.llm.common import table
 
 #: (verdict, host, path)
@@ -87,6 +87,31 @@ r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value,
 SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r QUALIFY part = 'pair' OR rank <= 10
 """
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql() -> str:
+    """The rounds written out; a part's entry is found by row number over squared distances in whole numbers."""
+    floor = "CAST((s - ((s % n) + n) % n) // n AS HUGEINT)"
+    near = """SELECT i, part, entry, d FROM (SELECT x.i, x.part, b.entry, sum((x.v - b.v) * (x.v - b.v)) AS d FROM x JOIN {b} b USING (part, pos) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY i, part ORDER BY d, entry) = 1"""
+    steps = ["""k AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+y AS (SELECT i, len(e) // 8 AS w, unnest(range(len(e))) AS p, unnest(e) AS x FROM k), x AS (SELECT i, p // w AS part, p % w AS pos, CAST(floor(4096 * x) AS HUGEINT) AS v FROM y),
+b0 AS (SELECT part, i AS entry, pos, v FROM x WHERE i < 16)"""]
+    for r in range(1, vector_codes.ROUNDS + 1):
+        steps.append(f"a{r} AS MATERIALIZED ({near.format(b=f'b{r - 1}')})")
+        steps.append(f"m{r} AS (SELECT x.part, a.entry, pos, CAST(sum(v) AS HUGEINT) AS s, CAST(count(*) AS HUGEINT) AS n FROM x JOIN a{r} a ON a.i = x.i AND a.part = x.part GROUP BY ALL)")
+        steps.append(f"b{r} AS MATERIALIZED (SELECT b.part, b.entry, b.pos, coalesce({floor}, b.v) AS v FROM b{r - 1} b LEFT JOIN m{r} m USING (part, entry, pos))")
+    last = f"b{vector_codes.ROUNDS}"
+    return f"""WITH {", ".join(steps)},
+a AS ({near.format(b=last)}), c AS (SELECT i, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a GROUP BY i)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM {last}) AS codebooks_sha256 FROM k JOIN c USING (i)"""
+
+
+OP12_SQL = _op12_sql()
+
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS h, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source),
@@ -147,5 +172,6 @@ QUERIES = {
     "op9_url_filters": op9_url_filters,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_source_divergence": op11_source_divergence,
+    "op12_vector_codes": op12_vector_codes,
 }
-ORACLES = {"op4_mixing": OP4_SQL, "op8_embedding_near_dedup": OP8_SQL, "op9_url_filters": OP9_SQL, "op10_minhash_near_dedup": OP10_SQL, "op11_source_divergence": OP11_SQL}
+ORACLES = {"op4_mixing": OP4_SQL, "op8_embedding_near_dedup": OP8_SQL, "op9_url_filters": OP9_SQL, "op10_minhash_near_dedup": OP10_SQL, "op11_source_divergence": OP11_SQL, "op12_vector_codes": OP12_SQL}
