@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daytrace.llm import divergence, embedding_dedup, langid, line_templates, minhash, mixing, packing, quality_lm, quality_rules, substring_dedup, url_filters, vector_codes
+import public_tokenizers
+from daytrace.llm import byte_bpe, divergence, embedding_dedup, langid, line_templates, minhash, mixing, packing, quality_lm, quality_rules, substring_dedup, url_filters, vector_codes
 from daytrace.llm.common import table
 
 #: (verdict, host, path)
@@ -112,6 +113,13 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 
 OP12_SQL = _op12_sql()
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN, byte_bpe.SPACED)
+    coded = byte_bpe.decode(coded.drop("text"), ranks)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS h, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source),
@@ -173,5 +181,6 @@ QUERIES = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_source_divergence": op11_source_divergence,
     "op12_vector_codes": op12_vector_codes,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLES = {"op4_mixing": OP4_SQL, "op8_embedding_near_dedup": OP8_SQL, "op9_url_filters": OP9_SQL, "op10_minhash_near_dedup": OP10_SQL, "op11_source_divergence": OP11_SQL, "op12_vector_codes": OP12_SQL}
