@@ -34,14 +34,18 @@ SIZING = 64
 TILE_TERMS, TILE_SOURCES = 4096, 64
 
 
-def terms_of(text: Column) -> Column:
-    """Array of the terms of a text, A-Z in lower case; null has none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(TERM), F.lit(0))
+def terms_of(text: Column, lang: Column) -> Column:
+    """Array of the terms of a text behind their language and a space, A-Z in lower case; null has none.
+
+    Terms of ASCII alone, most of them, are lower-cased whole; the others character by character.
+    """
+    low = lambda t: F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TERM), F.lit(0)), lambda t: F.concat(lang, F.lit(" "), low(t)))
 
 
 def _shards(tokens: DataFrame, min_docs: int) -> int:
     """Models needed for the vocabulary, by the count of the kept ones among one SIZINGth of all terms, with a margin."""
-    some = F.filter(F.array_distinct("terms"), lambda t: F.pmod(F.xxhash64(t), F.lit(SIZING)) == 0)
+    some = F.array_distinct(F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(SIZING)) == 0))
     kept = tokens.select(F.explode(some).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).count()
     return max(1, -(-kept * SIZING * 3 // 2 // SHARD_TERMS))
 
@@ -63,17 +67,17 @@ def _group_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def term_counts(tokens: DataFrame, min_docs: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Of (lang, source, terms): the kept terms (lang, term), and (lang, source, term, no, n) where n is over 0; no is the term's number."""
+    """Of (source, terms): the kept terms (lang, term), and (lang, source, term, no, n) where n is over 0; no is the term's number."""
     spark = tokens.sparkSession
     shards = _shards(tokens, min_docs)
-    tagged = lambda t: F.concat("lang", F.lit(" "), t)
     words, sums = [], []
     for shard in range(shards):
         mine = F.col("terms") if shards == 1 else F.filter("terms", lambda t: F.pmod(F.hash(t), F.lit(shards)) == shard)  # noqa: B023
-        rows = tokens.select("source", F.transform(mine, tagged).alias("tagged"))
-        # a model must not be empty: enough rows of a term without letters, which no text has
-        filler = spark.range(max(1, min_docs)).select(F.lit("").alias("source"), F.array(F.lit(" ")).alias("tagged"))
-        model = CountVectorizer(inputCol="tagged", outputCol="vector", minDF=float(min_docs), vocabSize=VOCABULARY).fit(rows.unionByName(filler))
+        rows = tokens.select("source", mine.alias("terms"))
+        # document frequencies don't need a term twice; a model must not be empty: enough rows of a term that no text has
+        once = rows.select(F.array_distinct("terms").alias("terms"))
+        filler = spark.range(max(1, min_docs)).select(F.array(F.lit(" ")).alias("terms"))
+        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=VOCABULARY).fit(once.unionByName(filler))
         path = f"{scratch.path}/model-{shard}"
         model.write().save(path)
         words.append(spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("at", "tagged")).withColumn("shard", F.lit(shard)))
@@ -150,7 +154,7 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
     """
     scratch = Scratch(docs.sparkSession, "divergence")
     blank = lambda c: F.coalesce(docs[c].cast("string"), F.lit(""))
-    tokens = scratch.write(docs.select(blank(lang).alias("lang"), blank(source).alias("source"), terms_of(docs[text]).alias("terms")))
+    tokens = scratch.write(docs.select(blank(lang).alias("lang"), blank(source).alias("source"), terms_of(docs[text], blank(lang)).alias("terms")))
     kept, counts = term_counts(tokens, min_docs, scratch)
     size = F.octet_length("lang") + F.octet_length("source")
     # per source: its words, its language's terms and words
