@@ -8,6 +8,8 @@ sources; a term that neither of two sources has adds the same to each, so only t
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,35 +21,64 @@ from pyspark.sql import functions as F
 
 from daytrace.llm.common import Scratch, join_checked
 
-#: Control characters, digits, marks and spaces of ASCII separate terms; all other code points are parts of terms.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: ASCII letters in lower case, all other ASCII as a space; bytes of other characters stay, as all of them are parts of terms.
+_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Documents of a language that a kept term is in; ranks of the parts `term`; unit of the probabilities.
 MIN_DOCS, TOP, UNIT = 10, 10, 1_000_000_000
 #: No limit of the vectorizer's own.
 VOCABULARY = 2**31 - 1
 #: Terms of one model, which the driver and each executor hold: a larger vocabulary is cut into shards by hash.
-SHARD_TERMS = 500_000
-#: Terms that are looked at to size the shards: one in so many, by hash. It sets only how many models there are.
-SIZING = 64
-#: Terms and sources on a tile's sides.
-TILE_TERMS, TILE_SOURCES = 4096, 64
-
-
-def terms_of(text: Column, lang: Column) -> Column:
-    """Array of the terms of a text behind their language and a space, A-Z in lower case; null has none.
-
-    Terms of ASCII alone, most of them, are lower-cased whole; the others character by character.
-    """
-    low = lambda t: F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TERM), F.lit(0)), lambda t: F.concat(lang, F.lit(" "), low(t)))
-
-
-def _shards(tokens: DataFrame, min_docs: int) -> int:
-    """Models needed for the vocabulary, by the count of the kept ones among one SIZINGth of all terms, with a margin."""
-    some = F.array_distinct(F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(SIZING)) == 0))
-    kept = tokens.select(F.explode(some).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).count()
-    return max(1, -(-kept * SIZING * 3 // 2 // SHARD_TERMS))
+SHARD_TERMS = 1_000_000
+#: Documents that are looked at to size the shards, one in so many. It sets only how many models there are.
+SIZING = 8
+#: Terms and sources on a tile's sides; bytes of text per batch of terms.
+TILE_TERMS, TILE_SOURCES, BATCH_BYTES = 4096, 64, 8_000_000
+
+
+def terms_of(text: bytes) -> list[bytes]:
+    """Terms of a text in UTF-8: maximal runs of letters of ASCII and of all other characters, A-Z in lower case."""
+    return text.translate(_LETTERS).split()
+
+
+def _tokens(docs: DataFrame, once: bool, shards: int = 1, shard: int = 0) -> DataFrame:
+    """(source, terms) of (lang, source, text): the terms of a shard behind their language and a space, each once if so wanted."""
+
+    def pack(sources: list, texts: list[tuple[bytes, list[bytes]]]) -> pa.RecordBatch:
+        data = b"".join(tag + tag.join(found) for tag, found in texts if found)
+        sizes = np.concatenate([np.zeros(1, dtype=np.int64), *(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + len(tag) for tag, found in texts)])
+        ends = np.cumsum(sizes).astype(np.int32)
+        terms = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.tobytes()), pa.py_buffer(data))
+        rows = np.cumsum([0, *(len(found) for _, found in texts)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.ListArray.from_arrays(pa.array(rows), terms)], ["source", "terms"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sources, texts, size = [], [], 0
+            for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
+                found = terms_of(text)
+                found = list(set(found)) if once else found
+                if shards > 1:
+                    found = [t for t in found if zlib.crc32(t) % shards == shard]
+                sources.append(source)
+                texts.append((lang.encode() + b" ", found))
+                size += len(text) + len(found) * (len(lang) + 1)
+                if size > BATCH_BYTES:
+                    yield pack(sources, texts)
+                    sources, texts, size = [], [], 0
+            if sources:
+                yield pack(sources, texts)
+
+    return docs.mapInArrow(run, "source string, terms array<string>")
+
+
+def _shards(docs: DataFrame, min_docs: int) -> int:
+    """Models needed for the vocabulary: of one SIZINGth of the documents, terms that a kept one must be among with some probability."""
+    least = 2 if min_docs >= SIZING else 1
+    share = 1 / SIZING
+    found = 1 - sum(math.comb(min_docs, k) * share**k * (1 - share) ** (min_docs - k) for k in range(least))
+    some = docs.where(F.monotonically_increasing_id() % SIZING == 0)
+    n = _tokens(some, True).select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= least).count()
+    return max(1, math.ceil(n / found / SHARD_TERMS))
 
 
 def _group_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,22 +97,20 @@ def _group_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([names, pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["source", "at", "n"])
 
 
-def term_counts(tokens: DataFrame, min_docs: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Of (source, terms): the kept terms (lang, term), and (lang, source, term, no, n) where n is over 0; no is the term's number."""
-    spark = tokens.sparkSession
-    shards = _shards(tokens, min_docs)
+def term_counts(docs: DataFrame, min_docs: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of (lang, source, text): the kept terms (lang, term), and (lang, source, term, no, n) where n is over 0; no is the term's number."""
+    spark = docs.sparkSession
+    shards = _shards(docs, min_docs)
     words, sums = [], []
     for shard in range(shards):
-        mine = F.col("terms") if shards == 1 else F.filter("terms", lambda t: F.pmod(F.hash(t), F.lit(shards)) == shard)  # noqa: B023
-        rows = tokens.select("source", mine.alias("terms"))
         # document frequencies don't need a term twice; a model must not be empty: enough rows of a term that no text has
-        once = rows.select(F.array_distinct("terms").alias("terms"))
+        once = _tokens(docs, True, shards, shard).select("terms")
         filler = spark.range(max(1, min_docs)).select(F.array(F.lit(" ")).alias("terms"))
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=VOCABULARY).fit(once.unionByName(filler))
         path = f"{scratch.path}/model-{shard}"
         model.write().save(path)
         words.append(spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("at", "tagged")).withColumn("shard", F.lit(shard)))
-        found = model.transform(rows).select("source", "vector").mapInArrow(_group_sums, "source string, at int, n long")
+        found = model.transform(_tokens(docs, False, shards, shard)).select("source", "vector").mapInArrow(_group_sums, "source string, at int, n long")
         # written, so that only one model at a time is held
         sums.append(scratch.write(found.groupBy("source", "at").agg(F.sum("n").alias("n")).withColumn("shard", F.lit(shard))))
     every = lambda frames: frames[0] if len(frames) == 1 else every(frames[: len(frames) // 2]).unionByName(every(frames[len(frames) // 2 :]))
@@ -154,24 +183,24 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
     """
     scratch = Scratch(docs.sparkSession, "divergence")
     blank = lambda c: F.coalesce(docs[c].cast("string"), F.lit(""))
-    tokens = scratch.write(docs.select(blank(lang).alias("lang"), blank(source).alias("source"), terms_of(docs[text], blank(lang)).alias("terms")))
-    kept, counts = term_counts(tokens, min_docs, scratch)
+    told = docs.select(blank(lang).alias("lang"), blank(source).alias("source"), blank(text).cast("binary").alias("text"))
+    kept, counts = term_counts(told, min_docs, scratch)
     size = F.octet_length("lang") + F.octet_length("source")
     # per source: its words, its language's terms and words
-    found = tokens.groupBy("lang", "source").agg(F.lit(0).cast("long").alias("n")).unionByName(counts.select("lang", "source", "n"))
+    found = told.groupBy("lang", "source").agg(F.lit(0).cast("long").alias("n")).unionByName(counts.select("lang", "source", "n"))
     groups = found.groupBy("lang", "source").agg(F.sum("n").alias("words"))
     of_lang = groups.groupBy("lang").agg(F.sum("words").alias("lang_words"), F.count("*").alias("sources"))
     of_lang = of_lang.join(kept.groupBy("lang").agg(F.count("*").alias("terms")), "lang", "left").fillna(0, ["terms"])
     groups = scratch.write(groups.join(of_lang, "lang").withColumn("p0", _probability(F.lit(0).cast("long"), F.col("words"), F.col("terms"))))
     all_words = F.sum("n").over(Window.partitionBy("lang", "term"))
-    told = join_checked(counts.withColumn("lang_n", all_words), groups.select("lang", "source", "words", "lang_words", "terms"), ["lang", "source"], "inner", size=size)
-    told = scratch.write(told.select("lang", "source", "term", "no", _probability(F.col("n"), F.col("words"), F.col("terms")).alias("p"), _probability(F.col("lang_n"), F.col("lang_words"), F.col("terms")).alias("q")))
-    terms = told.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _apart(F.col("p"), F.col("q")).alias("value"))
+    known = join_checked(counts.withColumn("lang_n", all_words), groups.select("lang", "source", "words", "lang_words", "terms"), ["lang", "source"], "inner", size=size)
+    known = scratch.write(known.select("lang", "source", "term", "no", _probability(F.col("n"), F.col("words"), F.col("terms")).alias("p"), _probability(F.col("lang_n"), F.col("lang_words"), F.col("terms")).alias("q")))
+    terms = known.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _apart(F.col("p"), F.col("q")).alias("value"))
 
     # the result has a row for each pair of a language's sources, so this join is as large as the result
     other = groups.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"))
     pairs = groups.join(other, "lang").where("source <> item")
-    sums = _pair_sums(groups, told.select("lang", "source", "no", "p"))
+    sums = _pair_sums(groups, known.select("lang", "source", "no", "p"))
     pairs = pairs.join(sums, ["lang", "source", "item"], "left")
     rest = F.coalesce((F.col("terms") - F.coalesce("present", F.lit(0))) * _apart(F.col("p0"), F.col("q0")), F.lit(0))
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", (F.coalesce("value", F.lit(0)) + rest).alias("value"))

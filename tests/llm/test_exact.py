@@ -68,7 +68,7 @@ def many_sources(seed=1, n=500, sources=7):
     return rows + [(None, "en", "only null"), ("", "fr", "alone"), ("rare words", "it", "a"), ("rare words", "it", "b"), ("yes " * 20, "la", "a")] + [("same", "xx", "a")] * 12
 
 
-@pytest.mark.parametrize("sizes", [(), (("TILE_TERMS", 7), ("TILE_SOURCES", 2), ("SHARD_TERMS", 20), ("SIZING", 1))])
+@pytest.mark.parametrize("sizes", [(), (("TILE_TERMS", 7), ("TILE_SOURCES", 2), ("SHARD_TERMS", 20), ("BATCH_BYTES", 900))])
 def test_divergence_equals_brute_force(spark, monkeypatch, sizes):
     for name, value in sizes:
         monkeypatch.setattr(divergence, name, value)
@@ -79,9 +79,10 @@ def test_divergence_equals_brute_force(spark, monkeypatch, sizes):
 def test_vocabulary_is_cut_into_models(spark, monkeypatch):
     """With small shards several models are made, and each kept term has one number."""
     monkeypatch.setattr(divergence, "SHARD_TERMS", 20)
-    monkeypatch.setattr(divergence, "SIZING", 1)
-    tokens = documents(spark, many_sources()).select(divergence.terms_of(F.col("text"), F.coalesce("lang", F.lit(""))).alias("terms"))
-    assert divergence._shards(tokens, 10) > 2
+    docs = documents(spark, many_sources()).select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")], F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    assert divergence._shards(docs, 10) > 2
+    monkeypatch.setattr(divergence, "SHARD_TERMS", 10**6)
+    assert divergence._shards(docs, 10) == 1
 
 
 def test_divergence_edges(spark):
