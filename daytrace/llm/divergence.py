@@ -32,7 +32,7 @@ SHARD_TERMS = 1_000_000
 #: Documents that are looked at to size the shards, one in so many. It sets only how many models there are.
 SIZING = 8
 #: Terms and sources on a tile's sides; bytes of text per batch of terms.
-TILE_TERMS, TILE_SOURCES, BATCH_BYTES = 4096, 64, 8_000_000
+TILE_TERMS, TILE_SOURCES, BATCH_BYTES = 4096, 64, 1_000_000
 
 
 def terms_of(text: bytes) -> list[bytes]:
@@ -54,7 +54,8 @@ def _tokens(docs: DataFrame, once: bool, shards: int = 1, shard: int = 0) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sources, texts, size = [], [], 0
-            for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
+            # texts become Python's one by one, so a task holds few of them
+            for lang, source, text in zip(*(map(pa.Scalar.as_py, batch.column(c)) for c in ("lang", "source", "text")), strict=True):
                 found = terms_of(text)
                 found = list(set(found)) if once else found
                 if shards > 1:
