@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from operator import methodcaller
 
 import numpy as np
 import pandas as pd
@@ -55,7 +56,7 @@ def _tokens(docs: DataFrame, once: bool, shards: int = 1, shard: int = 0) -> Dat
         for batch in batches:
             sources, texts, size = [], [], 0
             # texts become Python's one by one, so a task holds few of them
-            for lang, source, text in zip(*(map(pa.Scalar.as_py, batch.column(c)) for c in ("lang", "source", "text")), strict=True):
+            for lang, source, text in zip(*(map(methodcaller("as_py"), batch.column(c)) for c in ("lang", "source", "text")), strict=True):
                 found = terms_of(text)
                 found = list(set(found)) if once else found
                 if shards > 1:
