@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from operator import methodcaller
 
@@ -32,6 +33,8 @@ VOCABULARY = 2**31 - 1
 SHARD_TERMS = 1_000_000
 #: Documents that are looked at to size the shards, one in so many. It sets only how many models there are.
 SIZING = 8
+#: Terms whose document frequencies a task holds at a time.
+SEEN_TERMS = 150_000
 #: Terms and sources on a tile's sides; bytes of text per batch of terms.
 TILE_TERMS, TILE_SOURCES, BATCH_BYTES = 4096, 64, 1_000_000
 
@@ -41,45 +44,78 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(_LETTERS).split()
 
 
-def _tokens(docs: DataFrame, once: bool, shards: int = 1, shard: int = 0) -> DataFrame:
-    """(source, terms) of (lang, source, text): the terms of a shard behind their language and a space, each once if so wanted."""
+def _rows(batch: pa.RecordBatch, shards: int, shard: int) -> Iterator[tuple[str, str, list[bytes]]]:
+    """(lang, source, terms of the shard); texts become Python's one by one, so a task holds few of them."""
+    for lang, source, text in zip(*(map(methodcaller("as_py"), batch.column(c)) for c in ("lang", "source", "text")), strict=True):
+        found = terms_of(text)
+        yield lang, source, [t for t in found if zlib.crc32(t) % shards == shard] if shards > 1 else found
 
-    def pack(sources: list, texts: list[tuple[bytes, list[bytes]]]) -> pa.RecordBatch:
-        data = b"".join(tag + tag.join(found) for tag, found in texts if found)
-        sizes = np.concatenate([np.zeros(1, dtype=np.int64), *(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + len(tag) for tag, found in texts)])
-        ends = np.cumsum(sizes).astype(np.int32)
-        terms = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.tobytes()), pa.py_buffer(data))
-        rows = np.cumsum([0, *(len(found) for _, found in texts)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.ListArray.from_arrays(pa.array(rows), terms)], ["source", "terms"])
+
+def _packed(sources: list[str], texts: list[tuple[bytes, list[bytes]]]) -> pa.RecordBatch:
+    """Rows of a source and of terms behind their tag; the terms' bytes are joined once, and never are strings of Python."""
+    data = b"".join(tag + tag.join(found) for tag, found in texts if found)
+    sizes = np.concatenate([np.zeros(1, dtype=np.int64), *(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + len(tag) for tag, found in texts)])
+    ends = np.cumsum(sizes).astype(np.int32)
+    terms = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.tobytes()), pa.py_buffer(data))
+    rows = np.cumsum([0, *(len(found) for _, found in texts)]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.ListArray.from_arrays(pa.array(rows), terms)], ["source", "terms"])
+
+
+def _tokens(docs: DataFrame, shards: int, shard: int) -> DataFrame:
+    """(source, terms) of (lang, source, text): the terms of a shard, behind their language and a space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sources, texts, size = [], [], 0
-            # texts become Python's one by one, so a task holds few of them
-            for lang, source, text in zip(*(map(methodcaller("as_py"), batch.column(c)) for c in ("lang", "source", "text")), strict=True):
-                found = terms_of(text)
-                found = list(set(found)) if once else found
-                if shards > 1:
-                    found = [t for t in found if zlib.crc32(t) % shards == shard]
+            for lang, source, found in _rows(batch, shards, shard):
+                tag = lang.encode() + b" "
                 sources.append(source)
-                texts.append((lang.encode() + b" ", found))
-                size += len(text) + len(found) * (len(lang) + 1)
+                texts.append((tag, found))
+                size += sum(map(len, found)) + len(found) * len(tag)
                 if size > BATCH_BYTES:
-                    yield pack(sources, texts)
+                    yield _packed(sources, texts)
                     sources, texts, size = [], [], 0
             if sources:
-                yield pack(sources, texts)
+                yield _packed(sources, texts)
 
     return docs.mapInArrow(run, "source string, terms array<string>")
 
 
+def _seen(docs: DataFrame, most: int, shards: int = 1, shard: int = 0) -> DataFrame:
+    """(terms) for document frequencies up to ``most``: rows that hold a term as often as documents of (lang, source, text) do, or ``most`` times.
+
+    A term that is in ``most`` documents of some that a task has seen is in as many of all, so it need not come more often.
+    The first row of several has the terms of any document, the second those of two, and so on.
+    """
+
+    def told(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, found in counts.items():
+            some, k = found, 1
+            while some:
+                yield _packed([""], [(lang.encode() + b" ", list(some))])
+                k += 1
+                some = [t for t in some if found[t] >= k] if k <= most else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = {}
+        for batch in batches:
+            for lang, _, found in _rows(batch, shards, shard):
+                counts.setdefault(lang, Counter()).update(set(found))
+                if sum(map(len, counts.values())) > SEEN_TERMS:
+                    yield from told(counts)
+                    counts = {}
+        yield from told(counts)
+
+    return docs.mapInArrow(run, "source string, terms array<string>").select("terms")
+
+
 def _shards(docs: DataFrame, min_docs: int) -> int:
     """Models needed for the vocabulary: of one SIZINGth of the documents, terms that a kept one must be among with some probability."""
     least = 2 if min_docs >= SIZING else 1
     share = 1 / SIZING
     found = 1 - sum(math.comb(min_docs, k) * share**k * (1 - share) ** (min_docs - k) for k in range(least))
     some = docs.where(F.monotonically_increasing_id() % SIZING == 0)
-    n = _tokens(some, True).select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= least).count()
+    n = _seen(some, least).select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= least).count()
     return max(1, math.ceil(n / found / SHARD_TERMS))
 
 
@@ -93,8 +129,8 @@ def _group_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.repeat(source.indices.to_numpy().astype(np.int64), lengths)
         key = group << 32 | at.flatten().to_numpy()
         key, back = np.unique(key, return_inverse=True)
-        n = np.zeros(len(key), dtype=np.int64)
-        np.add.at(n, back, values.flatten().to_numpy().astype(np.int64))
+        # a batch's counts are far below 2^53, up to where doubles are exact
+        n = np.bincount(back, weights=values.flatten().to_numpy(), minlength=len(key)).astype(np.int64)
         names = source.dictionary.take(pa.array(key >> 32))
         yield pa.RecordBatch.from_arrays([names, pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["source", "at", "n"])
 
@@ -105,14 +141,13 @@ def term_counts(docs: DataFrame, min_docs: int, scratch: Scratch) -> tuple[DataF
     shards = _shards(docs, min_docs)
     words, sums = [], []
     for shard in range(shards):
-        # document frequencies don't need a term twice; a model must not be empty: enough rows of a term that no text has
-        once = _tokens(docs, True, shards, shard).select("terms")
+        # a model must not be empty: enough rows of a term that no text has
         filler = spark.range(max(1, min_docs)).select(F.array(F.lit(" ")).alias("terms"))
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=VOCABULARY).fit(once.unionByName(filler))
+        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=VOCABULARY).fit(_seen(docs, min_docs, shards, shard).unionByName(filler))
         path = f"{scratch.path}/model-{shard}"
         model.write().save(path)
         words.append(spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("at", "tagged")).withColumn("shard", F.lit(shard)))
-        found = model.transform(_tokens(docs, False, shards, shard)).select("source", "vector").mapInArrow(_group_sums, "source string, at int, n long")
+        found = model.transform(_tokens(docs, shards, shard)).select("source", "vector").mapInArrow(_group_sums, "source string, at int, n long")
         # written, so that only one model at a time is held
         sums.append(scratch.write(found.groupBy("source", "at").agg(F.sum("n").alias("n")).withColumn("shard", F.lit(shard))))
     every = lambda frames: frames[0] if len(frames) == 1 else every(frames[: len(frames) // 2]).unionByName(every(frames[len(frames) // 2 :]))

@@ -68,7 +68,7 @@ def many_sources(seed=1, n=500, sources=7):
     return rows + [(None, "en", "only null"), ("", "fr", "alone"), ("rare words", "it", "a"), ("rare words", "it", "b"), ("yes " * 20, "la", "a")] + [("same", "xx", "a")] * 12
 
 
-@pytest.mark.parametrize("sizes", [(), (("TILE_TERMS", 7), ("TILE_SOURCES", 2), ("SHARD_TERMS", 20), ("BATCH_BYTES", 900))])
+@pytest.mark.parametrize("sizes", [(), (("TILE_TERMS", 7), ("TILE_SOURCES", 2), ("SHARD_TERMS", 20), ("BATCH_BYTES", 900), ("SEEN_TERMS", 30))])
 def test_divergence_equals_brute_force(spark, monkeypatch, sizes):
     for name, value in sizes:
         monkeypatch.setattr(divergence, name, value)
