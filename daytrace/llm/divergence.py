@@ -1,8 +1,8 @@
 """Source divergence audit: how far the term distributions of a language's sources are apart, in exact integers.
 
-One count vectorizer counts terms that carry their language, so each language has a vocabulary of its own, made by its
-own document frequencies. Its sparse vectors are summed per source, task by task and then by Spark, as integers: a
-running mean, as Spark's summarizer keeps, would round. Pairs of sources are evaluated on tiles of terms and of blocks of
+One count vectorizer is fitted on terms that carry their language, so each language has a vocabulary of its own, made by
+its own document frequencies. The sparse vectors of documents over it are summed per source, task by task and then by
+Spark, as integers: a running mean, as Spark's summarizer keeps, would round. Pairs of sources are evaluated on tiles of terms and of blocks of
 sources; a term that neither of two sources has adds the same to each, so only terms that occur in a tile are visited.
 """
 
@@ -35,8 +35,10 @@ SHARD_TERMS = 1_000_000
 SIZING = 8
 #: Terms whose document frequencies a task holds at a time.
 SEEN_TERMS = 150_000
-#: Terms and sources on a tile's sides; bytes of text per batch of terms.
-TILE_TERMS, TILE_SOURCES, BATCH_BYTES = 4096, 64, 1_000_000
+#: Terms of the vectors that a task sums at a time.
+BATCH_TERMS = 1_000_000
+#: Terms and sources on a tile's sides.
+TILE_TERMS, TILE_SOURCES = 4096, 64
 
 
 def terms_of(text: bytes) -> list[bytes]:
@@ -61,24 +63,58 @@ def _packed(sources: list[str], texts: list[tuple[bytes, list[bytes]]]) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.ListArray.from_arrays(pa.array(rows), terms)], ["source", "terms"])
 
 
-def _tokens(docs: DataFrame, shards: int, shard: int) -> DataFrame:
-    """(source, terms) of (lang, source, text): the terms of a shard, behind their language and a space."""
+#: The vocabulary that this process had last: tasks that follow each other in it share it.
+_LAST: list[tuple[str, dict[str, dict[bytes, int]]]] = []
+
+
+def _numbers(key: str, shared) -> dict[str, dict[bytes, int]]:
+    """By language the numbers of a model's terms."""
+    if not _LAST or _LAST[0][0] != key:
+        found: dict[str, dict[bytes, int]] = {}
+        for at, tagged in enumerate(shared.value):
+            lang, _, term = tagged.rpartition(" ")
+            found.setdefault(lang, {})[term.encode()] = at
+        _LAST[:] = [(key, found)]
+    return _LAST[0][1]
+
+
+def document_vector(terms: list[bytes], numbers: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """A document's sparse vector: numbers of its kept terms and how often each occurs, as integers."""
+    found = [(at, n) for t, n in Counter(terms).items() if (at := numbers.get(t)) is not None]
+    both = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _group_sums(docs: DataFrame, vocabulary: list[str], key: str) -> DataFrame:
+    """(source, at, n) of (lang, source, text): sums of a source's document vectors over some documents, by number of term.
+
+    The model's own vectors are of doubles, and cost more than all else here, so a task makes them of integers.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def told(groups: list[int], names: dict[str, int], vectors: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        place = np.repeat(np.array(groups, dtype=np.int64), [len(at) for at, _ in vectors])
+        pairs, back = np.unique(place << 32 | np.concatenate([at for at, _ in vectors]), return_inverse=True)
+        # a batch's counts are far below 2^53, up to where doubles are exact
+        n = np.bincount(back, weights=np.concatenate([n for _, n in vectors]), minlength=len(pairs)).astype(np.int64)
+        source = pa.array(list(names), pa.string()).take(pa.array(pairs >> 32))
+        return pa.RecordBatch.from_arrays([source, pa.array((pairs & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["source", "at", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _numbers(key, shared)
+        names, groups, vectors, size = {}, [], [], 0
         for batch in batches:
-            sources, texts, size = [], [], 0
-            for lang, source, found in _rows(batch, shards, shard):
-                tag = lang.encode() + b" "
-                sources.append(source)
-                texts.append((tag, found))
-                size += sum(map(len, found)) + len(found) * len(tag)
-                if size > BATCH_BYTES:
-                    yield _packed(sources, texts)
-                    sources, texts, size = [], [], 0
-            if sources:
-                yield _packed(sources, texts)
+            for lang, source, terms in _rows(batch, 1, 0):
+                groups.append(names.setdefault(source, len(names)))
+                vectors.append(document_vector(terms, numbers.get(lang, {})))
+                size += len(vectors[-1][0])
+                if size > BATCH_TERMS:
+                    yield told(groups, names, vectors)
+                    names, groups, vectors, size = {}, [], [], 0
+        if vectors:
+            yield told(groups, names, vectors)
 
-    return docs.mapInArrow(run, "source string, terms array<string>")
+    return docs.mapInArrow(run, "source string, at int, n long")
 
 
 def _seen(docs: DataFrame, most: int, shards: int = 1, shard: int = 0) -> DataFrame:
@@ -119,22 +155,6 @@ def _shards(docs: DataFrame, min_docs: int) -> int:
     return max(1, math.ceil(n / found / SHARD_TERMS))
 
 
-def _group_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Integer sums of sparse vectors: (source, term, n) per batch; terms no document of the source has are left out."""
-    for batch in batches:
-        vectors = batch.column("vector")
-        at, values = vectors.field("indices"), vectors.field("values")
-        lengths = np.diff(at.offsets.to_numpy())
-        source = batch.column("source").dictionary_encode()
-        group = np.repeat(source.indices.to_numpy().astype(np.int64), lengths)
-        key = group << 32 | at.flatten().to_numpy()
-        key, back = np.unique(key, return_inverse=True)
-        # a batch's counts are far below 2^53, up to where doubles are exact
-        n = np.bincount(back, weights=values.flatten().to_numpy(), minlength=len(key)).astype(np.int64)
-        names = source.dictionary.take(pa.array(key >> 32))
-        yield pa.RecordBatch.from_arrays([names, pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["source", "at", "n"])
-
-
 def term_counts(docs: DataFrame, min_docs: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Of (lang, source, text): the kept terms (lang, term), and (lang, source, term, no, n) where n is over 0; no is the term's number."""
     spark = docs.sparkSession
@@ -143,11 +163,11 @@ def term_counts(docs: DataFrame, min_docs: int, scratch: Scratch) -> tuple[DataF
     for shard in range(shards):
         # a model must not be empty: enough rows of a term that no text has
         filler = spark.range(max(1, min_docs)).select(F.array(F.lit(" ")).alias("terms"))
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=VOCABULARY).fit(_seen(docs, min_docs, shards, shard).unionByName(filler))
+        model = CountVectorizer(inputCol="terms", minDF=float(min_docs), vocabSize=VOCABULARY).fit(_seen(docs, min_docs, shards, shard).unionByName(filler))
         path = f"{scratch.path}/model-{shard}"
         model.write().save(path)
         words.append(spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("at", "tagged")).withColumn("shard", F.lit(shard)))
-        found = model.transform(_tokens(docs, shards, shard)).select("source", "vector").mapInArrow(_group_sums, "source string, at int, n long")
+        found = _group_sums(docs, model.vocabulary, path)
         # written, so that only one model at a time is held
         sums.append(scratch.write(found.groupBy("source", "at").agg(F.sum("n").alias("n")).withColumn("shard", F.lit(shard))))
     every = lambda frames: frames[0] if len(frames) == 1 else every(frames[: len(frames) // 2]).unionByName(every(frames[len(frames) // 2 :]))

@@ -68,7 +68,7 @@ def many_sources(seed=1, n=500, sources=7):
     return rows + [(None, "en", "only null"), ("", "fr", "alone"), ("rare words", "it", "a"), ("rare words", "it", "b"), ("yes " * 20, "la", "a")] + [("same", "xx", "a")] * 12
 
 
-@pytest.mark.parametrize("sizes", [(), (("TILE_TERMS", 7), ("TILE_SOURCES", 2), ("SHARD_TERMS", 20), ("BATCH_BYTES", 900), ("SEEN_TERMS", 30))])
+@pytest.mark.parametrize("sizes", [(), (("TILE_TERMS", 7), ("TILE_SOURCES", 2), ("SHARD_TERMS", 20), ("BATCH_TERMS", 90), ("SEEN_TERMS", 30))])
 def test_divergence_equals_brute_force(spark, monkeypatch, sizes):
     for name, value in sizes:
         monkeypatch.setattr(divergence, name, value)
@@ -85,6 +85,20 @@ def test_vocabulary_is_cut_into_models(spark, monkeypatch):
     assert divergence._shards(docs, 10) == 1
 
 
+def test_document_vectors_are_the_models(spark):
+    """The vectors that tasks make are those of Spark's model over the same vocabulary."""
+    from pyspark.ml.feature import CountVectorizerModel
+
+    texts = [t or "" for t, *_ in many_sources(3, 60)]
+    terms = [[x.decode() for x in divergence.terms_of(t.encode())] for t in texts]
+    vocabulary = sorted({t for row in terms for t in row})[::2]
+    model = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="v")
+    wanted = [dict(zip(r.v.indices.tolist(), r.v.values.tolist(), strict=True)) for r in model.transform(spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "i int, terms array<string>")).orderBy("i").collect()]
+    numbers = {t.encode(): at for at, t in enumerate(vocabulary)}
+    got = [dict(zip(*map(np.ndarray.tolist, divergence.document_vector(divergence.terms_of(t.encode()), numbers)), strict=True)) for t in texts]
+    assert got == wanted and any(wanted)
+
+
 def test_divergence_edges(spark):
     assert audited(documents(spark, []).limit(0)) == set()
     rows = [("word " * 3, "en", "a"), ("other", "en", "b"), (None, None, None)]
