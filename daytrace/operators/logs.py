@@ -263,6 +263,21 @@ def reasons(events: DataFrame, event: str, field: str = "reason") -> DataFrame:
     return events.where(F.col("event_name") == event).groupBy(F.coalesce(F.nullif(F.col("fields")[field], F.lit("")), F.lit("unknown")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+def filter_analysis(events: DataFrame) -> DataFrame:
+    """One row: how often monitoring changed, whether locks show in the log, and that no gate is known."""
+    e = F.col("event_name")
+    return events.agg(
+        F.count_if(e == "monitoring_state_change").alias("monitoring_state_changes"),
+        F.coalesce(F.bool_or(e.isin("monitoring_paused_by_lock", "monitoring_resumed_after_unlock")), F.lit(False)).alias("lock_admission_visible"), F.lit(False).alias("known_gate"),
+    )
+
+
+def dedup_summary(events: DataFrame) -> DataFrame:
+    """(decision, reason, n) of the screenshots that were skipped and kept."""
+    told = lambda name, event: reasons(events, event).select(F.lit(name).alias("decision"), "reason", "n")
+    return told("skip", "screenshot_skipped").unionByName(told("keep", "screenshot_dedup_keep"))
+
+
 def timeline(events: DataFrame, also: Sequence[str]) -> DataFrame:
     """Warnings and worse, and the named events, in reading order; messages of at most 320 characters."""
     message = F.replace(F.col("message"), F.lit("\n"), F.lit(" "))

@@ -70,6 +70,11 @@ def any_confident(confidences: Column, least: float = 0.6) -> Column:
     return F.coalesce(F.exists(confidences, lambda x: x.try_cast("double") >= least), F.lit(False))
 
 
+def some_confident(confidence: Column, least: float = 0.6) -> Column:
+    """X29 as an aggregate over rows of one outcome each, so that no list of them is made."""
+    return F.coalesce(F.bool_or(confidence.try_cast("double") >= least), F.lit(False))
+
+
 def entity_counts(entities: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A map from entity type to count per key."""
     n = entities.groupBy(*keys, "entity_type").agg(F.count("*").alias("n"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from daytrace.operators.folds import fold_sorted
+from daytrace.session import new_folder
 
 LISTS = ["primary_activity", "programs_used", "files", "conversations", "follow_ups", "blocked_activity", "unknowns"]
 #: Characters of a prompt.
@@ -55,9 +58,55 @@ def merge_recaps(rows: DataFrame, keys: Sequence[str], lists: Sequence[str], ord
     return one.withColumns({**joined, "summary_text": F.array_join(F.transform("_r", lambda x: x["summary_text"]), " ")}).drop("_r")
 
 
-def shortened(c: Column, most: int) -> Column:
-    """cut to a length, with an ellipsis in it."""
-    return F.when(F.char_length(c) <= most, c).otherwise(F.concat(F.substring(c, 1, most - 3), F.lit("...")))
+def shortened(c: Column, most: int | Column) -> Column:
+    """a longer text's first characters and an ellipsis."""
+    most = F.lit(most) if isinstance(most, int) else most
+    return F.when(F.char_length(c) <= most, c).otherwise(F.concat(F.substr(c, F.lit(1), most), F.lit("...")))
+
+
+def cut_texts(c: Column, kind: DataType, most: int) -> Column:
+    """a value with every text in it shortened, at any depth of arrays, structs and maps; keys and numbers stay."""
+    if isinstance(kind, StringType):
+        return shortened(c, most)
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: cut_texts(x, kind.elementType, most))
+    if isinstance(kind, MapType):
+        return F.transform_values(c, lambda _, v: cut_texts(v, kind.valueType, most))
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*[cut_texts(c[f.name], f.dataType, most).alias(f.name) for f in kind]))
+    return c
+
+
+def has_long_text(c: Column, kind: DataType, most: int) -> Column:
+    """whether ``cut_texts`` cuts anything; never null."""
+    if isinstance(kind, StringType):
+        found = F.char_length(c) > most
+    elif isinstance(kind, ArrayType):
+        found = F.exists(c, lambda x: has_long_text(x, kind.elementType, most))
+    elif isinstance(kind, MapType):
+        found = F.exists(F.map_values(c), lambda x: has_long_text(x, kind.valueType, most))
+    elif isinstance(kind, StructType) and len(kind):
+        found = reduce(lambda a, b: a | b, [has_long_text(c[f.name], f.dataType, most) for f in kind])
+    else:
+        return F.lit(False)
+    return F.coalesce(found, F.lit(False))
+
+
+def prompt_payloads(rows: DataFrame, keys: Sequence[str], order: Sequence[str], most_rows: int, most_chars: int) -> DataFrame:
+    """Per key the first rows as ``items`` with texts cut, original_count, included_count, and what was truncated.
+
+    Only the rows that are included are gathered; the others are counted.
+    """
+    keys = list(keys)
+    cols = [c for c in rows.columns if c not in keys]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    first = rows.withColumn("_nr", F.row_number().over(w)).where(F.col("_nr") <= most_rows)
+    kind = StructType([rows.schema[c] for c in cols])
+    told = first.select(*keys, "_nr", F.struct(*cols).alias("_row")).select(*keys, F.struct("_nr", cut_texts(F.col("_row"), kind, most_chars).alias("row"), has_long_text(F.col("_row"), kind, most_chars).alias("cut")).alias("x"))
+    some = told.groupBy(*keys).agg(F.array_sort(F.collect_list("x"), lambda a, b: a["_nr"] - b["_nr"]).alias("_x"))
+    count = rows.groupBy(*keys).agg(F.count("*").alias("original_count"))
+    out = count.join(some, keys).withColumns({"items": F.transform("_x", lambda x: x["row"]), "included_count": F.size("_x").cast("bigint"), "texts_truncated": F.exists("_x", lambda x: x["cut"])}).drop("_x")
+    return out.withColumn("truncated", F.col("texts_truncated") | (F.col("included_count") != F.col("original_count")))
 
 
 def capped(c: Column, most: int) -> Column:
@@ -82,6 +131,46 @@ def chunks(rows: DataFrame, keys: Sequence[str], order: str, size: str, budget:
     return fold_sorted(rows, keys, [order], schema, lambda: [0, 1], fill)
 
 
+def reduce_recaps(rows: DataFrame, keys: Sequence[str], lists: Sequence[str], order: str, size: Column, budget: int = BUDGET, recap: Callable[[DataFrame], DataFrame] = lambda merged: merged, most: int = 20) -> DataFrame:
+    """Per key one recap, with chunk_count, rounds and merged_locally.
+
+    Rows fill chunks (W19), each chunk becomes a recap, and recaps are rows of the next round, until a key has one. A key
+    whose recaps would make as many chunks again is merged as it stands. ``recap`` makes the answer to a chunk from its
+    merged rows. Keys that are ready leave the loop; each round is written, and the driver learns only how many are left.
+    A row that takes no room counts as one character, so that a chunk's rows are bounded.
+    """
+    keys, spark = list(keys), rows.sparkSession
+    folder, fields = new_folder(spark, "recaps"), ["summary_text", *lists]
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("append").parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    def chunked(df: DataFrame) -> DataFrame:
+        return chunks(df.withColumn("taken", F.greatest(size, F.lit(1)).cast("bigint")), keys, "place", "taken", budget)
+
+    def answered(df: DataFrame) -> DataFrame:
+        merged = recap(merge_recaps(df, [*keys, "chunk"], lists, "place", most))
+        return merged.select(*keys, F.col("chunk").cast("bigint").alias("place"), *fields)
+
+    items = written(answered(chunked(rows.select(*keys, F.col(order).cast("bigint").alias("place"), *fields))), "0")
+    counts = written(items.groupBy(*keys).agg(F.count("*").alias("chunk_count")), "counts")
+    end = lambda df, rounds, local: df.select(*keys, *fields, F.lit(rounds).alias("rounds"), F.lit(local).alias("merged_locally"))
+    number, done = 0, None
+    while True:
+        n = items.groupBy(*keys).agg(F.count("*").alias("n_items"))
+        done = written(end(items.join(n.where("n_items = 1"), keys, "left_semi"), number, False), "done")
+        items = items.join(n.where("n_items > 1"), keys)
+        placed = written(chunked(items), f"placed-{number}")
+        if placed.isEmpty():
+            return done.join(counts, keys)
+        m = placed.groupBy(*keys).agg((F.max("chunk") >= F.max("n_items")).alias("stuck"))
+        placed = placed.join(m, keys)
+        done = written(end(merge_recaps(placed.where("stuck"), keys, lists, "place", most), number, True), "done")
+        number += 1
+        items = written(answered(placed.where("not stuck").drop("stuck")), str(number))
+
+
 def pseudo_summaries(items: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Results of chunks (summary_text, summary_json) as summaries without an id, whose job, start, end and creation are their number."""
     out = numbered(items, keys, order, "job_id")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -60,27 +61,37 @@ def _mode(counts: Counter) -> str:
     return max(counts, key=counts.__getitem__) if counts else ""
 
 
-def _distinct(values) -> list:
-    return list(dict.fromkeys(values))
-
-
-class _Open:
-    """The segment being built."""
+class Open:
+    """The segment being built: what its end needs of the observations so far."""
 
     def __init__(self, row):
-        self.rows, self.start, self.end, self.gap = [], row.start_ts, row.end_ts, 0.0
-        self.processes, self.titles, self.shot, self.visual = Counter(), Counter(), None, None
+        self.start, self.end, self.gap, self.blocked, self.visual, self.shot = row.start_ts, row.end_ts, 0.0, bool(row.blocked), None, None
+        self.count = self.shots = 0
+        # names in order of appearance with their frequency, and titles in normal form
+        self.processes, self.titles, self.norms = Counter(), Counter(), {}
+        # ordered sets, and the texts
+        self.interval_ids, self.screenshot_ids, self.hotkeys, self.texts = {}, {}, {}, []
         self.add(row, None)
 
     def add(self, row, visual: float | None) -> None:
         self.gap = max(self.gap, row.start_ts - self.end)
         self.end = max(self.end, row.end_ts)
         self.visual = self.visual if visual is None else visual
-        self.rows.append(row)
+        self.count += 1
         if row.process_name:
             self.processes[row.process_name] += 1
         if row.window_title:
             self.titles[row.window_title] += 1
+            self.norms.setdefault(row.window_title, row.norm_title or "")
+        if pd.notna(row.active_interval_id):
+            self.interval_ids[int(row.active_interval_id)] = None
+        if pd.notna(row.screenshot_id):
+            self.screenshot_ids[int(row.screenshot_id)] = None
+            self.shots += 1
+        if row.text:
+            self.texts.append(row.text)
+        if row.hotkeys is not None:
+            self.hotkeys.update(dict.fromkeys(row.hotkeys))
         self.shot = row.fingerprint or self.shot
 
     def closes(self, row, s: SegmentSettings) -> tuple[str | None, float | None]:
@@ -89,10 +100,10 @@ class _Open:
             return "idle_gap", None
         if 0 < s.max_duration_s <= self.end - self.start:
             return "max_duration_reached", None
-        if bool(row.blocked) != bool(self.rows[0].blocked):
+        if bool(row.blocked) != self.blocked:
             return "lock_state_changed", None
         other = (row.process_name or "") != _mode(self.processes)
-        title = ratio(row.norm_title or "", self.norm(_mode(self.titles)))
+        title = ratio(row.norm_title or "", self.norms.get(_mode(self.titles), ""))
         if other and title < s.title_similarity:
             return "app_changed", None
         visual = _bits_alike(self.shot, row.fingerprint)
@@ -102,18 +113,12 @@ class _Open:
             return "window_changed_significantly", visual
         return None, visual
 
-    def norm(self, title: str) -> str:
-        return next((r.norm_title for r in self.rows if r.window_title == title), "") or ""
-
     def done(self, reason: str, visual: float | None, closed: bool) -> dict:
         processes, titles = list(self.processes), list(self.titles)
-        ints = lambda name: _distinct(int(v) for r in self.rows if pd.notna(v := getattr(r, name)))
-        texts = [r.text for r in self.rows if r.text]
         return {
             "segment_id": segment_id(self.start, self.end, processes, titles), "start_ts": self.start, "end_ts": self.end, "process_names": processes, "window_titles": titles,
-            "blocked": bool(self.rows[0].blocked), "active_interval_ids": ints("active_interval_id"), "screenshot_ids": ints("screenshot_id"), "text_snippets": texts,
-            "hotkeys": _distinct(h for r in self.rows if r.hotkeys is not None for h in r.hotkeys), "observation_count": len(self.rows),
-            "screenshot_count": sum(pd.notna(r.screenshot_id) for r in self.rows), "text_segment_count": len(texts), "duration_s": self.end - self.start,
+            "blocked": self.blocked, "active_interval_ids": list(self.interval_ids), "screenshot_ids": list(self.screenshot_ids), "text_snippets": list(self.texts), "hotkeys": list(self.hotkeys),
+            "observation_count": self.count, "screenshot_count": self.shots, "text_segment_count": len(self.texts), "duration_s": self.end - self.start,
             "idle_gap_s": self.gap if self.gap > 0 else None, "closure_reason": reason, "is_closed": closed, "process_name": _mode(self.processes), "window_title": _mode(self.titles),
             "visual_similarity": self.visual if visual is None else visual,
         }
@@ -129,15 +134,15 @@ def _bits_alike(a, b) -> float | None:
 def fold(rows: pd.DataFrame, settings: SegmentSettings, last: str, closed: bool) -> list[dict]:
     """Segments of observations in order; the last one ends for ``last``."""
     out: list[dict] = []
-    now: _Open | None = None
+    now: Open | None = None
     for row in rows.itertuples(index=False):
         if now is None:
-            now = _Open(row)
+            now = Open(row)
             continue
         reason, visual = now.closes(row, settings)
         if reason:
             out.append(now.done(reason, visual, True))
-            now = _Open(row)
+            now = Open(row)
         else:
             now.add(row, visual)
     if now is not None:
@@ -213,3 +218,37 @@ def without_reserved(rows: DataFrame, ranges: DataFrame, start: Column, end: Col
         raise ValueError(f"{n} reserved ranges; {MOST_RANGES} are the most")
     r = F.broadcast(ranges.select(F.col("from_ts").alias("_from"), F.col("to_ts").alias("_to")))
     return rows.join(r, (start <= F.col("_to")) & (F.col("_from") <= end), "left_anti")
+
+
+#: Columns of a batch's parts, as they are serialized (fixed values), and how many rows of a part a batch takes at most.
+BATCH_PARTS = {
+    "activity_segments": [c.split()[0] for c in SEGMENT.split(", ")],
+    "active_intervals": ["start_ts", "end_ts", "process_name", "window_title", "blocked"],
+    "blocked_intervals": ["start_ts", "end_ts", "process_name", "window_title"],
+    "text_segments": ["start_ts", "end_ts", "process_name", "window_title", "text", "hotkeys", "raw_key_count"],
+    "screenshots": ["ts", "file_path", "process_name", "window_title", "fingerprint", "exact_hash", "perceptual_hash", "nearest_phash_distance", "nearest_ssim", "dedup_reason", "visual_context_streak"],
+}
+BATCH_ROWS = {"text_segments": 400, "screenshots": 3}
+
+
+def serialized_batches(parts: dict[str, DataFrame], keys: Sequence[str], most: dict[str, int] | None = None) -> DataFrame:
+    """Per key one batch: start_ts, end_ts and, for each part, the JSON objects of its rows in order of time, with every field.
+
+    Columns that a part lacks are null. Of a part with a limit only the first rows are gathered. A batch spans the rows
+    that it has; a key without rows has no batch, a part without rows no members.
+    """
+    keys, most = list(keys), BATCH_ROWS if most is None else most
+    told = []
+    for name, df in parts.items():
+        time = "ts" if "ts" in df.columns else "start_ts"
+        end = F.coalesce(F.col("end_ts"), F.col(time)) if "end_ts" in df.columns else F.col(time)
+        fields = F.struct(*[(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in BATCH_PARTS[name]])
+        row = F.to_json(fields, {"ignoreNullFields": "false"})
+        one = df.select(*keys, F.lit(name).alias("part"), F.col(time).alias("from_ts"), end.alias("to_ts"), row.alias("json"))
+        if name in most:
+            w = Window.partitionBy(*keys).orderBy("from_ts", "to_ts", "json")
+            one = one.withColumn("_nr", F.row_number().over(w)).where(F.col("_nr") <= most[name]).drop("_nr")
+        told.append(one)
+    every = reduce(DataFrame.unionByName, told)
+    ordered = lambda name: F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == name, F.struct("from_ts", "to_ts", "json")))), lambda x: x["json"])
+    return every.groupBy(*keys).agg(F.min("from_ts").alias("start_ts"), F.max("to_ts").alias("end_ts"), *[ordered(name).alias(name) for name in parts])

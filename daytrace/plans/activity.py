@@ -234,13 +234,32 @@ def full_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("machine", "segment_id", "start_ts", "end_ts", "observation_count", "closure_reason", "process_name", "is_closed")
 
 
-@query("representative_picks")
+#: Screenshots with the halves of their hashes, numbered per machine, and the bits by which two differ.
+_SHOT_ROWS = f"""
+WITH RECURSIVE {O}, h AS (SELECT machine, event_id AS id, ts, app, substr(sha256(app || '|' || (event_id % 3)), 1, 16) AS h, row_number() OVER (PARTITION BY machine ORDER BY ts, event_id) AS nr FROM o),
+n AS MATERIALIZED (SELECT machine, id, ts, app, nr, ('0x' || substr(h, 1, 8))::BIGINT AS a, ('0x' || substr(h, 9, 8))::BIGINT AS b FROM h),"""
+_SHOT_BITS = "CAST(bit_count(xor(x.a, n.a)) + bit_count(xor(x.b, n.b)) AS INT)"
+_SHOT_KEPT = "[]::STRUCT(ts DOUBLE, app VARCHAR, a BIGINT, b BIGINT)[] AS kept"
+
+
+@query("representative_picks", f"""{_SHOT_ROWS}
+r AS (SELECT DISTINCT machine, 0::BIGINT AS nr, NULL::BIGINT AS id, NULL::DOUBLE AS ts, false AS takes, 0 AS picked, {_SHOT_KEPT} FROM n
+UNION ALL SELECT machine, nr, id, ts, takes, picked + takes::INT, CASE WHEN takes THEN list_concat([{{'ts': ts, 'app': app, 'a': a, 'b': b}}], kept)[1:8] ELSE kept END FROM (
+  SELECT n.machine, n.nr, n.id, n.ts, n.app, n.a, n.b, r.picked, r.kept, r.picked < 20 AND coalesce(n.ts - list_filter(r.kept, lambda x: x.app = n.app AND (n.ts - x.ts >= 86400 OR {_SHOT_BITS} <= 6))[1].ts >= 86400, true) AS takes
+  FROM r JOIN n ON n.machine = r.machine AND n.nr = r.nr + 1))
+SELECT machine, id, ts FROM r WHERE takes""")
 def representative_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Screenshots of a machine that differ from the last picked."""
     return dedup.representative_screenshots(_shots(spark, sf_dir), ["machine"], ScreenshotDedupSettings(max_selected=20, min_interval_s=86400.0)).select("machine", "id", "ts")
 
 
-@query("capture_decisions")
+@query("capture_decisions", f"""{_SHOT_ROWS}
+r AS (SELECT DISTINCT machine, 0::BIGINT AS nr, NULL::BIGINT AS id, NULL::DOUBLE AS ts, false AS keep, NULL::VARCHAR AS reason, NULL::INT AS distance, CAST(0 AS INT) AS streak, NULL::DOUBLE AS last, {_SHOT_KEPT} FROM n
+UNION ALL SELECT machine, nr, id, ts, keep, reason, distance, CASE WHEN NOT keep THEN streak WHEN ts - last < 86400 THEN streak + 1 ELSE 1 END, CASE WHEN keep THEN ts ELSE last END, CASE WHEN keep THEN list_concat([{{'ts': ts, 'app': app, 'a': a, 'b': b}}], kept)[1:8] ELSE kept END FROM (
+  SELECT *, distance IS NULL OR distance > 6 OR ts - near_ts >= 86400 AS keep, CASE WHEN distance IS NULL THEN 'new_context' WHEN distance <= 6 AND ts - near_ts < 86400 THEN 'perceptual_duplicate' ELSE 'visual_context_changed' END AS reason FROM (
+    SELECT * EXCLUDE (alike), list_min(list_transform(alike, lambda x: x.d)) AS distance, list_filter(alike, lambda x: x.d = list_min(list_transform(alike, lambda y: y.d)))[1].ts AS near_ts FROM (
+      SELECT n.*, r.streak, r.last, r.kept, list_transform(list_filter(r.kept, lambda x: x.app = n.app), lambda x: {{'d': {_SHOT_BITS}, 'ts': x.ts}}) AS alike FROM r JOIN n ON n.machine = r.machine AND n.nr = r.nr + 1))))
+SELECT machine, id, ts, keep, reason, distance, NULL::DOUBLE AS similarity, streak FROM r WHERE nr > 0""")
 def capture_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each screenshot kept or dropped as it comes."""
     return dedup.capture_decisions(_shots(spark, sf_dir), ["machine"], ScreenshotDedupSettings(min_interval_s=86400.0))

@@ -10,7 +10,7 @@ from daytrace.plans.audit import _job_log
 from daytrace.plans.registry import query, table
 from daytrace.plans.sessions import observations
 from daytrace.session import new_folder
-from daytrace.sources import bundles
+from daytrace.sources import bundles, images, stored
 from daytrace.streaming import sessions
 
 
@@ -128,3 +128,35 @@ def log_lines_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _job_log(spark, sf_dir).select(F.concat(F.lit("2024-01-01 00:00:00 [INFO] app.client: "), "raw").alias("line"))
     e.write.mode("append").text(f"{folder}/rows")
     return logs.counters(logs.parse(logs.records(bundles.read_logs(spark, f"{folder}/rows", "*.txt"))), "event_name")
+
+
+@query("stored_customers", """
+WITH n AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_totalprice > 100000 GROUP BY 1)
+SELECT c_custkey, c_name, coalesce(n.v, c_acctbal) AS c_acctbal, n.k IS NOT NULL AS replaced FROM customer LEFT JOIN n ON k = c_custkey
+UNION ALL SELECT -o_custkey - 1, 'new', max(o_totalprice), false FROM orders WHERE o_totalprice > 300000 GROUP BY o_custkey""")
+def stored_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers stored, then upserted: balances replaced while names stay, and new ones; the last version, and what each row was."""
+    store = stored.StoredTable(spark, f"{new_folder(spark, 'stored')}/customers", "c_custkey BIGINT, c_name STRING, c_acctbal DOUBLE", ["c_custkey"], 8)
+    money = lambda c: F.col(c).cast("double").alias("c_acctbal")
+    store.upsert(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", money("c_acctbal")))
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("bigint").alias("c_custkey")).agg(F.max("o_totalprice").alias("most"))
+    changed = o.where("most > 100000").join(store.read().select("c_custkey"), "c_custkey", "left_semi").select("c_custkey", F.lit("new").alias("c_name"), money("most"))
+    found = store.upsert(changed.unionByName(o.where("most > 300000").select((-F.col("c_custkey") - 1).alias("c_custkey"), F.lit("new").alias("c_name"), money("most"))), keep=["c_name"])
+    return store.read().join(found.select("c_custkey", "replaced"), "c_custkey", "left").select("c_custkey", "c_name", "c_acctbal", F.coalesce("replaced", F.lit(False)).alias("replaced"))
+
+
+@query("image_files", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor((x::DOUBLE + 1) * 127) AS INT)) AS g FROM embeddings),
+p AS (SELECT vec_id, flatten(list_transform(g, lambda x: [x, 255 - x, x // 2])) AS rgb, list_transform(g, lambda x: (x * 299 + (255 - x) * 587 + (x // 2) * 114) // 1000) AS l FROM v)
+SELECT vec_id, CAST(8 AS INT) AS width, CAST(8 AS INT) AS height, sha256(unhex(array_to_string(list_transform(rgb, lambda x: printf('%02x', x)), '')) || '8x8'::BLOB) AS exact_hash,
+       array_to_string(list_transform(range(0, 16), lambda k: printf('%x', list_sum(list_transform(range(0, 4), lambda j: CASE WHEN l[4 * k + j + 1] * 64 >= list_sum(l) THEN 8 >> j ELSE 0 END))::INT)), '') AS perceptual_hash,
+       CAST(16 * list_sum(l) AS BIGINT) AS thumbnail_sum, CAST(l[64] AS INT) AS last_gray FROM p""")
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3, M5: a picture of 8 x 8 pixels per vector, written as a file and read back: exact hash, average hash and thumbnail in one pass."""
+    folder = f"{new_folder(spark, 'images')}/files"
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 127).cast("int")).alias("g"))
+    rgb = F.flatten(F.transform("g", lambda x: F.array(x, F.lit(255) - x, F.floor(x / 2).cast("int"))))
+    v.select("vec_id", F.concat(F.lit("P3 8 8 255 "), F.array_join(rgb, " ")).alias("value")).repartition("vec_id").write.partitionBy("vec_id").text(folder)
+    out = images.read_images(spark, folder, "*.txt").withColumn("vec_id", F.regexp_extract("path", "vec_id=([0-9]+)", 1).cast("bigint"))
+    total = F.aggregate("thumbnail", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return out.select("vec_id", "width", "height", "exact_hash", "perceptual_hash", total.alias("thumbnail_sum"), F.element_at("thumbnail", -1).alias("last_gray"))

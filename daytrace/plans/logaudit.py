@@ -132,6 +132,28 @@ def missing_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.missing_signals(logs.lock_audit(e), logs.capture_audit(e)).select(F.array_join("missing", "; ").alias("missing"))
 
 
+_SHOTS = {"click": ("app.capture", "INFO", "event=screenshot_skipped reason="), "purchase": ("app.capture", "INFO", "event=screenshot_dedup_keep reason="), "signup": ("app.services", "INFO", "event=monitoring_state_change active="), "error": ("app.services", "WARNING", "event=monitoring_paused_by_lock by=")}
+
+
+def _shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as entries of a capture log, with the hour's place in its half day as reason, none at noon and midnight."""
+    hour = F.hour("ts") % 12
+    return _log(spark, sf_dir, _SHOTS, F.when(hour > 0, F.concat(F.lit("r"), hour.cast("string"))).otherwise(""))
+
+
+@query("dedup_reasons", """
+SELECT CASE event_type WHEN 'click' THEN 'skip' ELSE 'keep' END AS decision, CASE WHEN hour(ts) % 12 = 0 THEN 'unknown' ELSE 'r' || (hour(ts) % 12) END AS reason, count(*) AS n FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1, 2""")
+def dedup_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons of skipped and kept screenshots."""
+    return logs.dedup_summary(_shots(spark, sf_dir))
+
+
+@query("filter_analysis", "SELECT count(*) FILTER (event_type = 'signup') AS monitoring_state_changes, count(*) FILTER (event_type = 'error') > 0 AS lock_admission_visible, false AS known_gate FROM events")
+def filter_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a log shows of the filter on the foreground."""
+    return logs.filter_analysis(_shots(spark, sf_dir))
+
+
 @query("crash_dumps", """
 WITH c AS (SELECT conv_id, min(turn) FILTER (turn % 4 = 1) AS t1, count(*) FILTER (turn % 4 = 1) AS thread_count, count(*) FILTER (turn % 4 = 0) AS heads, count(*) FILTER (turn % 4 = 3) AS told FROM conversations GROUP BY conv_id)
 SELECT CAST(c.conv_id AS VARCHAR) AS source_file, CAST(thread_count AS INT) AS thread_count, CAST(length(f.text) AS INT) AS top_line, CASE WHEN told > 0 AND c.conv_id % 2 = 0 THEN 'High' ELSE 'Low' END AS confidence

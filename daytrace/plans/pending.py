@@ -198,12 +198,12 @@ def unclean_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("error_notifications", """
-WITH n AS (SELECT event_id, event_type = 'purchase' AS resolved, lag(event_type = 'purchase') OVER w AS was_resolved, lag(user_id % 2) OVER w AS was, user_id % 2 AS message FROM (SELECT *, event_id % 10 AS grp FROM events) WINDOW w AS (PARTITION BY grp ORDER BY ts, event_id))
+WITH n AS (SELECT event_id, event_type = 'purchase' AS resolved, lag(event_type = 'purchase') OVER w AS was_resolved, lag(user_id % 2) OVER w AS was, user_id % 2 AS message FROM (SELECT *, event_id % 10 AS grp FROM events) WINDOW w AS (PARTITION BY user_id, grp ORDER BY ts, event_id))
 SELECT event_id, NOT resolved AND NOT coalesce(NOT was_resolved AND was = message, false) AS notify FROM n""")
 def error_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An error is shown unless it is the active one of its category; purchases resolve it."""
-    e = observations(spark, sf_dir).select("event_id", "ts", (F.col("event_id") % 10).alias("category"), (F.col("machine") % 2).alias("message"), (F.col("app") == "purchase").alias("resolved"))
-    return logs.notified(e, [], ["ts", "event_id"]).select("event_id", "notify")
+    """An error is shown unless it is the active one of its category on its machine; purchases resolve it."""
+    e = observations(spark, sf_dir).select("event_id", "ts", "machine", (F.col("event_id") % 10).alias("category"), (F.col("machine") % 2).alias("message"), (F.col("app") == "purchase").alias("resolved"))
+    return logs.notified(e, ["machine"], ["ts", "event_id"]).select("event_id", "notify")
 
 
 @query("stage_lines", "SELECT event_id, event_type AS stage, CASE WHEN value IS NULL THEN NULL ELSE printf('%.3f', value) END AS elapsed_s, CAST(user_id AS VARCHAR) AS job_id FROM events")
@@ -233,9 +233,9 @@ def merged_recaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("capped_lists", "SELECT conv_id, count(*) AS original_count, count(*) > 5 AS truncated, least(count(*), 5) AS included_count FROM conversations GROUP BY conv_id")
 def capped_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists of a prompt with their cap, original and included counts."""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns")).select("conv_id", responses.capped(F.col("turns"), 5).alias("p"))
-    return c.select("conv_id", F.col("p.original_count").cast("long").alias("original_count"), "p.truncated", F.size("p.included").cast("long").alias("included_count"))
+    """Lists of a prompt with their cap, original and included counts; what is beyond the cap is counted, not gathered."""
+    out = responses.prompt_payloads(table(spark, sf_dir, "conversations").select("conv_id", "turn"), ["conv_id"], ["turn"], 5, responses.BUDGET)
+    return out.select("conv_id", "original_count", "truncated", "included_count")
 
 
 @query("evolved_rows", "SELECT event_type AS key, count(*) AS n, CAST(0 AS BIGINT) AS titled FROM events GROUP BY event_type")
@@ -257,8 +257,8 @@ def report_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("event_id"), *[F.col(c).cast("long").alias(c) for c in ("report_place", "card_place", "summary_place")])
 
 
-@query("draft_order", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY lower(p_type), p_name, p_partkey) AS place FROM part")
+@query("draft_order", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag, lower(l_linestatus), CAST(l_partkey AS VARCHAR), printf('%012d', l_linenumber)) AS place FROM lineitem")
 def draft_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order of entity drafts."""
-    d = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("entity_type"), F.lower("p_type").alias("source_kind"), F.col("p_name").alias("entity_normalized"), F.format_string("%012d", F.col("p_partkey")).alias("source_ref"))
-    return decoders.placed(d, ["entity_type"], decoders.DRAFT_ORDER).select("p_partkey", F.col("place").cast("long").alias("place"))
+    """Order of the entity drafts of a summary: an order's lines."""
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("entity_type"), F.lower("l_linestatus").alias("source_kind"), F.col("l_partkey").cast("string").alias("entity_normalized"), F.format_string("%012d", F.col("l_linenumber")).alias("source_ref"))
+    return decoders.placed(d, ["l_orderkey"], decoders.DRAFT_ORDER).select("l_orderkey", "l_linenumber", F.col("place").cast("long").alias("place"))

@@ -161,8 +161,8 @@ def clipped_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("confident_outcomes", "SELECT user_id, coalesce(bool_or(value / 100 >= 0.6), false) AS confident FROM events GROUP BY user_id")
 def confident_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Any outcome with a confidence of 0.6 or more; what is no number counts as none."""
-    c = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(F.coalesce((F.col("value") / 100).cast("string"), F.lit("none"))).alias("c"))
-    return c.select("user_id", quality.any_confident(F.col("c")).alias("confident"))
+    told = F.coalesce((F.col("value") / 100).cast("string"), F.lit("none"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(quality.some_confident(told).alias("confident"))
 
 
 @query("unclassified_machines", "SELECT user_id AS machine, count(*) FILTER (event_type NOT IN ('click', 'view')) = 0 AND user_id % 2 = 0 AS only_unclassified FROM events GROUP BY user_id")

@@ -1,12 +1,12 @@
-"""Streaming forms: intervals of the foreground window, idle sessions, keyed screenshot dedup, batch-wise sinks.
+"""Streaming forms: intervals of the foreground window, idle sessions, batch-wise sinks.
 
 Late rows are dropped behind a watermark; the batch operators see all rows, so both agree on what is in time.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
-from types import SimpleNamespace
 from typing import Any
 
 import pandas as pd
@@ -14,8 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from daytrace.config import ScreenshotDedupSettings
-from daytrace.operators.dedup import CaptureDedup
 from daytrace.session import ship
 
 INTERVAL = "machine BIGINT, app STRING, start_ts DOUBLE, end_ts DOUBLE, n BIGINT"
@@ -47,30 +45,6 @@ def interval_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("machine").applyInPandasWithState(step, INTERVAL, "app STRING, start_ts DOUBLE, n BIGINT", "append", GroupStateTimeout.NoTimeout)
 
 
-_SHOT = ["ts", "process_name", "window_title", "window_hwnd", "active_interval_id", "exact_hash", "perceptual_hash", "fingerprint"]
-
-
-def screenshot_stream(shots: DataFrame, key: str, settings: ScreenshotDedupSettings = ScreenshotDedupSettings()) -> DataFrame:
-    """Keep or drop each screenshot of a key as it comes; the state holds the last kept ones."""
-    ship(shots.sparkSession)
-    kind = dict(shots.dtypes)[key]
-    kept = "ARRAY<STRUCT<ts:DOUBLE,process_name:STRING,window_title:STRING,window_hwnd:BIGINT,active_interval_id:BIGINT,exact_hash:STRING,perceptual_hash:STRING,fingerprint:STRING>>"
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent, streak, last = state.get if state.exists else ([], 0, None)
-        dedup = CaptureDedup(settings, [SimpleNamespace(**(r if isinstance(r, dict) else r.asDict() if hasattr(r, "asDict") else dict(zip(_SHOT, r, strict=True)))) for r in recent])
-        dedup.streak, dedup.last = streak, last
-        out = []
-        for row in pd.concat(list(batches)).sort_values(["ts", "id"], kind="stable").itertuples(index=False):
-            keep, reason, bits = dedup.judge(row)
-            out.append((k[0], row.id, row.ts, keep, reason, bits))
-        told = [tuple(None if pd.isna(v := getattr(r, c)) else v for c in _SHOT) for r in dedup.recent]
-        state.update((told, dedup.streak, dedup.last))
-        yield pd.DataFrame(out, columns=[key, "id", "ts", "keep", "reason", "distance"])
-
-    return shots.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, id BIGINT, ts DOUBLE, keep BOOLEAN, reason STRING, distance INT", f"recent {kept}, streak INT, last DOUBLE", "append", GroupStateTimeout.NoTimeout)
-
-
 def drain(stream: DataFrame, sink: Callable[[DataFrame, int], Any], checkpoint: str) -> None:
     """Run all that is there through ``sink`` (batch, number) and stop. Offsets live in the checkpoint; sinks must bear a repeat."""
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
@@ -83,3 +57,42 @@ def once_per_batch(path: str) -> Callable[[DataFrame, int], None]:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return write
+
+
+#: Why a run of ticks ended.
+EMPTY, ERROR, PAUSED, CANCELLED = "empty", "error", "paused", "cancelled"
+
+
+class _Marked(Exception):
+    """A mark stopped a batch before it was written."""
+
+
+def run_ticks(stream: DataFrame, sink: Callable[[DataFrame, int], Any], checkpoint: str, every: str = "30 seconds", mark: Callable[[], str | None] = lambda: None, poll_s: float = 0.1) -> str:
+    """A batch per tick until nothing is left, a batch fails, or ``mark()`` says ``paused`` or ``cancelled``; why it ended.
+
+    The mark is read before each batch is written and between ticks. A batch that fails or is marked is not committed, so
+    the next run with this checkpoint begins with it: nothing is lost, and a sink by batch number doubles nothing.
+    Processing-time timers fire in ticks, so streams with them end here and not in ``drain``.
+    """
+    found: list[str] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        if why := mark():
+            found.append(why)
+            raise _Marked(why)
+        sink(batch, number)
+
+    running = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    try:
+        while running.isActive and not found:
+            if why := mark():
+                found.append(why)
+                break
+            last, status = running.lastProgress, running.status
+            idle = not status["isTriggerActive"] and status["message"].startswith("Waiting") and not status["isDataAvailable"]
+            if last is not None and last["numInputRows"] == 0 or idle:
+                return EMPTY
+            time.sleep(poll_s)
+    finally:
+        running.stop()
+    return found[0] if found else ERROR if running.exception() is not None else EMPTY

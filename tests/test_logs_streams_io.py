@@ -133,19 +133,6 @@ def test_interval_stream_equals_batch(spark, folder):
     assert got == sorted((r.machine, r.start_ts, r.end_ts, r.app) for r in batch)
 
 
-def test_screenshot_stream_equals_batch(spark, folder):
-    from daytrace.operators.dedup import capture_decisions
-
-    schema = "k long, id long, ts double, process_name string, window_title string, window_hwnd long, active_interval_id long, perceptual_hash string, fingerprint string, exact_hash string"
-    rows = [(1, i, float(i * 7), "p", "t", None, None, ["00", "01", "ff"][i % 3], None, None) for i in range(12)]
-    for part in (rows[:5], rows[5:]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder + "/in")
-    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder + "/in")
-    sessions.drain(sessions.screenshot_stream(files, "k"), sessions.once_per_batch(folder + "/out"), folder + "/ckpt")
-    got = sorted((r.id, r.keep, r.reason) for r in spark.read.parquet(folder + "/out").collect())
-    assert got == sorted((r.id, r.keep, r.reason) for r in capture_decisions(spark.createDataFrame(rows, schema), ["k"]).collect())
-
-
 def test_idle_sessions_merge_at_the_gap(spark, folder):
     rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:08"), (1, "2024-01-01 00:00:17")]
     df = spark.createDataFrame(rows, "k int, s string").select("k", F.to_timestamp("s").alias("ts"))
