@@ -12,6 +12,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from operator import methodcaller
 
 import numpy as np
@@ -34,7 +35,7 @@ SHARD_TERMS = 1_000_000
 #: Documents that are looked at to size the shards, one in so many. It sets only how many models there are.
 SIZING = 8
 #: Terms whose document frequencies a task holds at a time.
-SEEN_TERMS = 150_000
+SEEN_TERMS = 300_000
 #: Terms of the vectors that a task sums at a time.
 BATCH_TERMS = 1_000_000
 #: Terms and sources on a tile's sides.
@@ -80,9 +81,9 @@ def _numbers(key: str, shared) -> dict[str, dict[bytes, int]]:
 
 def document_vector(terms: list[bytes], numbers: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """A document's sparse vector: numbers of its kept terms and how often each occurs, as integers."""
-    found = [(at, n) for t, n in Counter(terms).items() if (at := numbers.get(t)) is not None]
-    both = np.array(found, dtype=np.int64).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
+    found = Counter(terms)
+    at, n = (np.fromiter(v, dtype=np.int64, count=len(found)) for v in (map(numbers.get, found, repeat(-1)), found.values()))
+    return at[at >= 0], n[at >= 0]
 
 
 def _group_sums(docs: DataFrame, vocabulary: list[str], key: str) -> DataFrame:
