@@ -21,7 +21,7 @@ from daytrace.llm.common import Scratch, join_checked, join_counted
 FIELD = "<*>"
 #: Leading tokens of a leaf.
 DEPTH = 2
-#: Documents that make a template recur; tokens of a line that can have fields; share of its tokens that must be fixed.
+#: Documents that make a template recur; tokens from which rare ones are fields, too; share of these lines' tokens that must be fixed.
 MIN_DOCS, MIN_TOKENS, FIXED_SHARE = 10, 4, 0.6
 _DIGIT = re.compile(r"[0-9]")
 
@@ -50,34 +50,27 @@ def _hashes(tokens: list[str]) -> tuple[int, int]:
 
 
 def _lines(docs: DataFrame, kind: str, with_tokens: bool) -> DataFrame:
-    """(_id, _hash, same, total, no, words, leaf, line[, tokens]) of the lines with a word.
+    """(_id, _hash, no, leaf, line[, tokens]) of the lines with a word.
 
-    Lines under MIN_TOKENS words keep their digits, so that nothing in them is a field. ``same`` is a digest of the set of
-    the document's generalised lines, ``total`` its number of words.
+    Tokens with a digit are generalised, but in a line that has no others: it stands for itself.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for i, h, text in zip(batch._id, batch._hash, batch._text, strict=True):
-                found, total, kinds = [], 0, set()
                 for no, line in enumerate((text or "").split("\n")):
                     if line and (w := _words(line)):
                         g = _generalised(w)
-                        t = g if len(w) >= MIN_TOKENS else w
-                        leaf, whole = _hashes(t)
-                        total += len(w)
-                        kinds.add(whole if g == t else _hashes(g)[1])
-                        found.append((no, len(t), leaf, whole, t) if with_tokens else (no, len(t), leaf, whole))
-                same = _signed(xxhash.xxh3_64_intdigest(" ".join(map(str, sorted(kinds)))))
-                out.extend((i, h, same, total, *f) for f in found)
-                if len(out) > 5000:
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
+                        t = g if any(x != FIELD for x in g) else w
+                        out.append((i, h, no, *_hashes(t), t) if with_tokens else (i, h, no, *_hashes(t)))
+                    if len(out) > 5000:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
             yield pd.DataFrame(out, columns=names)
 
-    schema = f"_id {kind}, _hash int, same long, total int, no int, words int, leaf long, line long" + ", tokens array<string>" * with_tokens
-    names = ["_id", "_hash", "same", "total", "no", "words", "leaf", "line"] + ["tokens"] * with_tokens
+    schema = f"_id {kind}, _hash int, no int, leaf long, line long" + ", tokens array<string>" * with_tokens
+    names = ["_id", "_hash", "no", "leaf", "line"] + ["tokens"] * with_tokens
     return docs.mapInPandas(parse, schema)
 
 
@@ -111,18 +104,12 @@ def recurring_lines(docs: DataFrame, doc_id: str, text: str, min_docs: int, scra
     made = scratch.write(made.where((F.col("n_fixed") >= F.col("n") * FIXED_SHARE) & (F.col("n_fixed") >= MIN_TOKENS - 1)).select("line", "template").unionByName(short))
     counts = lines.groupBy("line").agg(F.count("*").alias("c"))
     made = join_checked(counts, made, "line", "inner", size=F.octet_length("template"))
-    having = scratch.write(join_counted(lines, made, ["line"], scratch, size=F.octet_length("template")).select("_id", "_hash", "same", "total", "no", "words", "template"))
+    having = scratch.write(join_counted(lines, made, ["line"], scratch, size=F.octet_length("template")).select("_id", "_hash", "no", "template"))
     first = having.groupBy("template").agg(F.min(F.struct("_id", "_hash", "no")).alias("first"), F.count("*").alias("c"))
     often = _in_documents(having, "template").where(F.col("docs") >= min_docs).drop("docs").join(first, "template")
     again = join_counted(having, often, ["template"], scratch, size=F.octet_length("template")).where(~F.struct("_id", "_hash", "no").eqNullSafe(F.col("first")))
-    hits = scratch.write(again.groupBy("_id", "_hash", "same", "total").agg(F.collect_set(F.struct("no", "words", "template")).alias("hits")))
-    emptied = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["words"]) >= F.col("total")
-    # of the sets of lines that would go as a whole, those that more than one document has
-    sets = scratch.write(hits.where(emptied).select("same").distinct())
-    own = F.xxhash64("_id", "_hash")
-    copied = join_checked(lines.select("same", own.alias("own")), sets, "same", "left_semi").groupBy("same").agg(F.min("own").alias("a"), F.max("own").alias("b"))
-    copied = scratch.write(copied.where("a <> b").select("same", F.lit(True).alias("copied")))
-    return scratch.write(join_checked(hits, copied, "same", "left").where(~emptied | F.col("copied").isNull()).select("_id", "_hash", F.col("hits.no").alias("spots"), "hits"))
+    hits = again.groupBy("_id", "_hash").agg(F.collect_set(F.struct("no", "template")).alias("hits"))
+    return scratch.write(hits.select("_id", "_hash", F.col("hits.no").alias("spots"), "hits"))
 
 
 def _bytes() -> Column:
@@ -139,11 +126,11 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     """One row per line that goes: id, line_no (from 0, lines are split at line feeds), template, line.
 
     A document, for counting, is an id with a text: wholly repeated rows count once and lose the same lines. The first
-    occurrence is that of the smallest id, then text hash, then line. A line under MIN_TOKENS words is its own template;
-    a longer one needs FIXED_SHARE of its tokens, and all but one of the least number, to be fixed.
-    A document that would lose all its words stays whole if another has the same set of lines, numbers aside: of such
-    copies near-dedup keeps one. Null and empty texts have no lines; rows without an id are documents too; an empty table
-    gives no rows. Only id and text are read.
+    occurrence is that of the smallest id, then text hash, then line. Tokens with a digit are fields; a line of such tokens
+    alone is its own template. A line under MIN_TOKENS words has no other fields; a longer one needs FIXED_SHARE of its
+    tokens, and all but one of the least number, to be fixed. No document is spared: of many copies of one all but the
+    first lose the lines that recur, and may be left without words. Null and empty texts have no lines; rows without an id
+    are documents too; a line of any length is parsed as a whole; an empty table gives no rows. Only id and text are read.
     """
     rows = _marked(docs, doc_id, text, min_docs, "inner", [])
     one = rows.select("_own", F.split("_text", "\n", -1).alias("lines"), F.explode("hits").alias("h"))
