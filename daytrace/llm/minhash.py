@@ -277,7 +277,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         classes = classes.join(comps, "id", "left").select("class", F.coalesce("component", "id").alias("component"), "c")
     else:
         classes = classes.select("class", F.col("id").alias("component"), "c")
-    out = join_counted(signed.select("_id", "n", "class"), classes, ["class"], scratch, "left")
+    # texts without words have no class, and none of them is joined
+    out = join_counted(signed.where("class is not null").select("_id", "n", "class"), classes, ["class"], scratch, "left")
+    out = out.unionByName(signed.where("class is null").select("_id", "n", "class", F.lit(None).cast(kind).alias("component")))
     component = F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id"))
     return out.select(F.col("_id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("_id"), F.lit(True)).alias("kept"))
 

@@ -49,8 +49,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     prefixes = [F.when(F.char_length("path") >= n, F.substring("path", 1, n)) for n in sorted(lengths["lengths"])] or [F.lit(None).cast("string")]
     digests = F.flatten(F.transform(hosts, lambda h: F.transform(F.array_compact(F.array(*prefixes)), lambda p: F.sha2(F.concat_ws("\n", h, p), 256))))
     wanted = urls.select("host", "path", "c", F.explode(F.array_distinct(digests)).alias("full")).withColumn("short", F.substring("full", 1, PREFIX_HEX))
-    small = F.broadcast(keyed) if lengths["n"] <= broadcast_rows else keyed
-    hits = wanted.join(small.drop("host", "path"), "short").where("full = digest")
+    if lengths["n"] <= broadcast_rows:
+        hits = wanted.join(F.broadcast(keyed), "short").where("full = digest")
+    else:
+        # urls meet at short prefixes like that of a whole top-level domain, so the prefixes that many have are split
+        wanted = scratch.write(wanted)
+        rule = F.struct("rule", "digest", "host_len", "path_len", "verdict")
+        found = keyed.groupBy("short").agg(F.collect_list(rule).alias("rules")).join(wanted.groupBy("short").agg(F.count("*").alias("c")), "short")
+        met = join_counted(wanted.withColumnRenamed("c", "urls"), found, ["short"], scratch, size=F.aggregate("rules", F.lit(0), lambda a, r: a + F.octet_length(r["rule"]) + 100))
+        hits = met.select("host", "path", F.col("urls").alias("c"), "full", F.explode("rules").alias("r")).where("full = r.digest").select("host", "path", "c", "r.*")
     best = hits.groupBy("host", "path").agg(F.max(F.struct((F.col("host_len") + F.col("path_len")).alias("len"), "host_len", F.col("verdict").alias("v"), "rule")).alias("best"), F.first("c").alias("c"))
     ruled = join_counted(split.where(F.col("host") != ""), best, ["host", "path"], scratch, "left", size=F.octet_length("host") + 2 * F.octet_length("path"))
     none = split.where(F.col("host") == "").withColumn("best", F.lit(None).cast(dict(best.dtypes)["best"]))
