@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All of them, without lines of recurring templates.
 
-    No row goes. A document that would lose all its words stays whole if another has the same lines; of equal rows none
-    is the other's first occurrence, so both lose the same lines.
+    No row goes; a document of which all lines recur may be left without words. Of equal rows none is the other's first
+    occurrence, so both lose the same lines.
     """
     return line_templates.drop_recurring_lines(docs)
 
