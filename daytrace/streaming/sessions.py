@@ -40,7 +40,8 @@ def interval_stream(events: DataFrame) -> DataFrame:
                 out.append((key[0], app, start, ts, n))
             app, start, n = now, ts, 1
         state.update((app, start, n))
-        yield pd.DataFrame(out, columns=["machine", "app", "start_ts", "end_ts", "n"])
+        if out:
+            yield pd.DataFrame(out, columns=["machine", "app", "start_ts", "end_ts", "n"])
 
     return events.groupBy("machine").applyInPandasWithState(step, INTERVAL, "app STRING, start_ts DOUBLE, n BIGINT", "append", GroupStateTimeout.NoTimeout)
 
