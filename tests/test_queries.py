@@ -209,3 +209,46 @@ def test_log_files_are_numbered_across_blocks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert all(r.line == lines[r.line_no - 1] for r in got) and len({(r.source_file, r.line_no) for r in got}) == 10_000
+
+
+def page_finds(url):
+    """What a browser title made of a page's url holds, by plain Python: {(type, normalized): [value, source, ref, evidence, confidence]}."""
+    import re
+    from pathlib import PureWindowsPath
+
+    title = re.sub(r"^[a-z]+://", r"U:\\web\\", url) + " - Google Chrome"
+    name = r'[^\\/:*?"<>|\r\n]+'
+    once = lambda values, key=str.lower: list({key(v): v for v in reversed(values)}.values())[::-1]
+    plain = lambda t: " ".join(t.split()).lower()
+    slashed = lambda p: re.sub(r"(?<!^)/+", "/", p.replace("\\", "/")).lower()
+    paths = []
+    for p in once([p.strip().rstrip("\\/") for p in re.findall(rf"(?<!\w)((?:[A-Za-z]:[\\/](?:{name}[\\/])*{name})|(?:(?:\\\\|//)(?:{name}[\\/])+{name}))", title)], slashed):
+        path = PureWindowsPath(p)
+        folder = re.sub(r"[\\/]+[^\\/]*$", "", p) if path.suffix else p
+        if path.suffix:
+            paths += [("file_path", p, slashed(p), "observed", 0.98), ("file_name", path.name, path.name.lower(), "observed", 0.97)]
+        paths += [("folder_path", folder, slashed(folder), "observed", 0.9), ("project_candidate", "web", "web", "likely", 0.72)]
+    found = [("program", "chrome.exe", "chrome.exe", "observed", 1.0), ("window_title", title, plain(title), "observed", 1.0), *paths, *paths]
+    found += [("file_name", t, t.lower(), "observed", 0.88) for t in once(re.findall(r"(?<![\w/\\])([A-Za-z0-9][A-Za-z0-9._-]{0,127}\.[A-Za-z0-9]{1,10})(?![\w/\\])", title))]
+    tickets = list(dict.fromkeys(t.upper() for t in re.findall(r"(?i)\b([A-Z][A-Z0-9]+-\d+)\b", title)))
+    found += [("task_candidate", t, t, "observed", 0.9) for t in tickets]
+    found += [("repository", r, r.lower(), "inferred", 0.7) for r in once(re.findall(r"\b([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)\b", title)) if "." not in r.split("/")[0]]
+    labels = re.findall(r"(?i)\b(?:task|case|job|run|build|ticket|issue|story)[:\s#-]+([A-Za-z0-9._/-]{2,})\b", title)
+    found += [("task_candidate", t.strip("-_ "), plain(t.strip("-_ ")), "observed", 0.82) for t in once(labels)]
+    page = title.removesuffix(" - Google Chrome").strip()
+    if page:
+        found.append(("web_page_title", page, plain(page), "observed", 0.93))
+    found += [("task_candidate", t, t, "observed", 0.95) for t in tickets]
+    out = {}
+    for kind, value, norm, evidence, confidence in found:
+        mine = out.setdefault((kind, norm), [value, "process_name" if kind == "program" else "window_title", "chrome.exe" if kind == "program" else title, evidence, confidence])
+        mine[4] = max(mine[4], confidence)
+    return out
+
+
+def test_page_entities_equal_plain_python(spark):
+    urls = {r.page_id: r.url for r in taken(spark, "pages").itertuples()}
+    wanted = {(i, *k): tuple(v) for i, u in urls.items() if u for k, v in page_finds(u).items()}
+    rows = catalog.QUERIES["page_entities"](spark, DATA).collect()
+    got = {(r.page_id, r.entity_type, r.entity_normalized): (r.entity_value, r.source_kind, r.source_ref, r.evidence_kind, r.confidence) for r in rows}
+    assert len(rows) == len(got) and got == wanted and {k[1] for k in wanted} >= {"file_path", "file_name", "folder_path", "project_candidate", "web_page_title"}
