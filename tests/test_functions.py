@@ -113,3 +113,11 @@ def test_settings():
 def test_evolve(spark):
     df = evolve(spark.sql("select 1L id, 'x' odd, 2D start_ts"), "summaries")
     assert df.columns == [c.split()[0] for c in RELATIONS["summaries"].split(", ")] and df.first().summary_text is None
+
+
+def test_ascii_words_of_branches_and_values_made_once(spark):
+    df = spark.createDataFrame([("caf\u00e9on les. Branch: x",)], "t string")
+    got = df.select(T.branches(F.col("t")).alias("u"), T.branches(F.col("t"), T.ascii_only).alias("a"))
+    assert got.first() == (["x"], ["x", "les."])
+    # the three patterns stand once in the plan, not once more for each use of what they find
+    assert got.select("a")._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 3
