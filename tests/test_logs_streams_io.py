@@ -162,3 +162,12 @@ def test_no_machine_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_folder(Session())
+
+
+def test_a_filter_on_entries_reads_their_fields_twice_at_most(spark):
+    said = "2024-01-01 00:00:00 [ERROR] app.crash: event=crash_exception stage=main a=1 a=2 b"
+    found = logs.parse(logs.records(spark.createDataFrame([("f", 1, said)], "source_file string, line_no int, line string")))
+    assert found.first().fields == {"event": "crash_exception", "stage": "main", "a": "2 b"}
+    got = logs.crash_stages(found)
+    assert got.collect() == [("main", 1)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") <= 4  # fields, traceback
