@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from daytrace.operators import logs
+from daytrace.session import new_folder
 
 SCHEMAS = {
     "summaries": "summary_id BIGINT, job_id BIGINT, day STRING, start_ts DOUBLE, end_ts DOUBLE, process_name STRING, window_title STRING, summary_text STRING, screenshot_count INT, text_segment_count INT, prompt_name STRING, model_name STRING, created_at DOUBLE",
@@ -85,8 +86,10 @@ def log_audit(events: DataFrame) -> dict[str, DataFrame]:
 
 
 def write_log_audit(events: DataFrame, folder: str) -> dict[str, int]:
-    """Parsed entries and the eleven files of a log audit, with a manifest of their rows."""
-    return export_bundle(log_audit(events), folder)
+    """Parsed entries and the eleven files of a log audit, with a manifest of their rows. Entries are parsed once and stored."""
+    spark, parsed = events.sparkSession, f"{new_folder(events.sparkSession, 'parsed')}/rows"
+    events.write.parquet(parsed)
+    return export_bundle(log_audit(spark.read.schema(events.schema).parquet(parsed)), folder)
 
 
 def replace_days(df: DataFrame, path: str, day: str = "day") -> None:

@@ -171,3 +171,16 @@ def test_a_filter_on_entries_reads_their_fields_twice_at_most(spark):
     got = logs.crash_stages(found)
     assert got.collect() == [("main", 1)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") <= 4  # fields, traceback
+
+
+def test_a_log_audit_parses_its_entries_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def line(i):
+        seen.add(1)
+        return "f", i, f"2024-01-01 00:00:00 [INFO] app.client: event=job_created job_id=j{i}"
+
+    rows = spark.createDataFrame(spark.sparkContext.parallelize(range(50), 2).map(line), "source_file string, line_no int, line string")
+    counts = bundles.write_log_audit(logs.parse(logs.records(rows)), tempfile.mkdtemp(prefix="spark-"))
+    assert counts["parsed_events"] == 50 and counts["event_counts"] == 1
+    assert seen.value == 50
