@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from daytrace.session import ship
+
 GAP_S = 8.0
 BACKSPACE = "<BACKSPACE>"
 # fixed values
@@ -61,13 +64,24 @@ def held_modifiers(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     return events.withColumn("modifiers", F.array_compact(F.array(*held)))
 
 
+def _taken_back(tokens: pd.Series) -> pd.Series:
+    """Text of tokens in order, where a backspace takes back one character; null for null."""
+    out = []
+    for some in tokens:
+        now: list[str] = []
+        for t in () if some is None else some:
+            if t == BACKSPACE:
+                del now[-1:]
+            elif t is not None:
+                now.append(t)
+        out.append(None if some is None else "".join(now))
+    return pd.Series(out, dtype="object")
+
+
 def _typed(tokens: Column) -> Column:
-    """Text of tokens in order; a backspace takes back one character."""
-    return F.aggregate(
-        tokens, F.array().cast("array<string>"),
-        lambda acc, t: F.when(t == BACKSPACE, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(t.isNull(), acc).otherwise(F.concat(acc, F.array(t))),
-        lambda acc: F.array_join(acc, ""),
-    )
+    """Text of tokens in order; only those with a backspace are folded."""
+    folded = F.pandas_udf(_taken_back, "string")(F.when(F.array_contains(tokens, BACKSPACE), tokens))
+    return F.coalesce(folded, F.array_join(tokens, ""))
 
 
 def reconstruct(events: DataFrame, keys: Sequence[str] = (), gap_s: float = GAP_S) -> DataFrame:
@@ -77,6 +91,7 @@ def reconstruct(events: DataFrame, keys: Sequence[str] = (), gap_s: float = GAP_
     which is a segment of its own. Keys that type nothing prolong it; segments left without text are dropped.
     """
     keys = list(keys)
+    ship(events.sparkSession)
     typed = events.where((F.col("event_type") == "down") & ~is_modifier(F.col("key"))).withColumn("_hot", is_hotkey(F.col("key"), F.col("modifiers")))
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("ts", "id")
     context = F.struct("process_name", "window_title", "hwnd")
@@ -91,6 +106,7 @@ def reconstruct(events: DataFrame, keys: Sequence[str] = (), gap_s: float = GAP_
         F.bool_or("_hot").alias("_hot"), F.array_sort(F.collect_list(token)).alias("_tokens"), F.first(format_hotkey(F.col("key"), F.col("modifiers"))).alias("_name"),
         F.count("*").cast("int").alias("raw_key_count"),
     )
-    out = out.withColumn("text", F.when(F.col("_hot"), "").otherwise(_typed(F.transform("_tokens", lambda x: x["t"]))))
+    out = out.withColumn("_tokens", F.transform("_tokens", lambda x: x["t"]))
+    out = out.withColumn("text", F.when(F.col("_hot"), "").otherwise(_typed(F.col("_tokens"))))
     out = out.withColumn("hotkeys", F.when(F.col("_hot"), F.array("_name")).otherwise(F.array().cast("array<string>")))
     return out.where(F.col("_hot") | (F.col("text") != "")).drop("_tokens", "_hot", "_name")

@@ -287,3 +287,13 @@ def test_a_merge_moves_the_end_that_later_ones_are_compared_with(spark):
     judged = dedup.merge_summaries(df, ["k"], SummaryDedupSettings())
     assert [(r.id, r.action, r.matched_id) for r in judged.orderBy("id").collect()] == [(1, "store", None), (2, "merge_previous", 1), (3, "merge_previous", 1), (4, "store", 1)]
     assert sorted((r.id, r.end_ts, r.merged) for r in dedup.stored_summaries(judged, ["k"]).collect()) == [(1, 460.0, 2), (4, 910.0, 0)]
+
+
+def test_typed_text_folds_only_what_is_taken_back(spark):
+    keys = [*"aXb"]
+    rows = [("k", float(i), i, "down", c, [], "p", w, 1) for w in ("one", "two") for i, c in enumerate(keys)]
+    rows = [(*r[:1], r[1] + 100 * (r[7] == "two"), r[2] + 10 * (r[7] == "two"), *r[3:]) for r in rows] + [("k", 103.0, 13, "down", "Key.backspace", [], "p", "two", 1)]
+    df = spark.createDataFrame(rows, "k string, ts double, id bigint, event_type string, key string, modifiers array<string>, process_name string, window_title string, hwnd bigint")
+    got = typed_text.reconstruct(df, ["k"])
+    assert sorted((r.window_title, r.text) for r in got.collect()) == [("one", "axb"), ("two", "ax")]
+    assert "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString()
