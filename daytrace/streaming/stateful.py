@@ -10,7 +10,7 @@ from __future__ import annotations
 import bisect
 import math
 import os
-from collections import Counter
+from collections import Counter, namedtuple
 from collections.abc import Iterator, Sequence
 from types import SimpleNamespace
 
@@ -47,9 +47,14 @@ def _ordered(batches: Iterator[pd.DataFrame], order: Sequence[str]) -> Iterator:
     parts = [p for p in batches if len(p)]
     if parts:
         rows = (pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]).sort_values(list(order), kind="stable")
-        names = list(rows.columns)
-        for values in zip(*(rows[c] for c in names), strict=True):
-            yield SimpleNamespace(**{n: _plain(v) for n, v in zip(names, values, strict=True)})
+        yield from map(namedtuple("Row", rows.columns)._make, zip(*(_values(rows[c]) for c in rows.columns), strict=True))
+
+
+def _values(column: pd.Series) -> list:
+    """A column's values as ``_plain`` gives them; only lists are gone through one by one."""
+    if column.dtype == object and any(hasattr(v, "__len__") and not isinstance(v, str) for v in column):
+        return [_plain(v) for v in column]
+    return column.astype(object).where(column.notna(), None).tolist()
 
 
 def _frame(rows: list[tuple], schema: str) -> Iterator[pd.DataFrame]:
@@ -292,38 +297,47 @@ class _AsOf(StatefulProcessor):
         self.states = handle.getListState("states", "ts DOUBLE, id BIGINT, state STRING")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        events, states, timers = [], [], set()
+        events, states = [], []
         for r in _ordered(rows, ["ts", "id"]):
             if r.state is not None:
                 states.append((r.ts, r.id, r.state))
             else:
                 events.append((r.id, r.ts))
-                timers.add(math.ceil(r.ts * 1000 / self.tick_ms) * self.tick_ms)
         if states:
             self.states.appendList(states)
         if events:
             self.events.appendList(events)
-        for timer in sorted(timers - set(self.handle.listTimers())):
-            self.handle.registerTimer(timer)
+            # one timer per key, for its earliest event
+            first, set_ = min(self._due(ts) for _, ts in events), list(self.handle.listTimers())
+            if not set_ or first < min(set_):
+                for timer in set_:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(first)
         return iter(())
 
+    def _due(self, ts: float) -> int:
+        """When the tick of a time ends."""
+        return math.ceil(ts * 1000 / self.tick_ms) * self.tick_ms
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
-        end = expiredTimerInfo.getExpiryTimeInMs() / 1000
+        # all ticks that the watermark has passed are told at once
+        tick = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() // self.tick_ms * self.tick_ms)
+        end = tick / 1000
         states = sorted(self.states.get())
-        events = list(self.events.get())
         places = [s[0] for s in states]
         out, wait = [], []
-        for i, ts in events:
-            if ts > end:
+        for i, ts in self.events.get():
+            if self._due(ts) > tick:
                 wait.append((i, ts))
                 continue
             at = bisect.bisect_right(places, ts)
             out.append((key[0], i, ts, states[at - 1][2] if at else None))
         if wait:
             self.events.put(wait)
+            self.handle.registerTimer(min(self._due(ts) for _, ts in wait))
         else:
             self.events.clear()
-        # events to come are later than the timer: of the states before it only the last one matters
+        # events to come are later than the tick: of the states before it only the last one matters
         old = bisect.bisect_right(places, end)
         if old > 1:
             self.states.put(states[old - 1 :])

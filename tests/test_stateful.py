@@ -289,6 +289,57 @@ def test_a_merge_moves_the_end_that_later_ones_are_compared_with(spark):
     assert sorted((r.id, r.end_ts, r.merged) for r in dedup.stored_summaries(judged, ["k"]).collect()) == [(1, 460.0, 2), (4, 910.0, 0)]
 
 
+# --- timers of states, tokens taken back
+
+
+class _Kept:
+    """A list state and a handle in memory."""
+
+    def __init__(self):
+        self.rows, self.timers = [], []
+
+    def appendList(self, rows):  # noqa: N802
+        self.rows += rows
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def get(self):
+        return iter(self.rows)
+
+    def clear(self):
+        self.rows = []
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.timers)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.watermark
+
+    def getExpiryTimeInMs(self):  # noqa: N802
+        return self.expiry
+
+
+def test_states_have_one_timer_per_key():
+    import pandas as pd
+
+    p, handle = stateful._AsOf(10_000, "k BIGINT, id BIGINT, ts DOUBLE, state STRING"), _Kept()
+    p.handle, p.events, p.states = handle, _Kept(), _Kept()
+    rows = pd.DataFrame([(1, 5.0, "a"), (2, 7.0, None), (3, 12.0, None), (4, 15.0, "b"), (5, 28.0, None), (6, 33.0, None)], columns=["id", "ts", "state"])
+    list(p.handleInputRows((9,), iter([rows]), None))
+    assert handle.timers == [10_000]
+    handle.timers, handle.watermark, handle.expiry = [], 31_000, 10_000
+    (out,) = p.handleExpiredTimer((9,), handle, handle)
+    assert [tuple(r[1:]) for r in out.itertuples(index=False)] == [(2, 7.0, "a"), (3, 12.0, "a"), (5, 28.0, "b")]
+    assert handle.timers == [40_000] and p.events.rows == [(6, 33.0)] and p.states.rows == [(15.0, 4, "b")]
+
+
 def test_typed_text_folds_only_what_is_taken_back(spark):
     keys = [*"aXb"]
     rows = [("k", float(i), i, "down", c, [], "p", w, 1) for w in ("one", "two") for i, c in enumerate(keys)]
