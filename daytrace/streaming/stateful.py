@@ -54,7 +54,7 @@ def _values(column: pd.Series) -> list:
     """A column's values as ``_plain`` gives them; only lists are gone through one by one."""
     if column.dtype == object and any(hasattr(v, "__len__") and not isinstance(v, str) for v in column):
         return [_plain(v) for v in column]
-    return column.astype(object).where(column.notna(), None).tolist()
+    return [None if v is None or v != v else v for v in column.tolist()]
 
 
 def _frame(rows: list[tuple], schema: str) -> Iterator[pd.DataFrame]:
