@@ -7,6 +7,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from daytrace.session import ship
 
@@ -15,7 +16,9 @@ def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], schema
     """``step(state, row)`` for each row of each key in order; the tuples that it gives, in ``schema``.
 
     Keys are dealt over tasks and sorted there, which spills where it must; a task holds one batch and one state at a
-    time, however many rows a key has.
+    time, however many rows a key has. They are dealt by their hash: Spark leaves out a repartition by columns that a join
+    or an aggregate below has dealt by already, and may then read that one's shuffle in other parts, as nothing above
+    asks for whole keys.
     """
     ship(df.sparkSession)
     names = [part.split()[0] for part in schema.split(", ")]
@@ -32,4 +35,4 @@ def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], schema
                 out.extend(step(state, row))
             yield pd.DataFrame(out, columns=names)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

@@ -335,3 +335,13 @@ def test_responses(spark):
     assert [g.parse_status for g in got[1:]] == ["degraded"] * 4 and got[1].summary_text == "plain" and got[3].summary_text == "Unavailable." and got[1].unknowns == ["insufficient evidence"]
     sizes = spark.createDataFrame([(1, i, n) for i, n in enumerate([4, 4, 4, 30, 1])], "k int, i int, n int")
     assert [r.chunk for r in responses.chunks(sizes, ["k"], "i", "n", 10).orderBy("i").collect()] == [1, 1, 2, 3, 4]
+
+
+def test_a_fold_over_a_join_deals_its_keys_itself(spark):
+    rows = spark.range(0, 4000, 1, 8).select((F.col("id") % 50).alias("k"), F.col("id").alias("place"))
+    joined = rows.hint("merge").join(rows.groupBy("k").agg(F.count("*").alias("n")), ["k"]).withColumn("taken", F.lit(90))
+    told = responses.chunks(joined, ["k"], "place", "taken", 600)
+    got = told.collect()
+    assert len(got) == 4000 and all(r.chunk == r.place // 50 // 6 + 1 for r in got)
+    # the join's own shuffle may be read in other parts than keys
+    assert "REPARTITION_BY_COL" in told._jdf.queryExecution().executedPlan().toString()
