@@ -121,3 +121,23 @@ def test_ascii_words_of_branches_and_values_made_once(spark):
     assert got.first() == (["x"], ["x", "les."])
     # the three patterns stand once in the plan, not once more for each use of what they find
     assert got.select("a")._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 3
+
+
+def test_ratio_searches_instead_of_comparing_all_characters():
+    import random
+    import time
+    from difflib import SequenceMatcher
+
+    from daytrace.functions.similarity import ratio
+
+    r = random.Random(3)
+    text = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    some = [(text(r.randint(0, 300), "abcde"), text(r.randint(0, 300), "abcdefgh" + "a" * r.randint(0, 60))) for _ in range(300)]
+    assert all(ratio(a, b) == SequenceMatcher(None, a, b).ratio() for a, b in some)
+    long = [(text(1500, "abcdefghijklmnopqrstuvwxyz "), text(190, "abcdefghijklmnopqrstuvwxyz ")) for _ in range(30)]
+    took = []
+    for how in (ratio, lambda a, b: SequenceMatcher(None, a, b).ratio()):
+        start = time.process_time()
+        found = [how(a, b) for a, b in long]
+        took.append((time.process_time() - start, found))
+    assert took[0][1] == took[1][1] and took[0][0] < took[1][0] / 2
