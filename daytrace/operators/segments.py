@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daytrace.config import SegmentSettings
-from daytrace.functions.similarity import ratio
+from daytrace.functions.similarity import known_ratio
 from daytrace.functions.text import normalize_title
+from daytrace.operators.folds import fold_sorted
 from daytrace.operators.intervals import idle_segments
-from daytrace.session import ship
 
 OBSERVATION = "start_ts DOUBLE, end_ts DOUBLE, kind STRING, process_name STRING, window_title STRING, blocked BOOLEAN, active_interval_id BIGINT, screenshot_id BIGINT, fingerprint STRING, text STRING, hotkeys ARRAY<STRING>"
 SEGMENT = (
@@ -103,7 +103,7 @@ class Open:
         if bool(row.blocked) != self.blocked:
             return "lock_state_changed", None
         other = (row.process_name or "") != _mode(self.processes)
-        title = ratio(row.norm_title or "", self.norms.get(_mode(self.titles), ""))
+        title = known_ratio(row.norm_title or "", self.norms.get(_mode(self.titles), ""))
         if other and title < s.title_similarity:
             return "app_changed", None
         visual = _bits_alike(self.shot, row.fingerprint)
@@ -156,25 +156,38 @@ ISLANDS = 256
 
 def segments(obs: DataFrame, keys: Sequence[str], settings: SegmentSettings = SegmentSettings(), force_flush: bool = False) -> DataFrame:
     """Segments of each key's observations. An island's last segment closes for its idle gap, the key's last is open or flushed."""
-    ship(obs.sparkSession)
     keys = list(keys)
     kinds = dict(obs.dtypes)
     tie = ["end_ts", "kind", F.coalesce("active_interval_id", "screenshot_id", F.lit(0).cast("bigint"))]
     gap = settings.idle_gap_s or 1e-9
     cut = idle_segments(obs, keys, "start_ts", tie, gap, "end_ts").withColumn("norm_title", normalize_title(F.coalesce("window_title", F.lit(""))))
-    cut = cut.withColumn("_block", F.floor((F.col("segment") - 1) / ISLANDS))
-    cut = cut.withColumn("_last", F.max("_block").over(Window.partitionBy(*keys)))
+    cut = cut.withColumn("island_group", F.floor((F.col("segment") - 1) / ISLANDS))
+    cut = cut.withColumn("last_group", F.max("island_group").over(Window.partitionBy(*keys)))
+    cut = cut.withColumn("tie_id", F.coalesce("active_interval_id", "screenshot_id", F.lit(0).cast("bigint")))
+    names = [c.split()[0] for c in SEGMENT.split(", ")]
+
+    def told(key: tuple, segment: dict) -> tuple:
+        return *key[: len(keys)], *(segment[n] for n in names)
+
+    def step(state: list, row) -> list[tuple]:
+        # the open segment, and whether the group is its key's last
+        state[1] = row.island_group == row.last_group
+        now, reason, visual = state[0], None, None
+        if now is not None:
+            reason, visual = now.closes(row, settings)
+        if now is None or reason:
+            state[0] = Open(row)
+        else:
+            now.add(row, visual)
+        return [told(tuple(getattr(row, k) for k in keys), now.done(reason, visual, True))] if reason else []
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_id=pdf.active_interval_id.fillna(pdf.screenshot_id).fillna(0)).sort_values(["start_ts", "end_ts", "kind", "_id"], kind="stable")
-        final = bool(pdf._block.iloc[0] == pdf._last.iloc[0])
+    def end(key: tuple, state: list) -> list[tuple]:
+        now, final = state
         reason = ("manual_flush" if force_flush else "open") if final else "idle_gap"
-        out = pd.DataFrame(fold(pdf, settings, reason, force_flush or not final))
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[keys + [c.split()[0] for c in SEGMENT.split(", ")]]
+        return [told(key, now.done(reason, None, force_flush or not final))]
 
-    return cut.groupBy(*keys, "_block").applyInPandas(one, ", ".join([f"{k} {kinds[k]}" for k in keys] + [SEGMENT]))
+    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [SEGMENT])
+    return fold_sorted(cut, [*keys, "island_group"], ["start_ts", "end_ts", "kind", "tie_id"], schema, lambda: [None, False], step, end)
 
 
 def batch_prefix(segs: DataFrame, keys: Sequence[str], duration: str, order: Sequence[str], minimum_s: float) -> DataFrame:
