@@ -345,3 +345,22 @@ def test_a_fold_over_a_join_deals_its_keys_itself(spark):
     assert len(got) == 4000 and all(r.chunk == r.place // 50 // 6 + 1 for r in got)
     # the join's own shuffle may be read in other parts than keys
     assert "REPARTITION_BY_COL" in told._jdf.queryExecution().executedPlan().toString()
+
+
+def test_segments_pass_one_fold_per_task(spark):
+    from daytrace.plans import activity
+
+    told = activity.full_segments(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in told and "FlatMapGroupsInPandas" not in told
+
+
+def test_stored_summaries_compare_equal_texts_once(monkeypatch):
+    from types import SimpleNamespace
+
+    calls = []
+    monkeypatch.setattr(dedup, "ratio", lambda a, b: calls.append((a, b)) or 0.1)
+    state = dedup.SummaryDedup(SummaryDedupSettings())
+    for i in range(300):
+        text = f"only in this test {'ab'[i % 2]}"
+        state.judge(SimpleNamespace(id=i, start_ts=i * 1e5, end_ts=i * 1e5, norm_text=text, norm_title=f"title {i % 2} of this test", process_name="p", blocked=False, closure_reason=""))
+    assert len(calls) == len(set(calls)) <= 8
