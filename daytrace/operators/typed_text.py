@@ -23,7 +23,7 @@ HOTKEY_MODIFIERS = ["ctrl", "alt", "win", "cmd"]
 
 def is_modifier(key: Column) -> Column:
     """The key is itself a modifier."""
-    return key.rlike(r"(?i)shift|ctrl|alt|cmd|win|super")
+    return (F.char_length(key) > 2) & key.rlike(r"(?i)shift|ctrl|alt|cmd|win|super")
 
 
 def is_hotkey(key: Column, modifiers: Column) -> Column:

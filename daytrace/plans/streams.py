@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ from daytrace.streaming import sessions, stateful
 SHOTS = [(0, "same"), (30, "same"), (60, "one"), (90, "half"), (130, "same"), (260, "one"), (270, "none"), (280, "inverse")]
 CAPTURE = ScreenshotDedupSettings(min_interval_s=120.0)
 
+#: Events are small, so rows alone bound an Arrow batch; to bound its bytes Spark measures all of it again for each row.
+BY_ROWS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(2**31 - 1)}
+
 
 def as_stream(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """``rows`` as a stream, from files in a folder of their own."""
@@ -27,10 +32,10 @@ def as_stream(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(f"{folder}/rows").schema).parquet(f"{folder}/rows")
 
 
-def _ticked(spark: SparkSession, stream: DataFrame) -> DataFrame:
+def _ticked(spark: SparkSession, stream: DataFrame, conf: Mapping[str, str] = {}) -> DataFrame:
     """What a stream with processing-time timers gives until its input is read."""
     folder = new_folder(spark, "stream-out")
-    if (why := sessions.run_ticks(stream, sessions.once_per_batch(f"{folder}/rows"), f"{folder}/checkpoint", "1 second")) != sessions.EMPTY:
+    if (why := sessions.run_ticks(stream, sessions.once_per_batch(f"{folder}/rows"), f"{folder}/checkpoint", "1 second", conf=conf)) != sessions.EMPTY:
         raise RuntimeError(f"the stream ended: {why}")
     return spark.read.parquet(f"{folder}/rows")
 
@@ -96,14 +101,21 @@ def streamed_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH t AS (SELECT conv_id, turn, lower(text) AS text, length(text) AS n FROM conversations WHERE text <> '')
 SELECT conv_id, 'turn ' || turn AS window_title, text, CAST(n AS INT) AS raw_key_count FROM t""")
 def streamed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns typed key by key, rebuilt by a stream; a flush ends each conversation's last text."""
-    c = table(spark, sf_dir, "conversations")
+    """Turns typed key by key, rebuilt by a stream; a flush ends each conversation's last text.
+
+    The stream's files hold turns and ends; it types their keys itself.
+    """
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    ends = c.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn")).withColumn("text", F.lit(None).cast("string"))
+    # dealt evenly, as a turn makes hundreds of keys and a table may be a few files
+    turns = c.where("text <> ''").unionByName(ends).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    end = F.col("text").isNull()
     key = F.when(F.col("ch") == " ", "Key.space").when(F.col("ch") == "\n", "Key.enter").otherwise(F.col("ch"))
-    typed = c.select("conv_id", "turn", F.posexplode(F.split("text", "")).alias("i", "ch")).where("ch <> ''")
-    row = lambda turn, i, kind, key: ["conv_id", (turn * 1e6 + i / 10).alias("ts"), i.cast("bigint").alias("id"), kind.alias("event_type"), key.alias("key"), F.array().cast("array<string>").alias("modifiers"), F.lit("chat").alias("process_name"), F.concat(F.lit("turn "), turn.cast("string")).alias("window_title"), F.lit(1).cast("bigint").alias("hwnd")]
-    ends = c.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn")).withColumn("i", F.lit(0))
-    keys = typed.select(*row(F.col("turn"), F.col("i"), F.lit("down"), key)).unionByName(ends.select(*row(F.col("turn"), F.col("i"), F.lit(stateful.FLUSH), F.lit(""))))
-    return _ticked(spark, stateful.text_stream(as_stream(spark, keys), "conv_id")).select("conv_id", "window_title", "text", "raw_key_count")
+    typed = as_stream(spark, turns).select("conv_id", "turn", end.alias("end"), F.posexplode(F.when(end, F.array(F.lit(""))).otherwise(F.split("text", ""))).alias("i", "ch")).where("ch <> '' or end")
+    keys = typed.select(
+        "conv_id", (F.col("turn") * 1e6 + F.col("i") / 10).alias("ts"), F.col("i").cast("bigint").alias("id"), F.when(F.col("end"), stateful.FLUSH).otherwise("down").alias("event_type"), key.alias("key"), F.array().cast("array<string>").alias("modifiers"),
+        F.lit("chat").alias("process_name"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("window_title"), F.lit(1).cast("bigint").alias("hwnd"))
+    return _ticked(spark, stateful.text_stream(keys, "conv_id"), BY_ROWS).select("conv_id", "window_title", "text", "raw_key_count")
 
 
 @query("streamed_segments")

@@ -6,7 +6,7 @@ Late rows are dropped behind a watermark; the batch operators see all rows, so b
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
 import pandas as pd
@@ -68,13 +68,16 @@ class _Marked(Exception):
     """A mark stopped a batch before it was written."""
 
 
-def run_ticks(stream: DataFrame, sink: Callable[[DataFrame, int], Any], checkpoint: str, every: str = "30 seconds", mark: Callable[[], str | None] = lambda: None, poll_s: float = 0.1) -> str:
+def run_ticks(stream: DataFrame, sink: Callable[[DataFrame, int], Any], checkpoint: str, every: str = "30 seconds", mark: Callable[[], str | None] = lambda: None, poll_s: float = 0.1, conf: Mapping[str, str] = {}) -> str:
     """A batch per tick until nothing is left, a batch fails, or ``mark()`` says ``paused`` or ``cancelled``; why it ended.
 
     The mark is read before each batch is written and between ticks. A batch that fails or is marked is not committed, so
     the next run with this checkpoint begins with it: nothing is lost, and a sink by batch number doubles nothing.
-    Processing-time timers fire in ticks, so streams with them end here and not in ``drain``.
+    Processing-time timers fire in ticks, so streams with them end here and not in ``drain``. ``conf`` holds settings of this
+    run alone: a stream copies the session's when it starts.
     """
+    session = stream.sparkSession.conf
+    before = {k: session.get(k, None) for k in conf}
     found: list[str] = []
 
     def write(batch: DataFrame, number: int) -> None:
@@ -83,7 +86,13 @@ def run_ticks(stream: DataFrame, sink: Callable[[DataFrame, int], Any], checkpoi
             raise _Marked(why)
         sink(batch, number)
 
-    running = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    try:
+        for k, v in conf.items():
+            session.set(k, v)
+        running = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    finally:
+        for k, v in before.items():
+            session.unset(k) if v is None else session.set(k, v)
     try:
         while running.isActive and not found:
             if why := mark():

@@ -1,6 +1,6 @@
 """Keyed stateful streams with timers: capture dedup, typed text, segments, and states joined as of an event.
 
-Each is a processor of transformWithStateInPandas over state variables in RocksDB. It loads a key's state, folds the rows
+Each is a processor of transformWithStateInPandas, or of transformWithState for the few rows of texts, over state variables in RocksDB. It loads a key's state, folds the rows
 of a batch in order by the rules that the batch operators use, and stores it. What is open at the end of the input is
 flushed by a processing-time timer or by a row that asks for it; event-time timers wait for a watermark.
 """
@@ -8,14 +8,19 @@ flushed by a processing-time timer or by a row that asks for it; event-time time
 from __future__ import annotations
 
 import bisect
+import functools
+import itertools
 import math
 import os
 from collections import Counter, namedtuple
 from collections.abc import Iterator, Sequence
 from types import SimpleNamespace
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -62,14 +67,15 @@ def _frame(rows: list[tuple], schema: str) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=_names(schema))
 
 
-def _run(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, time: str, start: DataFrame | None = None) -> DataFrame:
+def _run(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, time: str, start: DataFrame | None = None, by_rows: bool = False) -> DataFrame:
     spark = stream.sparkSession
     ship(spark)
     # a Python process beside the driver reads the processor too, and added files don't reach it
     spark.sparkContext.environment["PYTHONPATH"] = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     first = start.groupBy(key) if start is not None else None
-    return stream.groupBy(key).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode=time, initialState=first)
+    grouped = stream.groupBy(key)
+    return (grouped.transformWithState if by_rows else grouped.transformWithStateInPandas)(processor, outputStructType=schema, outputMode="Append", timeMode=time, initialState=first)
 
 
 # --- capture dedup
@@ -121,6 +127,79 @@ def screenshot_stream(shots: DataFrame, key: str, settings: ScreenshotDedupSetti
 # --- typed text
 
 
+#: Events of a key that follow each other in a task's batch, in one context: the places of the first and the last, their
+#: tokens joined, tokens' sizes in code points unless each is one (0: types nothing, -1: a backspace), their number, and the
+#: times and ids of all, as 8-byte numbers, which only runs that overlap need.
+_RUN = "ts DOUBLE, id BIGINT, end_ts DOUBLE, end_id BIGINT, event_type STRING, process_name STRING, window_title STRING, hwnd BIGINT, hot BOOLEAN, name STRING, text STRING, sizes ARRAY<INT>, n INT, times BINARY, ids BINARY"
+
+#: Most events of a run: bounds what a batch of runs holds.
+RUN_EVENTS = 1000
+
+
+def _packed(batches: Iterator[pa.RecordBatch], key: str, gap_s: float) -> Iterator[pa.RecordBatch]:
+    """Events as runs. A run ends where the text might: before another key or context, a gap, a flush or a hotkey."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = {n: batch[n].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for n in (key, "process_name", "window_title", "hwnd")}
+        order = np.lexsort((batch["id"].to_numpy(zero_copy_only=False), batch["ts"].to_numpy(zero_copy_only=False), codes[key]))
+        batch = batch.take(pa.array(order))
+        ts = batch["ts"].to_numpy(zero_copy_only=False)
+        alone = pc.or_kleene(batch["hot"], pc.equal(batch["event_type"], FLUSH)).fill_null(False).to_numpy(zero_copy_only=False)
+        starts = np.ones(len(ts), dtype=bool)
+        starts[1:] = alone[1:] | alone[:-1] | ~(ts[1:] - ts[:-1] <= gap_s)
+        for code in codes.values():
+            code = code[order]
+            starts[1:] |= code[1:] != code[:-1]
+        first = np.flatnonzero(starts)
+        place = np.arange(len(ts)) - np.repeat(first, np.diff(np.append(first, len(ts))))
+        first = np.flatnonzero(place % RUN_EVENTS == 0)
+        edges = np.append(first, len(ts)).astype(np.int32)
+        ends = pa.array(edges[1:] - 1)
+        back = pc.equal(batch["token"], typed_text.BACKSPACE).fill_null(False)
+        tokens = pc.if_else(back, "", batch["token"].fill_null(""))
+        sizes = pc.if_else(back, -1, pc.utf8_length(tokens)).to_numpy(zero_copy_only=False)
+        odd = np.logical_or.reduceat(sizes != 1, first)
+        heads = batch.take(pa.array(first))
+        # without an id, an event stands behind the others of its time
+        ids = batch["id"].fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
+        bytes_ = lambda values: pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(edges * 8), pa.py_buffer(np.ascontiguousarray(values))])  # noqa: B023, E731
+        columns = {n: heads[n] for n in (key, "ts", "id", "event_type", "process_name", "window_title", "hwnd", "hot", "name")}
+        columns |= {"end_ts": batch["ts"].take(ends), "end_id": batch["id"].take(ends), "text": pc.binary_join(pa.ListArray.from_arrays(edges, tokens), ""), "n": pa.array(np.diff(edges)), "times": bytes_(ts), "ids": bytes_(ids)}
+        columns["sizes"] = pa.array([sizes[a:b] if o else None for a, b, o in zip(edges, edges[1:], odd, strict=False)], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([columns[n] for n in (key, *_names(_RUN))], [key, *_names(_RUN)])
+
+
+def _tokens(run) -> list:
+    """The tokens of a run's events."""
+    if run.sizes is None:
+        return list(run.text)
+    out, at = [], 0
+    for n in run.sizes:
+        out.append(typed_text.BACKSPACE if n < 0 else run.text[at : at + n] if n else None)
+        at += max(n, 0)
+    return out
+
+
+def _place(ts: float | None, i: int | None) -> tuple:
+    return ts is None or ts != ts, ts, i is None, i
+
+
+def _events(run: Row) -> Iterator[Row]:
+    """A run's events as runs of their own."""
+    for ts, i, token in zip(np.frombuffer(run.times).tolist(), np.frombuffer(run.ids, np.int64).tolist(), _tokens(run), strict=True):
+        text, size = ("", -1) if token == typed_text.BACKSPACE else ("", 0) if token is None else (token, len(token))
+        yield Row(**run.asDict() | {"ts": ts, "id": i, "end_ts": ts, "end_id": i, "text": text, "sizes": [size], "n": 1})
+
+
+def _runs(rows: Iterator[Row]) -> list[Row]:
+    """Runs of a batch in order. If tasks had events of the same time, runs overlap, and all are cut into their events."""
+    runs = sorted(rows, key=lambda r: _place(r.ts, r.id))
+    if any(_place(a.end_ts, a.end_id) > _place(b.ts, b.id) for a, b in itertools.pairwise(runs)):
+        runs = sorted(itertools.chain.from_iterable(map(_events, runs)), key=lambda r: _place(r.ts, r.id))
+    return runs
+
+
 class _Texts(StatefulProcessor):
     OPEN = "start_ts DOUBLE, end_ts DOUBLE, process_name STRING, window_title STRING, hwnd BIGINT, chars ARRAY<STRING>, n INT"
 
@@ -135,13 +214,13 @@ class _Texts(StatefulProcessor):
         if now is not None and now[5]:
             out.append((key[0], *now[:4], "".join(now[5]), [], now[6]))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N803
         now = list(self.open.get()) if self.open.exists() else None
-        if now is not None:
+        if was_open := now is not None:
             now[5] = list(now[5])
         out: list[tuple] = []
-        for r in _ordered(rows, ["ts", "id"]):
-            if now is not None and (r.event_type == FLUSH or r.hot or (r.process_name, r.window_title, r.hwnd) != (now[2], now[3], now[4]) or r.ts - now[1] > self.gap_s):
+        for r in _runs(rows):
+            if now is not None and (r.event_type == FLUSH or r.hot or (r.process_name, r.window_title, r.hwnd) != (now[2], now[3], now[4]) or r.ts is None or now[1] is None or not r.ts - now[1] <= self.gap_s):
                 self._told(key, now, out)
                 now = None
             if r.event_type == FLUSH:
@@ -151,27 +230,32 @@ class _Texts(StatefulProcessor):
                 continue
             if now is None:
                 now = [r.ts, r.ts, r.process_name, r.window_title, r.hwnd, [], 0]
-            now[1], now[6] = r.ts, now[6] + 1
-            if r.token == typed_text.BACKSPACE:
-                del now[5][-1:]
-            elif r.token is not None:
-                now[5].append(r.token)
-        # the open text is flushed when nothing has come for the gap
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if now is None:
-            self.open.clear()
-        else:
+            now[1], now[6] = r.end_ts, now[6] + r.n
+            if r.sizes is None:
+                now[5].extend(r.text)
+                continue
+            for token in _tokens(r):
+                if token == typed_text.BACKSPACE:
+                    del now[5][-1:]
+                elif token is not None:
+                    now[5].append(token)
+        # the open text is flushed when nothing has come for the gap; a key has a timer only while its text is open
+        if was_open:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        if now is not None:
             self.open.update(tuple(now))
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(1000 * self.gap_s) + 1)
-        yield from _frame(out, self.schema)
+        elif was_open:
+            self.open.clear()
+        yield from itertools.starmap(Row(*_names(self.schema)), out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N803
         out: list[tuple] = []
         if self.open.exists():
             self._told(key, self.open.get(), out)
             self.open.clear()
-        yield from _frame(out, self.schema)
+        yield from itertools.starmap(Row(*_names(self.schema)), out)
 
     def close(self) -> None:
         pass
@@ -181,16 +265,20 @@ def text_stream(events: DataFrame, key: str, gap_s: float = typed_text.GAP_S) ->
     """Text segments of a stream of key events (ts, id, event_type, key, modifiers, process_name, window_title, hwnd).
 
     A segment is given out when the next key ends it, when a row of the type ``flush`` comes, or when no row has come for
-    ``gap_s`` by the clock. Rows must come in order from batch to batch; within one they are sorted.
+    ``gap_s`` by the clock. Rows must come in order from batch to batch; within one they are sorted. Tasks pack their events
+    into runs before these are dealt by key.
     """
     mine = events.where((F.col("event_type") == FLUSH) | (F.col("event_type") == "down") & ~typed_text.is_modifier(F.col("key")))
     pressed, held = F.col("key"), F.col("modifiers")
     told = mine.select(
         F.col(key), "ts", "id", "event_type", "process_name", "window_title", F.col("hwnd").cast("bigint").alias("hwnd"), F.coalesce(typed_text.is_hotkey(pressed, held), F.lit(False)).alias("hot"),
-        typed_text.token_of(pressed, held).alias("token"), typed_text.format_hotkey(pressed, held).alias("name"),
+        typed_text.token_of(pressed, held).alias("token"), F.when(typed_text.is_hotkey(pressed, held), typed_text.format_hotkey(pressed, held)).alias("name"),
     )
-    schema = f"{key} {dict(events.dtypes)[key]}, start_ts DOUBLE, end_ts DOUBLE, process_name STRING, window_title STRING, text STRING, hotkeys ARRAY<STRING>, raw_key_count INT"
-    return _run(told, key, _Texts(gap_s, schema), schema, "ProcessingTime")
+    ship(events.sparkSession)
+    kind = dict(events.dtypes)[key]
+    runs = told.mapInArrow(functools.partial(_packed, key=key, gap_s=gap_s), f"{key} {kind}, {_RUN}")
+    schema = f"{key} {kind}, start_ts DOUBLE, end_ts DOUBLE, process_name STRING, window_title STRING, text STRING, hotkeys ARRAY<STRING>, raw_key_count INT"
+    return _run(runs, key, _Texts(gap_s, schema), schema, "ProcessingTime", by_rows=True)
 
 
 # --- segments

@@ -348,3 +348,64 @@ def test_typed_text_folds_only_what_is_taken_back(spark):
     got = typed_text.reconstruct(df, ["k"])
     assert sorted((r.window_title, r.text) for r in got.collect()) == [("one", "axb"), ("two", "ax")]
     assert "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+# --- key events packed into runs
+
+
+def packed(rows, gap_s=8.0, key="k"):
+    import pyarrow as pa
+
+    names = ["k", "ts", "id", "event_type", "process_name", "window_title", "hwnd", "hot", "token", "name"]
+    types = [pa.int64(), pa.float64(), pa.int64(), *[pa.string()] * 3, pa.int64(), pa.bool_(), pa.string(), pa.string()]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+    return [r for out in stateful._packed(iter([batch]), key, gap_s) for r in out.to_pylist()]
+
+
+def test_tasks_pack_events_into_runs(monkeypatch):
+    event = lambda ts, token="a", k=1, title="t", hot=False, kind="down": (k, ts, None if ts is None else int(ts * 10), kind, "p", title, None, hot, token, "N" if hot else None)
+    back = typed_text.BACKSPACE
+    # not in order; a null key; an upper-case letter of two code points, a backspace, keys that type nothing
+    got = packed([event(2.0, "SS"), event(1.0), event(3.0, back), event(4.0, None), event(12.5), event(13.0, title=None), event(13.5, title=None), event(14.0, hot=True), event(15.0), event(16.0, "", kind=stateful.FLUSH), event(17.0), event(1.5, "z", None), event(1.7, "y", None)])
+    assert [(r["k"], r["ts"], r["end_ts"], r["window_title"], r["hot"], r["text"], r["sizes"], r["n"]) for r in got if r["k"]] == [
+        (1, 1.0, 4.0, "t", False, "aSS", [1, 2, -1, 0], 4), (1, 12.5, 12.5, "t", False, "a", None, 1), (1, 13.0, 13.5, None, False, "aa", None, 2), (1, 14.0, 14.0, "t", True, "a", None, 1),
+        (1, 15.0, 15.0, "t", False, "a", None, 1), (1, 16.0, 16.0, "t", False, "", [0], 1), (1, 17.0, 17.0, "t", False, "a", None, 1)]
+    assert [(r["text"], r["n"]) for r in got if r["k"] is None] == [("zy", 2)]
+    assert np.frombuffer(got[[r["ts"] for r in got].index(1.0)]["times"]).tolist() == [1.0, 2.0, 3.0, 4.0]
+    monkeypatch.setattr(stateful, "RUN_EVENTS", 3)
+    assert [r["n"] for r in packed([event(i / 10) for i in range(7)])] == [3, 3, 1]
+
+
+def test_the_state_gets_a_row_per_run_and_not_per_key(spark, folder, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(stateful, "_run", lambda rows, *_, **__: seen.setdefault("rows", rows))
+    keys = [key(i / 10, "ab"[i % 2]) for i in range(2000)]
+    stateful.text_stream(spark.createDataFrame(keys, KEYS).coalesce(1), "k")
+    assert sorted(r.n for r in seen["rows"].collect()) == [1000, 1000]
+
+
+def test_events_of_one_text_over_several_tasks(spark, folder):
+    # ß in upper case is two code points, which one backspace takes back
+    keys = [key(i / 10, ch, held=["shift"] if ch == "ß" else ()) for i, ch in enumerate([*"abcß", "Key.backspace", "Key.up", *"dßef", "Key.space", *"gh"])]
+    keys += [key(2, "i", "u"), key(2.1, "j", "u"), key(2.2, "s", "u", held=["ctrl"]), key(2.3, "k", "u"), key(11, "l", "u"), key(0.5, "z", k=2), key(0.6, "y", k=2)]
+    for i in range(3):
+        spark.createDataFrame(keys[i::3], KEYS).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    ends = [key(60, "", kind=stateful.FLUSH), key(60, "", kind=stateful.FLUSH, k=2)]
+    spark.createDataFrame(ends, KEYS).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(KEYS).parquet(f"{folder}/in")
+    cols = ["k", "start_ts", "end_ts", "window_title", "text", "hotkeys", "raw_key_count"]
+    got = ticked(spark, stateful.text_stream(stream, "k"), folder).select(*cols).collect()
+    wanted = typed_text.reconstruct(spark.createDataFrame(keys, KEYS), ["k"]).select(*cols).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, wanted)) and {r.text for r in wanted} == {"abcdSSef gh", "ij", "", "k", "l", "zy"}
+
+
+def test_settings_of_a_run_end_with_its_start(spark, folder):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(name), []
+    stream = stream_of(spark, folder, [[(1,)]], "v BIGINT")
+
+    def sink(batch, number):
+        seen.append((batch.sparkSession.conf.get(name), spark.conf.get(name)))
+
+    assert sessions.run_ticks(stream, sink, f"{folder}/checkpoint", "200 milliseconds", conf={name: "12345"}) == sessions.EMPTY
+    assert seen[0] == ("12345", before) and spark.conf.get(name) == before
